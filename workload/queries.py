@@ -105,7 +105,7 @@ def _propagated(spark: SparkSession, sf_dir: str, converged: bool) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 6))
+    return df.withColumn("score", F.round("score", 8))
 
 
 # Scalar functions
@@ -333,7 +333,7 @@ def scores_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_histogram_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_histogram(_propagated(spark, sf_dir, converged=False)).withColumnRenamed("count", "vertices")
+    return score_histogram(_rounded(_propagated(spark, sf_dir, converged=False))).withColumnRenamed("count", "vertices")
 
 
 @query

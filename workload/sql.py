@@ -347,15 +347,15 @@ ALL: dict[str, str] = {
         union all select 's' || l_suppkey, 1, 0 from lineitem) group by id""",
     "blocklist_seeds": _with(_VIEWS, _GRAPH, _SEEDS) + "select * from seeds",
     "scores_3_rounds": _SCORED
-    + "select experiment, guid as name, round(score, 6) as score, fixed from state3 join indexed using (id)",
+    + "select experiment, guid as name, round(score, 8) as score, fixed from state3 join indexed using (id)",
     "score_histogram_3_rounds": _SCORED
-    + """select experiment, round(score, 1) as score_bucket, count(*) as vertices
+    + """select experiment, round(round(score, 8), 1) as score_bucket, count(*) as vertices
         from state3 where not fixed group by all""",
     "score_anomalies_3_rounds": _SCORED
-    + "select experiment, id, round(score, 6) as score, fixed from state3 where score > 1.0",
+    + "select experiment, id, round(score, 8) as score, fixed from state3 where score > 1.0",
     "affected_3_rounds": _SCORED
     + "select experiment, count(*) filter (score > 0) as affected from state3 group by experiment",
     "ip_scores_3_rounds": _SCORED
     + """select v.id, substring(v.guid, 4) as ip, v.inDegree, v.outDegree, s.experiment,
-        round(s.score, 6) as score, s.fixed from indexed v join state3 s using (id) where starts_with(v.guid, 'ip_')""",
+        round(s.score, 8) as score, s.fixed from indexed v join state3 s using (id) where starts_with(v.guid, 'ip_')""",
 }
