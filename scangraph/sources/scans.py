@@ -46,23 +46,38 @@ def find_file(spark: SparkSession, path: str) -> str:
 
 
 def load_csv(
-    spark: SparkSession, path: str, schema: str | StructType | None = None, header: bool = True, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    columns: list[str] | None = None,
+    header: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Read scanner CSV: doubled quotes, rows that do not fit the schema are dropped.
+    """Read scanner CSV with doubled quotes; malformed rows are dropped.
 
-    Column pruning is off, so that which rows are malformed does not depend on the columns a query
-    selects. Without a schema the header names the columns and all are strings.
+    With a schema, a row is malformed when a value of the kept ``columns`` does not have its type. The
+    reader checks only what a query selects, so types are checked here, and the rows are the same for
+    every query. Without a schema the header names the columns and all are strings.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
     if path.endswith(".xz"):
         raise ValueError(f"{path}: Spark has no xz codec; recompress the file as zst or gz")
+    # A subset may be read without the others; else every row must have all columns.
     reader = spark.read.options(
-        header=header, multiLine=multi_line, quote='"', escape='"', mode="DROPMALFORMED", columnPruning=False
+        header=header, multiLine=multi_line, quote='"', escape='"', mode="DROPMALFORMED", columnPruning=bool(columns)
     )
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", not header)
-    return reader.csv(path)
+    if schema is None:
+        return reader.csv(path)
+    fields = dict(f.split() for f in schema.split(", "))
+    text = StructType()
+    for name in fields:
+        text.add(name, "string")
+    raw = reader.schema(text).option("enforceSchema", not header).csv(path)
+    typed = {name: fields[name] for name in columns or fields if fields[name] != "STRING"}
+    for name, kind in typed.items():
+        raw = raw.where(F.col(name).isNull() | F.col(name).try_cast(kind).isNotNull())
+    return raw.select(*[F.col(c).try_cast(fields[c]).alias(c) for c in columns or fields])
 
 
 def load_http(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +97,7 @@ def load_cert_chain(spark: SparkSession, path: str) -> DataFrame:
 def load_parsed_certs(spark: SparkSession, path: str) -> DataFrame:
     """Certificates that were decoded before: headerless CSV in the fixed order, or Parquet."""
     if ".csv" in path:
-        return load_csv(spark, path, CERTS_PARSED_SCHEMA, header=False).select(*CERTS_COLUMNS)
+        return load_csv(spark, path, CERTS_PARSED_SCHEMA, CERTS_COLUMNS, header=False)
     return spark.read.parquet(path).select(*CERTS_COLUMNS)
 
 
@@ -101,7 +116,7 @@ class TlsScan:
         return self.location.rstrip("/").rsplit("/", 1)[-1]
 
     def hosts(self, spark: SparkSession) -> DataFrame:
-        return load_csv(spark, find_file(spark, f"{self.location}/hosts.csv"), HOSTS_SCHEMA).select(*HOSTS_COLUMNS)
+        return load_csv(spark, find_file(spark, f"{self.location}/hosts.csv"), HOSTS_SCHEMA, HOSTS_COLUMNS)
 
     def http(self, spark: SparkSession) -> DataFrame:
         return load_http(spark, find_file(spark, f"{self.location}/http.csv"))
