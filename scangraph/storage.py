@@ -34,11 +34,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A folder of intermediate tables that belongs to one run."""
+    """A folder of intermediate tables that belongs to one run.
 
-    def __init__(self, spark: SparkSession, root: str):
+    With ``resume``, tables that an earlier run of the same inputs completed here are read, not rewritten.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, resume: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.resume = resume
         self._tables: list[str] = []
 
     @classmethod
@@ -50,23 +54,19 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` as Parquet and return it read back, with its lineage cut."""
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path(name))
+        if not (self.resume and is_complete(self.spark, self.path(name))):
+            writer = df.write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(partition_by)
+            writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def reuse(self, df: DataFrame, name: str) -> DataFrame:
-        """Like ``write``, but a table that was completed under this name is read, not rewritten."""
-        if is_complete(self.spark, self.path(name)):
-            return self.spark.read.schema(df.schema).parquet(self.path(name))
-        return self.write(df, name)
-
     def write_bucketed(
         self, df: DataFrame, name: str, buckets: int, keys: list[str], partition_by: str | None = None
     ) -> DataFrame:
         """Write ``df`` bucketed and sorted by ``keys``, so later joins on them need no exchange."""
         table = f"scangraph_{uuid.uuid4().hex}"
+        self.delete(name)
         writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
         if partition_by:
             writer = writer.partitionBy(partition_by)
