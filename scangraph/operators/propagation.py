@@ -246,6 +246,8 @@ def propagate(
         "scores",
     )
     work.forget_tables()
+    for name in ("mirrored", "edges", "hubs", "topology", *(f"{t}-{i}" for t in ("state", "messages") for i in range(max_iter + 1))):
+        work.delete(name)
     return scores
 
 

@@ -47,24 +47,26 @@ class Scans:
     dns: DataFrame
 
 
-def observed_edges(scans: Scans, hierarchy: DataFrame | None, rules: SuffixRules, name: str) -> DataFrame:
-    """Merged edges of one relation between natural keys.
+def raw_edges(scans: Scans, hierarchy: DataFrame | None, rules: SuffixRules, name: str) -> DataFrame:
+    """All observations of one relation between natural keys.
 
     ``hierarchy`` is needed for ``parent_domain`` only; ``subdomain`` is left to its mirror.
     """
     if name == "parent_domain":
-        edges = relations.parent_domains(hierarchy)
-    elif name == "contains":
-        edges = relations.contains(entities.san_entries(entities.clean_certs(scans.certs)))
-    else:
-        hosts = entities.clean_hosts(scans.hosts)
-        if name == "resolves":
-            edges = relations.resolves(entities.clean_dns(scans.dns), hosts)
-        elif name == "redirects":
-            edges = relations.redirects(scans.http, hosts, rules)
-        else:
-            edges = {"returns": relations.returns, "deployed_on": relations.deployed_on}[name](hosts)
-    return relations.merge_observations(edges)
+        return relations.parent_domains(hierarchy)
+    if name == "contains":
+        return relations.contains(entities.san_entries(entities.clean_certs(scans.certs)))
+    hosts = entities.clean_hosts(scans.hosts)
+    if name == "resolves":
+        return relations.resolves(entities.clean_dns(scans.dns), hosts)
+    if name == "redirects":
+        return relations.redirects(scans.http, hosts, rules)
+    return {"returns": relations.returns, "deployed_on": relations.deployed_on}[name](hosts)
+
+
+def observed_edges(scans: Scans, hierarchy: DataFrame | None, rules: SuffixRules, name: str) -> DataFrame:
+    """Merged edges of one relation."""
+    return relations.merge_observations(raw_edges(scans, hierarchy, rules, name))
 
 
 def domain_names(scans: Scans, rules: SuffixRules) -> DataFrame:
@@ -123,8 +125,10 @@ def build_graph(
     hierarchy = work.write(entities.domain_hierarchy(names, rules), "hierarchy")
     ids = dense_ids(vertex_keys(scans, hierarchy), "guid", work)
 
-    observed = [_wide(n, observed_edges(scans, hierarchy, rules, n)) for n in RELATION_COLUMNS if n != "subdomain"]
-    edges = relations.attach_ids(union_all(observed), ids)
+    redirects = work.write(raw_edges(scans, hierarchy, rules, "redirects"), "redirects")
+    observed = {n: observed_edges(scans, hierarchy, rules, n) for n in RELATION_COLUMNS if n not in ("redirects", "subdomain")}
+    observed["redirects"] = relations.merge_observations(redirects)
+    edges = relations.attach_ids(union_all([_wide(n, df) for n, df in observed.items()]), ids)
     stored = work.write(_with_subdomains(edges), "relations", partition_by="type")
 
     kind = F.substring_index("guid", "_", 1).alias("kind")
@@ -144,14 +148,17 @@ def build_graph(
         value = F.expr(f"substring(guid, {len(prefix) + 2})")
         return keyed(prefix).select("id", value.alias(column), "inDegree", "outDegree")
 
+    crowded = relations.values_of_crowded_edges(redirects, "location")
+    details = {"redirects": work.write(relations.attach_ids(crowded, ids), "locations")}
+    cert_vertices = work.write(certs, "certs")
+    if not work.resume:
+        for name in ("names", "hierarchy", "keys", "redirects"):
+            work.delete(name)
     return Graph(
-        vertices={
-            "cert": work.write(certs, "certs"),
-            "domain": valued("d", "domain_name"),
-            "ip": valued("ip", "ip"),
-        },
+        vertices={"cert": cert_vertices, "domain": valued("d", "domain_name"), "ip": valued("ip", "ip")},
         relations={
             name: stored.where(F.col("type") == name).select("src", "dst", *columns)
             for name, columns in RELATION_COLUMNS.items()
         },
+        details=details,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +21,15 @@ _KEYS = {":ID": "id", ":START_ID": "src", ":END_ID": "dst"}
 
 @dataclass(frozen=True)
 class Graph:
-    """Vertex tables by kind and relation tables by name."""
+    """Vertex tables by kind and relation tables by name.
+
+    ``details`` holds rows that belong to an edge but do not fit its list columns; it is not part of
+    the edges.
+    """
 
     vertices: dict[str, DataFrame]
     relations: dict[str, DataFrame]
+    details: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         for tables in (self.vertices, self.relations):
@@ -109,7 +114,7 @@ def read_graph(spark: SparkSession, directory: str, bidirectional: bool = False)
 
     With ``bidirectional``, the two relations that only repeat another one backwards are left out.
     """
-    tables: dict[str, dict[str, DataFrame]] = {"vertex": {}, "relation": {}}
+    tables: dict[str, dict[str, DataFrame]] = {"vertex": {}, "relation": {}, "detail": {}}
     for entry in list_names(spark, directory):
         name, _, rest = entry.partition(".")
         kind = rest.partition(".")[0]
@@ -118,7 +123,7 @@ def read_graph(spark: SparkSession, directory: str, bidirectional: bool = False)
         if bidirectional and name in ("deployed_on", "parent_domain"):
             continue
         tables[kind][name] = read_table(spark, f"{directory}/{entry}")
-    return Graph(tables["vertex"], tables["relation"])
+    return Graph(tables["vertex"], tables["relation"], tables["detail"])
 
 
 def write_graph(graph: Graph, directory: str, output_type: str = "parquet", overwrite: bool = False) -> None:
@@ -130,6 +135,7 @@ def write_graph(graph: Graph, directory: str, output_type: str = "parquet", over
         raise ValueError(f"unknown output type {output_type}")
     keyed = [(f"{n}.vertex", df, ["id"]) for n, df in graph.vertices.items()]
     keyed += [(f"{n}.relation", df, ["src", "dst"]) for n, df in graph.relations.items()]
+    keyed += [(f"{n}.detail", df, ["src", "dst"]) for n, df in graph.details.items() if not df.isEmpty()]
     for name, df, keys in keyed:
         path = f"{directory}/{name}"
         if is_complete(df.sparkSession, path) and not overwrite:

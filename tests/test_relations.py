@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from scangraph.functions.suffixes import SuffixRules
 from scangraph.operators import entities, relations
@@ -36,6 +37,41 @@ def test_merge_observations_and_id_lookup(spark):
     assert (second.scan_dates, second.valid, second.scan_src) == ([D1], None, [])
 
 
+def test_lists_too_long_for_an_edge_are_kept_as_rows(spark):
+    urls = [("d_a", "d_b", f"u{i % 5}", True, D1) for i in range(20)] + [("d_a", "d_c", "u", False, D2)]
+    seen = spark.createDataFrame(urls, "from string, to string, location string, valid boolean, scan_date date")
+    rows = {r.to: r for r in relations.merge_observations(seen, limit=4).collect()}
+    assert rows["d_b"].locations is None and rows["d_b"].scan_dates == [D1] and rows["d_b"].valid is True
+    assert rows["d_c"].locations == ["u"]
+    apart = relations.values_of_crowded_edges(seen, "location", limit=4)
+    assert sorted((r.to, r.location) for r in apart.collect()) == [("d_b", f"u{i}") for i in range(5)]
+    assert {r.to: r.locations for r in relations.merge_observations(seen, limit=5).collect()}["d_b"] == [f"u{i}" for i in range(5)]
+
+
+def test_hub_is_split_in_the_id_lookup(spark, work):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    other = F.concat(F.lit("ip_"), F.col("id"))
+    hub = F.when(F.col("id") % 3 == 0, "d_hub").otherwise(F.concat(F.lit("d_"), F.col("id")))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        edges = spark.range(60000, numPartitions=8).select(hub.alias("from"), other.alias("to"))
+        ids = edges.select(F.inline(F.array(F.struct(F.col("from").alias("guid")), F.struct(F.col("to").alias("guid"))))).distinct()
+        ids = work.write(ids.select("guid", F.xxhash64("guid").alias("id")), "ids")
+        joined = relations.attach_ids(edges, ids)
+        assert len(joined.collect()) == 60000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_merge_without_dates_is_distinct(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None)], "from string, to string")
     assert pairs(relations.merge_observations(df)) == [("a", "b")]

@@ -234,9 +234,10 @@ def returns_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redirect_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of the edges that have more than three, as rows."""
     hosts = entities.clean_hosts(views.scan_hosts(spark, sf_dir))
     edges = relations.redirects(views.scan_http(spark, sf_dir), hosts, SuffixRules.default(spark))
-    return relations.redirect_locations(edges)
+    return relations.values_of_crowded_edges(edges, "location", limit=3)
 
 
 # The graph

@@ -325,7 +325,9 @@ ALL: dict[str, str] = {
     "returns_with_names": _BASE
     + f"""select 'ip_' || ip as "from", 'c_' || cert_hash as "to", {_set("scan_date")} as scan_dates,
         {_set("server_name")} as server_name_indicators from hosts where cert_hash is not null group by all""",
-    "redirect_locations": _BASE + 'select distinct "from", "to", location from redirects_raw',
+    "redirect_locations": _BASE
+    + """select distinct "from", "to", location from redirects_raw semi join (
+        select "from", "to" from redirects_raw group by all having count(distinct location) > 3) using ("from", "to")""",
     "graph_relations": _FULL + "select * from rels",
     "graph_certs": _FULL
     + """select v.id, c.* exclude (guid), v.inDegree, v.outDegree from cert_set c join indexed v using (guid)""",
