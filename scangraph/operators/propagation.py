@@ -106,6 +106,17 @@ def seed_vertices(blocklist: DataFrame, vertices: DataFrame, column: str) -> Dat
     return blocklist.select(column).distinct().join(vertices.select("id", column), column).select("id")
 
 
+def number_experiments(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds with a number in place of the experiment, and the names as ``code, experiment``.
+
+    Every message carries its experiment, so it should be short. There is one name per blocklist.
+    """
+    names = sorted(row.experiment for row in seeds.select("experiment").distinct().collect())
+    codes = seeds.sparkSession.createDataFrame(list(enumerate(names)), "code int, experiment string")
+    numbered = seeds.join(F.broadcast(codes), "experiment")
+    return numbered.select(F.col("code").alias("experiment"), "id"), codes
+
+
 def initial_state(seeds: DataFrame, vertices: DataFrame) -> DataFrame:
     """Score 1 for every seed of every experiment."""
     degree = vertices.select("id", F.col("outDegree").cast("long").alias("out_degree"))
@@ -138,7 +149,8 @@ def mutual_messages(sent: DataFrame, topology: Topology, previous: DataFrame | N
         echo = previous.select(
             "experiment", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("message").alias("echo")
         )
-        messages = messages.join(echo, ["experiment", "src", "dst"], "left")
+        # Ids first: the sort prefix is taken from the first key.
+        messages = messages.join(echo, ["src", "dst", "experiment"], "left")
         owes = ~F.coalesce(F.col("fixed"), F.lit(False)) & F.col("echo").isNotNull() & (F.col("out_degree") > 0)
         message = F.when(owes, message - F.col("echo") / F.col("out_degree")).otherwise(message)
     return messages.select("experiment", "src", "dst", "src_degree", message.alias("message"))
@@ -210,6 +222,7 @@ def propagate(
         degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outDegree"))
         vertices = with_degrees(vertices.select("id").distinct(), degree)
     vertices = vertices.select("id", "outDegree").distinct()
+    seeds, codes = number_experiments(seeds)
     topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
 
     state = work.write(initial_state(seeds, vertices), "state-0")
@@ -241,9 +254,9 @@ def propagate(
         finished.append(state)
     finished = finished or [work.write(initial_state(seeds, vertices), "no-seeds")]
 
+    named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
     scores = work.write(
-        union_all(finished).select("experiment", "id", "score", F.coalesce("fixed", F.lit(False)).alias("fixed")),
-        "scores",
+        named.select("experiment", "id", "score", F.coalesce("fixed", F.lit(False)).alias("fixed")), "scores"
     )
     work.forget_tables()
     for name in ("mirrored", "edges", "hubs", "topology", *(f"{t}-{i}" for t in ("state", "messages") for i in range(max_iter + 1))):
