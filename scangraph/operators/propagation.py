@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from scangraph.functions.suffixes import union_all
 from scangraph.operators.degrees import mirror, with_degrees
-from scangraph.storage import Workspace
+from scangraph.storage import Workspace, bucket_order_kept, list_names
 
 MAX_HUBS = 100_000
 EDGES_PER_SPLIT = 1_000_000
 _KEY = ["dst", "salt"]
+_OWN_TABLES = ("mirrored", "seeds", "edges", "hubs", "topology")
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ def number_experiments(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
 def initial_state(seeds: DataFrame, vertices: DataFrame) -> DataFrame:
     """Score 1 for every seed of every experiment."""
     degree = vertices.select("id", F.col("outDegree").cast("long").alias("out_degree"))
-    state = seeds.select("experiment", "id").distinct().join(degree, "id", "left")
+    state = seeds.join(degree, "id", "left")
     return state.select(
         "experiment",
         "id",
@@ -195,6 +196,37 @@ def changed_counts(state: DataFrame, epsilon: float) -> DataFrame:
     return state.groupBy("experiment").agg(F.count_if(moved).alias("changed"))
 
 
+def _run_rounds(
+    topology: Topology, start: DataFrame, epsilon: float, max_iter: int, work: Workspace
+) -> list[DataFrame]:
+    """Final states; every experiment is in exactly one of them."""
+    state, messages = work.write(start, "state-0"), None
+    finished: list[DataFrame] = []
+    for step in range(max_iter):
+        counts = changed_counts(state, epsilon).collect()  # one row per blocklist
+        done = [row.experiment for row in counts if row.changed == 0]
+        if len(done) == len(counts):
+            break
+        active = state
+        if done:
+            finished.append(state.where(F.col("experiment").isin(done)))
+            active = state.where(~F.col("experiment").isin(done))
+
+        sent = senders(active, topology.hubs)
+        mutual = work.write(mutual_messages(sent, topology, messages), f"messages-{step}")
+        oneway = sent.join(topology.oneway, _KEY)
+        oneway = oneway.select("experiment", "src", "src_degree", F.col("score").alias("message"))
+        following = work.write(next_state(active, oneway, mutual), f"state-{step + 1}")
+
+        # Both tables are complete now, so what they were made from is no longer needed.
+        if step > 0:
+            work.delete(f"messages-{step - 1}")
+        if not done:
+            work.delete(f"state-{step}")
+        state, messages = following, mutual
+    return [*finished, state]
+
+
 def propagate(
     spark: SparkSession,
     vertices: DataFrame,
@@ -222,45 +254,20 @@ def propagate(
         degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outDegree"))
         vertices = with_degrees(vertices.select("id").distinct(), degree)
     vertices = vertices.select("id", "outDegree").distinct()
-    seeds, codes = number_experiments(seeds)
+    seeds, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
     topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
 
-    state = work.write(initial_state(seeds, vertices), "state-0")
-    messages = None
-    finished: list[DataFrame] = []
-    for step in range(max_iter):
-        counts = changed_counts(state, epsilon).collect()  # one row per blocklist
-        done = [row.experiment for row in counts if row.changed == 0]
-        if done:
-            finished.append(state.where(F.col("experiment").isin(done)))
-        if len(done) == len(counts):
-            state = None
-            break
-        active = state.where(~F.col("experiment").isin(done)) if done else state
-
-        sent = senders(active, topology.hubs)
-        mutual = work.write(mutual_messages(sent, topology, messages), f"messages-{step}")
-        oneway = sent.join(topology.oneway, _KEY)
-        oneway = oneway.select("experiment", "src", "src_degree", F.col("score").alias("message"))
-        following = work.write(next_state(active, oneway, mutual), f"state-{step + 1}")
-
-        # Both tables are complete now, so what they were made from is no longer needed.
-        if step > 0:
-            work.delete(f"messages-{step - 1}")
-        if not done:
-            work.delete(f"state-{step}")
-        state, messages = following, mutual
-    if state is not None:
-        finished.append(state)
-    finished = finished or [work.write(initial_state(seeds, vertices), "no-seeds")]
+    with bucket_order_kept(spark):
+        finished = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
 
     named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
     scores = work.write(
         named.select("experiment", "id", "score", F.coalesce("fixed", F.lit(False)).alias("fixed")), "scores"
     )
     work.forget_tables()
-    for name in ("mirrored", "edges", "hubs", "topology", *(f"{t}-{i}" for t in ("state", "messages") for i in range(max_iter + 1))):
-        work.delete(name)
+    for name in list_names(spark, work.root):
+        if name in _OWN_TABLES or name.startswith(("state-", "messages-")):
+            work.delete(name)
     return scores
 
 

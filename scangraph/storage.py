@@ -11,6 +11,8 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +86,21 @@ class Workspace:
         delete_path(self.spark, self.path(name))
 
 
+@contextmanager
+def bucket_order_kept(spark: SparkSession) -> Iterator[None]:
+    """Let scans of bucketed tables rely on the order inside a bucket that is one file.
+
+    Spark checks the files itself; without this setting it sorts every bucket at every read.
+    """
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -13,6 +13,7 @@ from scangraph.operators.propagation import (
     propagate,
     senders,
 )
+from scangraph.storage import bucket_order_kept
 
 EDGES = [(0, 3), (0, 4), (1, 3), (2, 4), (3, 0), (3, 1), (4, 0), (4, 2), (5, 1)]
 DEGREES = {0: 2, 1: 1, 2: 1, 3: 2, 4: 2, 5: 1}
@@ -150,19 +151,20 @@ def test_hubs_are_bounded_and_split(spark):
     assert find_hubs(edges, 1000, 400).count() == 0
 
 
-def test_rounds_do_not_shuffle_edges(spark, work):
+def test_rounds_neither_shuffle_nor_sort_edges(spark, work):
     vertices, edges, seeds = frames(spark, EDGES, DEGREES, [("a", 4)])
     topology = prepare_topology(vertices, edges, work, edges_per_split=1, buckets=2)
     state = work.write(initial_state(seeds, vertices), "state")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        sent = senders(state, topology.hubs)
-        oneway = sent.join(topology.oneway, ["dst", "salt"])
-        plan = oneway._jdf.queryExecution().executedPlan().toString()
+        with bucket_order_kept(spark):
+            oneway = senders(state, topology.hubs).join(topology.oneway, ["dst", "salt"])
+            plan = oneway._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert plan.count("Sort [") == 1  # the scores; the edges are sorted in their files
     work.forget_tables()
 
 
