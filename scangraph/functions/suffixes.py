@@ -108,23 +108,35 @@ def with_suffix_length(df: DataFrame, name: str, rules: SuffixRules, private: bo
     return joined.withColumn(out, length).drop(*helpers)
 
 
-def with_domain_chain(df: DataFrame, name: str, rules: SuffixRules, out: str = "chain") -> DataFrame:
-    """Add the name and all its parents down to the registrable domain.
+def with_chain_length(df: DataFrame, name: str, rules: SuffixRules) -> DataFrame:
+    """Add ``_name``, the name with plain dots, and ``_length``, the number of names in its chain.
 
-    Invalid names give null, bare suffixes an empty array. An unknown last label acts as a suffix.
+    Both are null for an invalid name. A bare suffix has length 0; an unknown last label acts as a
+    suffix.
     """
     dotted = F.translate(F.col(name), "。．｡", "...")
     checked = df.withColumn("_name", F.when(is_domain_or_wildcard(F.col(name)), dotted))
     sized = with_suffix_length(checked, "_name", rules, True, "_suffix")
-    labels = F.split(F.col("_name"), r"\.")
-    parents = F.size(labels) - F.coalesce(F.col("_suffix"), F.lit(1))
-    chain = F.transform(
-        F.sequence(F.lit(0), parents - 1),
-        lambda i: F.call_function("substring_index", F.col("_name"), F.lit("."), i - F.size(labels)),
-    )
+    length = _labels(F.col("_name")) - F.coalesce(F.col("_suffix"), F.lit(1))
+    return sized.withColumn("_length", F.when(F.col("_name").isNotNull(), F.greatest(length, F.lit(0)))).drop("_suffix")
+
+
+def _labels(name: Column) -> Column:
+    return F.size(F.split(name, r"\."))
+
+
+def ancestor(name: Column, steps: Column) -> Column:
+    """The name without its first labels."""
+    return F.call_function("substring_index", name, F.lit("."), steps - _labels(name))
+
+
+def with_domain_chain(df: DataFrame, name: str, rules: SuffixRules, out: str = "chain") -> DataFrame:
+    """Add the name and all its parents down to the registrable domain, as an array."""
+    sized = with_chain_length(df, name, rules)
+    steps = F.sequence(F.lit(0), F.col("_length") - 1)
+    chain = F.transform(steps, lambda i: ancestor(F.col("_name"), i))
     empty = F.array().cast("array<string>")
-    value = F.when(F.col("_name").isNull(), F.lit(None)).when(parents < 1, empty).otherwise(chain)
-    return sized.withColumn(out, value).drop("_name", "_suffix")
+    return sized.withColumn(out, F.when(F.col("_length") == 0, empty).otherwise(chain)).drop("_name", "_length")
 
 
 def parent_domain(chain: Column) -> Column:

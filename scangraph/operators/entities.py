@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scangraph.functions.addresses import is_ip
 from scangraph.functions.names import is_domain_or_wildcard, strip_root_dot
-from scangraph.functions.suffixes import SuffixRules, union_all, with_domain_chain, with_location_host
+from scangraph.functions.suffixes import SuffixRules, ancestor, union_all, with_chain_length, with_location_host
 
 CERT_ATTRIBUTES = ["subject", "issuer", "notBefore", "notAfter", "basicConstraints", "isCa", "numAltNames"]
 
@@ -71,13 +71,16 @@ def raw_domain_names(
 def domain_hierarchy(names: DataFrame, rules: SuffixRules) -> DataFrame:
     """All names and their parents as distinct ``domain_name``, ``parent``.
 
-    One pass over the chains gives both the domain vertices and the parent edges.
+    One pass gives both the domain vertices and the parent edges. Parents are generated row by row;
+    no chain is held as a whole.
     """
-    chain = F.col("chain")
-    step = F.posexplode(chain).alias("position", "domain_name")
-    rows = with_domain_chain(names, "domain_name", rules).select(chain, step)
-    follows = F.try_element_at(chain, F.col("position") + 2)
-    parent = F.when(is_domain_or_wildcard(F.col("domain_name")), follows)
+    sized = with_chain_length(names, "domain_name", rules).where(F.col("_length") > 0)
+    steps = F.explode(F.sequence(F.lit(0), F.col("_length") - 1)).alias("step")
+    rows = sized.select("_name", "_length", steps).select(
+        ancestor(F.col("_name"), F.col("step")).alias("domain_name"),
+        F.when(F.col("step") < F.col("_length") - 1, ancestor(F.col("_name"), F.col("step") + 1)).alias("parent"),
+    )
+    parent = F.when(is_domain_or_wildcard(F.col("domain_name")), F.col("parent"))
     return rows.select("domain_name", parent.alias("parent")).distinct()
 
 

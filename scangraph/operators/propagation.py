@@ -251,8 +251,7 @@ def propagate(
     work = work or Workspace.fresh(spark)
     if bidirectional:
         edges = work.write(mirror(edges), "mirrored")
-        degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outDegree"))
-        vertices = with_degrees(vertices.select("id").distinct(), degree)
+        vertices = neighbour_degrees(vertices, edges)
     vertices = vertices.select("id", "outDegree").distinct()
     seeds, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
     topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
@@ -271,11 +270,19 @@ def propagate(
     return scores
 
 
-def scores_by_kind(vertices: DataFrame, scores: DataFrame) -> DataFrame:
-    """Vertices of one kind with their scores."""
+def scores_by_kind(vertices: DataFrame, scores: DataFrame, evaluation: DataFrame | None = None) -> DataFrame:
+    """Vertices of one kind with their scores, and with a label ``evaluation`` by ``id`` if given."""
+    if evaluation is not None:
+        scores = scores.join(evaluation.select("id", "evaluation"), "id", "left")
     return vertices.join(scores, "id")
 
 
+def neighbour_degrees(vertices: DataFrame, mirrored: DataFrame) -> DataFrame:
+    """``id, outDegree`` of an undirected graph whose edges are given in both directions."""
+    degree = mirrored.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outDegree"))
+    return with_degrees(vertices.select("id").distinct(), degree)
+
+
 def score_histogram(scores: DataFrame) -> DataFrame:
     """Number of reached, unseeded vertices per rounded score."""
     bucket = F.round("score", 1).alias("score_bucket")

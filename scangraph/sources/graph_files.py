@@ -144,3 +144,8 @@ def write_graph(graph: Graph, directory: str, output_type: str = "parquet", over
             write_graph_csv(df, path)
         else:
             df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def write_typed_edges(edges: DataFrame, path: str) -> None:
+    """Write distinct ``src, dst, type`` rows of several relations as one table, clustered by edge."""
+    edges.distinct().repartitionByRange("src", "dst").write.mode("overwrite").parquet(path)

@@ -11,6 +11,7 @@ from scangraph.operators.propagation import (
     next_state,
     prepare_topology,
     propagate,
+    scores_by_kind,
     senders,
 )
 from scangraph.storage import bucket_order_kept
@@ -129,6 +130,15 @@ def test_bidirectional_uses_distinct_neighbours(spark):
     assert_close(scores(got)["a"], by_definition(mirrored, neighbours, {0}, 0.0, 5))
 
 
+def test_scores_by_kind_with_labels(spark):
+    vertices = spark.createDataFrame([(1, "1.1.1.1"), (2, "2.2.2.2")], "id long, ip string")
+    found = spark.createDataFrame([("a", 1, 0.5, False)], "experiment string, id long, score double, fixed boolean")
+    labels = spark.createDataFrame([(1, "bad"), (2, "good")], "id long, evaluation string")
+    (row,) = scores_by_kind(vertices, found, labels).collect()
+    assert (row.ip, row.score, row.evaluation) == ("1.1.1.1", 0.5, "bad")
+    assert "evaluation" not in scores_by_kind(vertices, found).columns
+
+
 def test_no_seeds_give_no_scores(spark):
     got = propagate(spark, *frames(spark, EDGES, DEGREES, []))
     assert got.count() == 0 and got.columns == ["experiment", "id", "score", "fixed"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scangraph.sources.blocklists import Blocklist
-from scangraph.sources.graph_files import Graph, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv
+from scangraph.sources.graph_files import Graph, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import (
     CERTS_PARSED_SCHEMA,
@@ -151,6 +151,13 @@ def test_graph_csv_is_written_once(spark, tmp_path):
     assert (tmp_path / "g" / "ip.vertex" / "_SUCCESS").stat().st_mtime_ns > marker
 
 
+def test_typed_edges_are_written_once_each(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, "a"), (1, 2, "a"), (1, 2, "b")], "src long, dst long, type string")
+    write_typed_edges(edges, f"{tmp_path}/relations")
+    rows = spark.read.parquet(f"{tmp_path}/relations").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 2, "a"), (1, 2, "b")]
+
+
 def test_csv_with_header_line(spark, tmp_path):
     file = tmp_path / "resolves.relation.csv"
     file.write_text(":START_ID,:END_ID,scan_date:date[],valid:boolean,scan_src:string[]\n1,2,2024-01-01;2024-01-02,,A;B\n3,4,,true,\n")

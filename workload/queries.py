@@ -25,6 +25,7 @@ from scangraph.operators.ids import dense_ids
 from scangraph.operators.propagation import (
     affected_counts,
     anomalies,
+    neighbour_degrees,
     propagate,
     score_histogram,
     scores_by_kind,
@@ -61,7 +62,7 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _graphs: dict[tuple[str, str], Graph] = {}
-_scores: dict[tuple[str, str, bool], DataFrame] = {}
+_scores: dict[tuple[str, ...], DataFrame] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -94,13 +95,26 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _propagated(spark: SparkSession, sf_dir: str, converged: bool) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, converged)
+# Parameters of the propagations that queries share.
+_RUNS = {
+    "3 rounds": {"epsilon": 0.0, "max_iter": 3},
+    "3 rounds, both ways": {"epsilon": 0.0, "max_iter": 3, "bidirectional": True},
+    "converged": {"epsilon": 0.01, "max_iter": 100},
+}
+
+
+def _relations(spark: SparkSession, sf_dir: str, bidirectional: bool = False) -> DataFrame:
+    found = graph(spark, sf_dir).relations
+    left_out = ("deployed_on", "parent_domain") if bidirectional else ()
+    return relations.typed_union({n: df for n, df in found.items() if n not in left_out})
+
+
+def _propagated(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, run)
     if key not in _scores:
-        g = graph(spark, sf_dir)
-        limits = {"epsilon": 0.01, "max_iter": 100} if converged else {"epsilon": 0.0, "max_iter": 3}
-        edges = relations.typed_union(g.relations)
-        _scores[key] = propagate(spark, vertex_union(g.vertices), edges, _seeds(spark, sf_dir), **limits)
+        edges = _relations(spark, sf_dir, "bidirectional" in _RUNS[run])
+        vertices = vertex_union(graph(spark, sf_dir).vertices)
+        _scores[key] = propagate(spark, vertices, edges, _seeds(spark, sf_dir), **_RUNS[run])
     return _scores[key]
 
 
@@ -279,12 +293,12 @@ def graph_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return degrees(relations.typed_union(graph(spark, sf_dir).relations))
+    return degrees(_relations(spark, sf_dir))
 
 
 @query
 def graph_undirected_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return undirected_degrees(relations.typed_union(graph(spark, sf_dir).relations))
+    return undirected_degrees(_relations(spark, sf_dir))
 
 
 @query
@@ -294,7 +308,7 @@ def graph_vertex_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.typed_union(graph(spark, sf_dir).relations)
+    return _relations(spark, sf_dir)
 
 
 @query
@@ -304,8 +318,13 @@ def reverse_valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mirrored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = {n: df for n, df in graph(spark, sf_dir).relations.items() if n not in ("deployed_on", "parent_domain")}
-    return mirror(relations.typed_union(kept))
+    return mirror(_relations(spark, sf_dir, bidirectional=True))
+
+
+@query
+def mirrored_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = vertex_union(graph(spark, sf_dir).vertices)
+    return neighbour_degrees(vertices, mirror(_relations(spark, sf_dir, bidirectional=True)))
 
 
 @query
@@ -327,34 +346,39 @@ def blocklist_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scores_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds for all blocklists, by natural key."""
-    scores = _propagated(spark, sf_dir, converged=False)
+    scores = _propagated(spark, sf_dir, "3 rounds")
     named = scores.join(_natural_keys(graph(spark, sf_dir)), "id")
     return _rounded(named.select("experiment", "name", "score", "fixed"))
 
 
 @query
 def score_histogram_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_histogram(_rounded(_propagated(spark, sf_dir, converged=False))).withColumnRenamed("count", "vertices")
+    return score_histogram(_rounded(_propagated(spark, sf_dir, "3 rounds"))).withColumnRenamed("count", "vertices")
 
 
 @query
 def score_anomalies_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(anomalies(_propagated(spark, sf_dir, converged=False)))
+    return _rounded(anomalies(_propagated(spark, sf_dir, "3 rounds")))
 
 
 @query
 def affected_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return affected_counts(_propagated(spark, sf_dir, converged=False))
+    return affected_counts(_propagated(spark, sf_dir, "3 rounds"))
 
 
 @query
 def ip_scores_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _propagated(spark, sf_dir, converged=False)
+    scores = _propagated(spark, sf_dir, "3 rounds")
     return _rounded(scores_by_kind(graph(spark, sf_dir)["ip"], scores))
 
 
+@query
+def scores_3_rounds_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_propagated(spark, sf_dir, "3 rounds, both ways"))
+
+
 @query
 def scores_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _propagated(spark, sf_dir, converged=True)
+    scores = _propagated(spark, sf_dir, "converged")
     named = scores.join(_natural_keys(graph(spark, sf_dir)), "id")
     return _rounded(named.select("experiment", "name", "score", "fixed"))

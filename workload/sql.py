@@ -230,10 +230,15 @@ seeds as (
 """
 
 
-def _rounds(count: int) -> str:
+_MIRROR = """select src, dst from rels where type not in ('deployed_on', 'parent_domain')
+        union select dst, src from rels where type not in ('deployed_on', 'parent_domain')"""
+
+
+def _rounds(count: int, edges: str, degrees: str) -> str:
     """The definition of the scores, one pair of CTEs per round."""
     parts = [
-        "edge as materialized (select distinct src, dst from rels)",
+        f"edge as materialized ({edges})",
+        f"degreed as materialized ({degrees})",
         "state0 as (select distinct experiment, id, 1.0::double as score, true as fixed from seeds)",
     ]
     for t in range(count):
@@ -248,7 +253,7 @@ def _rounds(count: int) -> str:
             )
         parts.append(
             f"message{t} as materialized (select s.experiment, e.src, e.dst, {owed} as score "
-            f"from state{t} s join edge e on e.dst = s.id join indexed v on v.id = s.id {echo} "
+            f"from state{t} s join edge e on e.dst = s.id join degreed v on v.id = s.id {echo} "
             "where s.score is not null)"
         )
         parts.append(
@@ -259,7 +264,7 @@ def _rounds(count: int) -> str:
             "coalesce(s.id, m.id) as id, case when s.fixed then 1.0::double "
             "when v.outDegree > 0 then m.total / v.outDegree end as score, coalesce(s.fixed, false) as fixed "
             f"from state{t} s full join sum{t} m on m.experiment = s.experiment and m.id = s.id "
-            "join indexed v on v.id = coalesce(s.id, m.id))"
+            "join degreed v on v.id = coalesce(s.id, m.id))"
         )
     return ", ".join(parts)
 
@@ -270,7 +275,12 @@ def _with(*layers: str) -> str:
 
 _BASE = _with(_VIEWS)
 _FULL = _with(_VIEWS, _GRAPH)
-_SCORED = _with(_VIEWS, _GRAPH, _SEEDS, _rounds(3))
+_SCORED = _with(
+    _VIEWS, _GRAPH, _SEEDS, _rounds(3, "select distinct src, dst from rels", "select id, outDegree from indexed")
+)
+_NEIGHBOURS = """select v.id, coalesce(n.outDegree, 0) as outDegree from indexed v
+        left join (select src as id, count(*) as outDegree from edge group by src) n using (id)"""
+_SCORED_BOTH = _with(_VIEWS, _GRAPH, _SEEDS, _rounds(3, _MIRROR, _NEIGHBOURS))
 
 _ALIASES = f"""
 with recursive page_hosts as (
@@ -341,15 +351,16 @@ ALL: dict[str, str] = {
     "typed_edges": _FULL + "select src, dst, type from rels",
     "reverse_valid_edges": _FULL
     + "select dst as src, src as dst, scan_dates from rels where type = 'resolves' and valid",
-    "mirrored_edges": _FULL
-    + """select src, dst from rels where type not in ('deployed_on', 'parent_domain')
-        union select dst, src from rels where type not in ('deployed_on', 'parent_domain')""",
+    "mirrored_edges": _FULL + _MIRROR,
+    "mirrored_degrees": _with(_VIEWS, _GRAPH, f"edge as ({_MIRROR})") + _NEIGHBOURS,
     "trade_degrees": """select id, cast(sum(i) as bigint) as inDegree, cast(sum(o) as bigint) as outDegree from (
         select 'p' || l_partkey as id, 0 as i, 1 as o from lineitem
         union all select 's' || l_suppkey, 1, 0 from lineitem) group by id""",
     "blocklist_seeds": _with(_VIEWS, _GRAPH, _SEEDS) + "select * from seeds",
     "scores_3_rounds": _SCORED
     + "select experiment, guid as name, round(score, 8) as score, fixed from state3 join indexed using (id)",
+    "scores_3_rounds_both_ways": _SCORED_BOTH
+    + "select experiment, id, round(score, 8) as score, fixed from state3",
     "score_histogram_3_rounds": _SCORED
     + """select experiment, round(round(score, 8), 1) as score_bucket, count(*) as vertices
         from state3 where not fixed group by all""",
