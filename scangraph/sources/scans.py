@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 from scangraph.functions.suffixes import union_all
 from scangraph.plans.build import Scans
 from scangraph.sources.certificates import decode_certificates
-from scangraph.storage import is_complete, path_exists
+from scangraph.storage import is_complete, path_exists, write_text
 
 # The column contracts of the scanner's files.
 HOSTS_SCHEMA = (
@@ -146,11 +147,44 @@ class DnsScan:
         return load_csv(spark, self.location, DNS_SCHEMA, header=False, multi_line=False)
 
 
-def _ingest(df: DataFrame, root: str, keys: dict[str, str], overwrite: bool) -> None:
-    """Write one source below its partition folders unless it is already complete there."""
-    path = "/".join([root, *[f"{k}={v}" for k, v in keys.items()]])
-    if overwrite or not is_complete(df.sparkSession, path):
-        df.hint("rebalance").write.mode("overwrite").parquet(path)
+def _ingest(
+    spark: SparkSession,
+    scans: list,
+    read: Callable[[SparkSession, object], DataFrame],
+    root: str,
+    keys: list[str],
+    overwrite: bool,
+) -> None:
+    """Write all scans that are not complete yet in one job, each below its own partition folders."""
+    folders = dict(zip(_folders(root, scans, keys), scans))
+    if len(folders) < len(scans):
+        raise ValueError(f"two scans below {root} have the same {', '.join(keys)}")
+    pending = {f: scan for f, scan in folders.items() if overwrite or not is_complete(spark, f)}
+    if not pending:
+        return
+    rows = union_all([_with_keys(read(spark, scan), scan, keys) for scan in pending.values()])
+    writer = rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*keys).parquet(root)
+    for folder in pending:
+        write_text(spark, f"{folder}/_SUCCESS", "")
+
+
+def _folders(root: str, scans: list, keys: list[str]) -> list[str]:
+    return ["/".join([root, *[f"{k}={v}" for k, v in _scan_keys(scan, keys).items()]]) for scan in scans]
+
+
+def _scan_keys(scan: TlsScan | DnsScan, keys: list[str]) -> dict[str, str]:
+    return {k: scan.name if k == "source" else getattr(scan, k) for k in keys}
+
+
+def _with_keys(df: DataFrame, scan: TlsScan | DnsScan, keys: list[str]) -> DataFrame:
+    values = _scan_keys(scan, keys)
+    kinds = {k: "date" if k == "scan_date" else "string" for k in keys}
+    return df.select("*", *[F.lit(values[k]).cast(kinds[k]).alias(k) for k in keys])
+
+
+TLS_KEYS = ["scan_date", "source"]
+DNS_KEYS = ["scan_src", "scan_date", "source"]
 
 
 def ingest_scans(
@@ -165,22 +199,23 @@ def ingest_scans(
     Compressed and multi-line CSV cannot be split, so this is the only place that reads it; everything
     later works on splittable Parquet. The date is part of every path, for DNS files too.
     """
-    for scan in tls_scans:
-        keys = {"scan_date": scan.scan_date, "source": scan.name}
-        _ingest(scan.hosts(spark), f"{cache_dir}/hosts", keys, overwrite)
-        _ingest(scan.http(spark), f"{cache_dir}/http", keys, overwrite)
-        _ingest(scan.certs(spark), f"{cache_dir}/certs", keys, overwrite)
-    for scan in dns_scans:
-        keys = {"scan_src": scan.scan_src, "scan_date": scan.scan_date, "source": scan.name}
-        _ingest(scan.pairs(spark), f"{cache_dir}/dns", keys, overwrite)
-    return read_ingested(spark, cache_dir)
+    _ingest(spark, tls_scans, lambda s, scan: scan.hosts(s), f"{cache_dir}/hosts", TLS_KEYS, overwrite)
+    _ingest(spark, tls_scans, lambda s, scan: scan.http(s), f"{cache_dir}/http", TLS_KEYS, overwrite)
+    _ingest(spark, tls_scans, lambda s, scan: scan.certs(s), f"{cache_dir}/certs", TLS_KEYS, overwrite)
+    _ingest(spark, dns_scans, lambda s, scan: scan.pairs(s), f"{cache_dir}/dns", DNS_KEYS, overwrite)
+    return read_ingested(spark, cache_dir, tls_scans, dns_scans)
 
 
-def read_ingested(spark: SparkSession, cache_dir: str) -> Scans:
-    """Read the tables of ``ingest_scans``. Partition columns are typed here, not inferred."""
+def read_ingested(spark: SparkSession, cache_dir: str, tls_scans: list[TlsScan], dns_scans: list[DnsScan]) -> Scans:
+    """Read the given scans from the tables of ``ingest_scans``; other scans there are not touched.
+
+    Partition columns are typed here, not inferred.
+    """
 
     def table(name: str, columns: str) -> DataFrame:
-        return spark.read.schema(columns).parquet(f"{cache_dir}/{name}")
+        root = f"{cache_dir}/{name}"
+        folders = _folders(root, dns_scans, DNS_KEYS) if name == "dns" else _folders(root, tls_scans, TLS_KEYS)
+        return spark.read.schema(columns).option("basePath", root).parquet(*folders)
 
     keys = "scan_date DATE, source STRING"
     hosts = "id INT, ip STRING, server_name STRING, error_data STRING, cert_hash STRING, cert_valid INT"
@@ -199,13 +234,12 @@ def read_ingested(spark: SparkSession, cache_dir: str) -> Scans:
 def scan_tables(spark: SparkSession, tls_scans: list[TlsScan], dns_scans: list[DnsScan]) -> Scans:
     """The same tables straight from the files, without a cache."""
 
-    def dated(df: DataFrame, scan: TlsScan | DnsScan) -> DataFrame:
-        day = F.lit(scan.scan_date).cast("date").alias("scan_date")
-        return df.select("*", day, F.lit(scan.name).alias("source"))
+    def tables(scans: list, read: Callable, keys: list[str]) -> DataFrame:
+        return union_all([_with_keys(read(scan), scan, keys) for scan in scans])
 
     return Scans(
-        hosts=union_all([dated(s.hosts(spark), s) for s in tls_scans]),
-        http=union_all([dated(s.http(spark), s) for s in tls_scans]),
-        certs=union_all([dated(s.certs(spark), s) for s in tls_scans]),
-        dns=union_all([dated(s.pairs(spark), s).withColumn("scan_src", F.lit(s.scan_src)) for s in dns_scans]),
+        hosts=tables(tls_scans, lambda s: s.hosts(spark), TLS_KEYS),
+        http=tables(tls_scans, lambda s: s.http(spark), TLS_KEYS),
+        certs=tables(tls_scans, lambda s: s.certs(spark), TLS_KEYS),
+        dns=tables(dns_scans, lambda s: s.pairs(spark), DNS_KEYS),
     )

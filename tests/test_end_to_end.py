@@ -116,6 +116,14 @@ def test_ingested_and_direct_tables_agree(spark, inputs):
         a, b = getattr(stored, name), getattr(direct, name)
         assert Counter(map(str, a.select(b.columns).collect())) == Counter(map(str, b.collect())), name
     assert stored.dns.count() == 6  # one file, two dates
+    done = inputs / "cache" / "dns" / "scan_src=A" / "scan_date=2024-01-01" / "source=a.ipdomain"
+    before = sorted(p.name for p in done.iterdir())
+    more = DnsScan("A", "2024-01-03", f"{inputs}/a.ipdomain")
+    assert ingest_scans(spark, tls, [*dns, more], f"{inputs}/cache").dns.count() == 9
+    assert sorted(p.name for p in done.iterdir()) == before  # complete scans are not written again
+    assert ingest_scans(spark, tls, [more], f"{inputs}/cache").dns.count() == 3  # others are left alone
+    with pytest.raises(ValueError, match="same"):
+        ingest_scans(spark, tls, [more, more], f"{inputs}/cache")
     (inputs / "2024-01-01" / "http.csv").unlink()
     with pytest.raises(FileNotFoundError):
         tls[0].http(spark)
