@@ -11,6 +11,7 @@ How the rounds are laid out:
 * A vertex with very many incoming edges is split: its edges are spread over several buckets by a
   salt, and its score is sent to each of them.
 * Only edges that exist in both directions can echo. Just these keep their message for the next round.
+  It is sent to the place of its receiver once, where it is summed up now and subtracted next time.
 * The old state joins the sum of messages as further rows of one aggregation, which replaces an outer
   join, and the out-degree travels with the edge, which replaces a lookup per round.
 * All blocklists run together under the key ``experiment``; one that has converged is set aside.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scangraph.functions.suffixes import union_all
 from scangraph.operators.degrees import mirror, with_degrees
-from scangraph.storage import Workspace, bucket_order_kept, list_names
+from scangraph.storage import Workspace, buckets_trusted, list_names
 
 MAX_HUBS = 100_000
 EDGES_PER_SPLIT = 1_000_000
@@ -40,13 +41,15 @@ _OWN_TABLES = ("mirrored", "seeds", "edges", "hubs", "topology")
 class Topology:
     """Static side of a propagation.
 
-    ``oneway`` and ``mutual`` have ``src, dst, salt, src_degree``; ``hubs`` has ``id, splits`` for the
-    at most MAX_HUBS vertices whose incoming edges are spread.
+    ``oneway`` and ``mutual`` have ``src, dst, salt, back, src_degree`` and are bucketed by ``dst, salt``.
+    ``src, back`` is the place of the reverse edge. ``hubs`` has ``id, splits`` for the at most MAX_HUBS
+    vertices whose incoming edges are spread.
     """
 
     oneway: DataFrame
     mutual: DataFrame
     hubs: DataFrame
+    buckets: int
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -90,15 +93,18 @@ def prepare_topology(
     flat = work.write(distinct_edges(edges), "edges")
     hubs = work.write(find_hubs(flat, flat.count(), edges_per_split), "hubs")
     degree = vertices.select(F.col("id").alias("src"), F.col("outDegree").cast("long").alias("src_degree"))
-    spread = F.broadcast(hubs.select(F.col("id").alias("dst"), "splits"))
-    salt = F.pmod(F.xxhash64("src"), F.coalesce(F.col("splits"), F.lit(1))).cast("int").alias("salt")
-    full = flat.join(degree, "src", "left").join(spread, "dst", "left")
-    full = full.select("src", "dst", salt, "src_degree", "mutual")
+    full = flat.join(degree, "src", "left")
+    for end, other, salt in (("dst", "src", "salt"), ("src", "dst", "back")):
+        spread = F.broadcast(hubs.select(F.col("id").alias(end), "splits"))
+        place = F.pmod(F.xxhash64(other), F.coalesce(F.col("splits"), F.lit(1))).cast("int")
+        full = full.join(spread, end, "left").withColumn(salt, place).drop("splits")
+    full = full.select("src", "dst", "salt", "back", "src_degree", "mutual")
     stored = work.write_bucketed(full, "topology", buckets, _KEY, partition_by="mutual")
     return Topology(
         oneway=stored.where(~F.col("mutual")).drop("mutual"),
         mutual=stored.where(F.col("mutual")).drop("mutual"),
         hubs=hubs,
+        buckets=buckets,
     )
 
 
@@ -143,18 +149,29 @@ def senders(state: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def mutual_messages(sent: DataFrame, topology: Topology, previous: DataFrame | None) -> DataFrame:
-    """Messages along edges in both directions, less the echo of the round before."""
+    """Messages along edges in both directions, less the echo of the round before.
+
+    ``previous`` is bucketed by the place of its receivers, which is where the reverse edges are.
+    """
     messages = sent.join(topology.mutual, _KEY)
     message = F.col("score")
     if previous is not None:
         echo = previous.select(
-            "experiment", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("message").alias("echo")
+            F.col("src").alias("dst"),
+            F.col("back").alias("salt"),
+            F.col("dst").alias("src"),
+            "experiment",
+            F.col("message").alias("echo"),
         )
-        # Ids first: the sort prefix is taken from the first key.
-        messages = messages.join(echo, ["src", "dst", "experiment"], "left")
+        messages = messages.join(echo, [*_KEY, "src", "experiment"], "left")
         owes = ~F.coalesce(F.col("fixed"), F.lit(False)) & F.col("echo").isNotNull() & (F.col("out_degree") > 0)
         message = F.when(owes, message - F.col("echo") / F.col("out_degree")).otherwise(message)
-    return messages.select("experiment", "src", "dst", "src_degree", message.alias("message"))
+    return messages.select("experiment", "src", "back", "dst", "src_degree", message.alias("message"))
+
+
+def store_messages(messages: DataFrame, topology: Topology, work: Workspace, name: str) -> DataFrame:
+    """Send messages to the place of their receivers."""
+    return work.write_bucketed(messages, name, topology.buckets, ["src", "back"], ordered=False)
 
 
 def next_state(state: DataFrame, oneway: DataFrame, mutual: DataFrame) -> DataFrame:
@@ -213,7 +230,7 @@ def _run_rounds(
             active = state.where(~F.col("experiment").isin(done))
 
         sent = senders(active, topology.hubs)
-        mutual = work.write(mutual_messages(sent, topology, messages), f"messages-{step}")
+        mutual = store_messages(mutual_messages(sent, topology, messages), topology, work, f"messages-{step}")
         oneway = sent.join(topology.oneway, _KEY)
         oneway = oneway.select("experiment", "src", "src_degree", F.col("score").alias("message"))
         following = work.write(next_state(active, oneway, mutual), f"state-{step + 1}")
@@ -256,7 +273,7 @@ def propagate(
     seeds, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
     topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
 
-    with bucket_order_kept(spark):
+    with buckets_trusted(spark):
         finished = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
 
     named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")

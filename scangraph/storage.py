@@ -64,12 +64,23 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def write_bucketed(
-        self, df: DataFrame, name: str, buckets: int, keys: list[str], partition_by: str | None = None
+        self,
+        df: DataFrame,
+        name: str,
+        buckets: int,
+        keys: list[str],
+        ordered: bool = True,
+        partition_by: str | None = None,
     ) -> DataFrame:
-        """Write ``df`` bucketed and sorted by ``keys``, so later joins on them need no exchange."""
+        """Write ``df`` bucketed and, for tables that are read often, sorted by ``keys``.
+
+        Later joins on the keys need no exchange.
+        """
         table = f"scangraph_{uuid.uuid4().hex}"
         self.delete(name)
-        writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+        if ordered:
+            writer = writer.sortBy(*keys)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.option("path", self.path(name)).saveAsTable(table)
@@ -87,18 +98,25 @@ class Workspace:
 
 
 @contextmanager
-def bucket_order_kept(spark: SparkSession) -> Iterator[None]:
-    """Let scans of bucketed tables rely on the order inside a bucket that is one file.
+def buckets_trusted(spark: SparkSession) -> Iterator[None]:
+    """Let joins of bucketed tables rely on how these were written.
 
-    Spark checks the files itself; without this setting it sorts every bucket at every read.
+    The order inside a bucket that is one file is kept (Spark checks the files), and a join on the
+    bucket columns and more is done bucket by bucket. Without these settings every bucket would be
+    sorted at every read, and shuffled again for the additional columns.
     """
-    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
+    settings = {
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(setting, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

@@ -8,13 +8,15 @@ from scangraph.operators.propagation import (
     distinct_edges,
     find_hubs,
     initial_state,
+    mutual_messages,
     next_state,
     prepare_topology,
     propagate,
     scores_by_kind,
     senders,
+    store_messages,
 )
-from scangraph.storage import bucket_order_kept
+from scangraph.storage import buckets_trusted
 
 EDGES = [(0, 3), (0, 4), (1, 3), (2, 4), (3, 0), (3, 1), (4, 0), (4, 2), (5, 1)]
 DEGREES = {0: 2, 1: 1, 2: 1, 3: 2, 4: 2, 5: 1}
@@ -168,13 +170,16 @@ def test_rounds_neither_shuffle_nor_sort_edges(spark, work):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        with bucket_order_kept(spark):
-            oneway = senders(state, topology.hubs).join(topology.oneway, ["dst", "salt"])
-            plan = oneway._jdf.queryExecution().executedPlan().toString()
+        with buckets_trusted(spark):
+            sent = senders(state, topology.hubs)
+            oneway = sent.join(topology.oneway, ["dst", "salt"])._jdf.queryExecution().executedPlan().toString()
+            first = store_messages(mutual_messages(sent, topology, None), topology, work, "messages")
+            second = mutual_messages(sent, topology, first)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
-    assert plan.count("Sort [") == 1  # the scores; the edges are sorted in their files
+    # Only the scores are shuffled. The edges are sorted in their files.
+    assert oneway.count("Exchange hashpartitioning") == 1 and oneway.count("Sort [") == 1
+    assert second.count("Exchange hashpartitioning") == 1 and second.count("Bucketed: true") == 2
     work.forget_tables()
 
 
