@@ -6,8 +6,8 @@ share that came over v -> u in the round before.
 
 How the rounds are laid out:
 
-* The edges are static. They are written once, bucketed and sorted by receiver of the lookup, so a
-  round shuffles the scores, which are small, and never the edges.
+* The edges are static. They are written once, bucketed and sorted by the sender that is looked up, so
+  a round shuffles the scores, which are small, and never the edges.
 * A vertex with very many incoming edges is split: its edges are spread over several buckets by a
   salt, and its score is sent to each of them.
 * Only edges that exist in both directions can echo. Just these keep their message for the next round.
@@ -33,6 +33,7 @@ from scangraph.storage import Workspace, buckets_trusted, list_names
 
 MAX_HUBS = 100_000
 EDGES_PER_SPLIT = 1_000_000
+MAX_EXPERIMENTS = 10_000
 _KEY = ["dst", "salt"]
 _OWN_TABLES = ("mirrored", "seeds", "edges", "hubs", "topology")
 
@@ -87,7 +88,7 @@ def prepare_topology(
     edges_per_split: int = EDGES_PER_SPLIT,
     buckets: int | None = None,
 ) -> Topology:
-    """Write the distinct edges with the sender's salt and the receiver's out-degree, bucketed."""
+    """Write the distinct edges, bucketed, with both salts and the receiver's out-degree."""
     spark = work.spark
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     flat = work.write(distinct_edges(edges), "edges")
@@ -116,9 +117,12 @@ def seed_vertices(blocklist: DataFrame, vertices: DataFrame, column: str) -> Dat
 def number_experiments(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Seeds with a number in place of the experiment, and the names as ``code, experiment``.
 
-    Every message carries its experiment, so it should be short. There is one name per blocklist.
+    Every message carries its experiment, so it should be short. There is one name per blocklist; more
+    than MAX_EXPERIMENTS of them are refused.
     """
-    names = sorted(row.experiment for row in seeds.select("experiment").distinct().collect())
+    names = sorted(row.experiment for row in seeds.select("experiment").distinct().take(MAX_EXPERIMENTS + 1))
+    if len(names) > MAX_EXPERIMENTS:
+        raise ValueError(f"more than {MAX_EXPERIMENTS} experiments; run them in several calls")
     codes = seeds.sparkSession.createDataFrame(list(enumerate(names)), "code int, experiment string")
     numbered = seeds.join(F.broadcast(codes), "experiment")
     return numbered.select(F.col("code").alias("experiment"), "id"), codes

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Kind of list -> (column it is matched with, vertex table).
 KINDS = {"ip": ("ip", "ip"), "dn": ("domain_name", "domain"), "sha1": ("sha1", "cert")}
+# Fixed value: only lists with this in their name have a header line.
+_HEADED = "feodo"
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class Blocklist:
     def read(self, spark: SparkSession) -> DataFrame:
         """Distinct indicators: the second column of a CSV, or one per line."""
         if "csv" in self.file_name:
-            headed = "feodo" in self.file_name
+            headed = _HEADED in self.file_name
             df = spark.read.csv(self.location, header=headed, comment="#", quote='"', escape='"')
             return df.select(F.col(f"`{df.columns[1]}`").alias(self.column)).distinct()
         return spark.read.schema(f"{self.column} STRING").csv(self.location, header=False).distinct()
