@@ -34,6 +34,7 @@ from scangraph.storage import Workspace, buckets_trusted, list_names
 MAX_HUBS = 100_000
 EDGES_PER_SPLIT = 1_000_000
 MAX_EXPERIMENTS = 10_000
+MIN_BUCKET, MAX_BUCKET = 100_000, 2_000_000  # edges
 _KEY = ["dst", "salt"]
 _OWN_TABLES = ("mirrored", "seeds", "edges", "hubs", "topology")
 
@@ -81,6 +82,11 @@ def find_hubs(edges: DataFrame, n_edges: int, edges_per_split: int = EDGES_PER_S
     return counts.where(F.col("n") > size).select("id", F.ceil(F.col("n") / size).cast("int").alias("splits"))
 
 
+def bucket_count(n_edges: int, partitions: int) -> int:
+    """Buckets for a graph: as many as there are shuffle partitions, unless these are far off its size."""
+    return max(math.ceil(n_edges / MAX_BUCKET), min(partitions, math.ceil(n_edges / MIN_BUCKET)), 1)
+
+
 def prepare_topology(
     vertices: DataFrame,
     edges: DataFrame,
@@ -89,10 +95,10 @@ def prepare_topology(
     buckets: int | None = None,
 ) -> Topology:
     """Write the distinct edges, bucketed, with both salts and the receiver's out-degree."""
-    spark = work.spark
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     flat = work.write(distinct_edges(edges), "edges")
-    hubs = work.write(find_hubs(flat, flat.count(), edges_per_split), "hubs")
+    n_edges = flat.count()
+    buckets = buckets or bucket_count(n_edges, int(work.spark.conf.get("spark.sql.shuffle.partitions")))
+    hubs = work.write(find_hubs(flat, n_edges, edges_per_split), "hubs")
     degree = vertices.select(F.col("id").alias("src"), F.col("outDegree").cast("long").alias("src_degree"))
     full = flat.join(degree, "src", "left")
     for end, other, salt in (("dst", "src", "salt"), ("src", "dst", "back")):

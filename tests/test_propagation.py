@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scangraph.operators.propagation import (
+    bucket_count,
     distinct_edges,
     find_hubs,
     initial_state,
@@ -139,6 +140,10 @@ def test_scores_by_kind_with_labels(spark):
     assert "evaluation" not in scores_by_kind(vertices, found).columns
 
 
+def test_buckets_follow_the_size_of_the_graph():
+    assert [bucket_count(n, 200) for n in (0, 10, 1_000_000, 10**8, 10**12)] == [1, 1, 10, 200, 500_000]
+
+
 def test_too_many_experiments_are_refused(spark, monkeypatch):
     monkeypatch.setattr("scangraph.operators.propagation.MAX_EXPERIMENTS", 1)
     with pytest.raises(ValueError, match="experiments"):

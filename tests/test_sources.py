@@ -1,6 +1,8 @@
 import gzip
 import json
 from datetime import date
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,14 @@ def test_workspace(spark, work):
     work.delete("parted")
     assert not is_complete(spark, work.path("parted"))
     assert Workspace.fresh(spark).root != work.root
+
+
+def test_checkpoint_folder_without_setting():
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    folder = checkpoint_dir(session("local[2]"))
+    assert Path(folder).is_dir() and checkpoint_dir(session("local[2]")) == folder
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("yarn"))
