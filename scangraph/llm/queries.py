@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scangraph.llm.common import documents
+from scangraph.llm.arrow_tokens import read_tokens, write_tokens
+from scangraph.llm.common import documents, scratch
 from scangraph.llm.exact_dedup import exact_duplicates
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,10 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
        doc_id = max(doc_id) over same as kept, sha256(body) as text_sha256
 from folded window same as (partition by body)
 """
+
+
+@_query
+def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark).path("tokens")
+    write_tokens(documents(spark, sf_dir), path)
+    return read_tokens(spark, path)
