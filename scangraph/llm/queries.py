@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scangraph.llm.arrow_tokens import read_tokens, write_tokens
 from scangraph.llm.common import documents, scratch
 from scangraph.llm.exact_dedup import exact_duplicates
+from scangraph.llm.residual_packing import pack_documents
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +36,11 @@ from folded window same as (partition by body)
 """
 
 
+@_query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 @_query
 def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark).path("tokens")
