@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scangraph.llm.arrow_tokens import read_tokens, write_tokens
 from scangraph.llm.common import documents, scratch
+from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.residual_packing import pack_documents
 
@@ -36,6 +37,21 @@ from folded window same as (partition by body)
 """
 
 
+@_query
+def op2_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+SQL["op2_content_archive"] = """
+with sized as (select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n from pages),
+typed as (select *, max(page_id) over (partition by body) as top from sized)
+select page_id, cast(n as bigint) as payload_bytes, sha1(body) as payload_digest,
+       case when n < 1000 or page_id = top then 'response' else 'revisit' end as record_type,
+       case when n >= 1000 and page_id <> top then top end as refers_to
+from typed
+"""
+
+
 @_query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
