@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scangraph.llm.arrow_tokens import read_tokens, write_tokens
+from scangraph.llm.bayes_minhash import near_duplicates
 from scangraph.llm.common import documents, scratch
 from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
@@ -57,6 +59,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+@_query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), shingle_words=2)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
 @_query
 def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark).path("tokens")
