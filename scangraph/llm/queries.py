@@ -13,6 +13,7 @@ from scangraph.llm.common import documents, scratch
 from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.residual_packing import pack_documents
+from scangraph.llm.suffix_levels import repeated_passages
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +67,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept)
 
 
+@_query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark).path("tokens")
