@@ -14,6 +14,7 @@ from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import repeated_passages
+from scangraph.llm.toxicity_chain import toxicity
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,6 +74,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity(documents(spark, sf_dir), labels)
+    return found.select("doc_id", "p_quality", "p_toxic", "toxic", (~F.col("toxic")).alias("kept"))
+
+
 @_query
 def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark).path("tokens")
