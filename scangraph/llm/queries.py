@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scangraph.llm.arrow_tokens import read_tokens, write_tokens
 from scangraph.llm.bayes_minhash import near_duplicates
+from scangraph.llm.bloom_lookup import fingerprints
 from scangraph.llm.common import documents, scratch
 from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
@@ -68,6 +69,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept)
 
 
+@_query
+def op6_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(documents(spark, sf_dir))
+    likeness = ["near_edited", "near_next"]
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *likeness)
+
+
 @_query
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(documents(spark, sf_dir))
