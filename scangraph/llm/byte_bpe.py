@@ -18,22 +18,50 @@ from scangraph.llm.common import tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 
 #: Words kept by a worker; beyond that it starts afresh, so that its memory stays bounded.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 800_000
 
+_MARKS = (".", ",")
 _RUNS = re.compile(r"\s \s|\s \Z")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters stand
+    for themselves, the other bytes, in order, for the characters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class _Words(dict):
-    def __init__(self, encode, prefix: str):
+    """Ids of words, made when first asked for."""
+
+    def __init__(self, library, code: str, prefix: str):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.library, self.code, self.prefix = library, code, prefix
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = self.encode(self.prefix + word)
+        text = self.prefix + word
+        if word.isalpha():
+            # Letters alone are not split further, so they can go to the library's model directly.
+            letters = text.encode().decode("latin-1").translate(_LETTERS)
+            found = [token.id for token in self.library.model.tokenize(letters)]
+        elif word[-1:] in _MARKS and word[:-1].isalpha():
+            # A mark behind letters is a word of its own.
+            ids = self[word] = self[word[:-1]] + self._library_ids(word[-1])
+            return ids
+        else:
+            found = self.library.encode(text, add_special_tokens=False).ids
+        ids = self[word] = array(self.code, found).tobytes()
         return ids
 
+    def _library_ids(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 class ByteBpe:
     """Ids as little-endian unsigned integers of 16 bits (32 for larger vocabularies)."""
@@ -46,20 +74,16 @@ class ByteBpe:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
-        self._first = _Words(self._library_ids, "")
-        self._next = _Words(self._library_ids, " ")
-
-    def _library_ids(self, text: str) -> bytes:
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        self._first = _Words(self.library, self.code, "")
+        self._next = _Words(self.library, self.code, " ")
 
     def ids(self, text: bytes) -> bytes:
         text = bytes(text).decode("utf-8", "replace")
         if _RUNS.search(text):
-            return self._library_ids(text)
-        words = text.split(" ")
-        head = self._first[words[0]] if words[0] else b""
-        known = self._next
-        return head + b"".join([known[w] for w in words[1:]])
+            return self._first._library_ids(text)
+        first, *rest = text.split(" ")
+        head = self._first[first] if first else b""
+        return head + b"".join(map(self._next.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)

@@ -16,6 +16,7 @@ from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import repeated_passages
 from scangraph.llm.toxicity_chain import toxicity
+from scangraph.llm.trie_counts import token_counts
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +95,8 @@ def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark).path("tokens")
     write_tokens(documents(spark, sf_dir), path)
     return read_tokens(spark, path)
+
+
+@_query
+def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir)).drop("row_id")
