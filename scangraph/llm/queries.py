@@ -13,6 +13,7 @@ from scangraph.llm.bloom_lookup import fingerprints
 from scangraph.llm.common import documents, scratch
 from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
+from scangraph.llm.maxplus_pieces import round_trip
 from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import repeated_passages
 from scangraph.llm.toxicity_chain import toxicity
@@ -63,6 +64,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+@_query
+def op4_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 @_query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), shingle_words=2)
