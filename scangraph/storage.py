@@ -96,6 +96,11 @@ class Workspace:
     def delete(self, name: str) -> None:
         delete_path(self.spark, self.path(name))
 
+    def close(self) -> None:
+        """Delete all tables, once no result is read from them any more."""
+        self.forget_tables()
+        delete_path(self.spark, self.root)
+
 
 @contextmanager
 def buckets_trusted(spark: SparkSession) -> Iterator[None]:
