@@ -56,6 +56,15 @@ def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def keep_rows(docs: DataFrame, row_ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number is in ``row_ids`` (one column), with all their columns."""
+    name = "row_id"
+    while name in docs.columns:  # never an own column of the documents
+        name += "_"
+    wanted = row_ids.toDF(name)
+    return numbered(docs, name).join(wanted, name, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -368,3 +369,44 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.when(copy, F.lit(empty)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(copy, everything).otherwise(F.col("spans")).alias("spans"),
     )
+
+
+def _outside(text: str, spans: list[dict]) -> str:
+    """``text`` without the byte spans; a character is removed only as a whole."""
+    body, kept, at = text.encode(), [], 0
+    for span in spans:
+        start, end = span["start"], span["start"] + span["length"]
+        while start < end and body[start] & 0xC0 == 0x80:
+            start += 1
+        while end > start and end < len(body) and body[end] & 0xC0 == 0x80:
+            end -= 1
+        kept.append(body[at:start])
+        at = end
+    return b"".join([*kept, body[at:]]).decode("utf-8", "replace")
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated passages cut out of ``text`` and ``n_chars``, where there, made to fit.
+
+    Every row stays, also one of which nothing is left; other columns are as they were.
+    """
+    name = "row_id"
+    while name in docs.columns:
+        name += "_"
+    spans = repeated_passages(docs).select(F.col("row_id").alias(name), F.col("spans").alias(f"{name}spans"))
+    joined = docs.withColumn(name, F.monotonically_increasing_id()).join(spans, name)
+    joined = joined.select(F.col(f"{name}spans"), *(F.col(f"`{c}`") for c in docs.columns))
+    columns, schema = docs.columns, docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            arrays = dict(zip(columns, rows.columns[1:], strict=True))
+            texts_of = arrays["text"].to_pylist()
+            texts_of = [_outside(t, s) if s else t for t, s in zip(texts_of, rows.column(0).to_pylist(), strict=True)]
+            arrays["text"] = pa.array(texts_of, arrays["text"].type)
+            if "n_chars" in arrays:
+                sizes = [None if t is None else len(t) for t in texts_of]
+                arrays["n_chars"] = pa.array(sizes, arrays["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=columns)
+
+    return joined.mapInArrow(cut, schema)

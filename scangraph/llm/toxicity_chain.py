@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,3 +228,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     chain = fit_chain(docs, labels)
     return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= chain[-1].cut)
+
+
+def without_toxic(docs: DataFrame, chain: list[Link]) -> DataFrame:
+    """The rows of ``docs`` that the chain's last category is not told of, with all their columns."""
+    place, cut = docs.columns.index("text"), chain[-1].cut
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = []
+            for text in rows.column(place).to_pylist():
+                terms, before = distinct_terms((text or "").encode()), []
+                for link in chain:
+                    before.append(link.probability(terms, before))
+                keep.append(before[-1] < cut)
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
