@@ -17,17 +17,6 @@ from pyspark.sql import functions as F
 from scangraph.functions.names import is_domain, is_domain_or_wildcard
 from scangraph.functions.urls import url_host
 
-# A short default excerpt of the public suffix list. Pass the whole list by path.
-DEFAULT_RULES = (
-    "ac", "at", "au", "com.au", "net.au", "org.au", "be", "biz", "br", "com.br", "ca", "cc", "ch",
-    "cn", "com.cn", "*.ck", "!www.ck", "co", "com", "cz", "de", "dev", "dk", "edu", "es", "eu", "fi",
-    "fr", "gov", "hu", "ie", "in", "co.in", "info", "int", "io", "it", "jp", "ac.jp", "co.jp",
-    "ne.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "me", "mil", "mx", "com.mx", "net", "nl", "no",
-    "nz", "co.nz", "org", "pl", "com.pl", "pt", "ro", "ru", "se", "sk", "tv", "uk", "ac.uk", "co.uk",
-    "gov.uk", "org.uk", "us", "xyz", "za", "co.za",
-)
-DEFAULT_PRIVATE_RULES = ("blogspot.com", "cloudfront.net", "github.io", "herokuapp.com", "s3.amazonaws.com")
-
 RULE, WILDCARD, EXCEPTION = 1, 2, 4
 MAX_RULE_LINES = 200_000  # bounds the broadcast table; the public list has about 16,000 lines
 
@@ -43,10 +32,6 @@ class SuffixRules:
     table: DataFrame
     depth: int
 
-    @classmethod
-    def default(cls, spark: SparkSession) -> SuffixRules:
-        return cls.of(spark, DEFAULT_RULES, DEFAULT_PRIVATE_RULES)
-
     @classmethod
     def from_file(cls, spark: SparkSession, path: str) -> SuffixRules:
         """Read a list in the format of publicsuffix.org, which tells its sections by marker lines."""

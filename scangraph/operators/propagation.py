@@ -82,9 +82,12 @@ def find_hubs(edges: DataFrame, n_edges: int, edges_per_split: int = EDGES_PER_S
     return counts.where(F.col("n") > size).select("id", F.ceil(F.col("n") / size).cast("int").alias("splits"))
 
 
-def bucket_count(n_edges: int, partitions: int) -> int:
-    """Buckets for a graph: as many as there are shuffle partitions, unless these are far off its size."""
-    return max(math.ceil(n_edges / MAX_BUCKET), min(partitions, math.ceil(n_edges / MIN_BUCKET)), 1)
+def bucket_count(n_edges: int, partitions: int, most: int = 100_000) -> int:
+    """Buckets for a graph: as many as there are shuffle partitions, unless these are far off its size.
+
+    Spark refuses more than ``most``; beyond that the buckets grow.
+    """
+    return min(max(math.ceil(n_edges / MAX_BUCKET), min(partitions, math.ceil(n_edges / MIN_BUCKET)), 1), most)
 
 
 def prepare_topology(
@@ -97,7 +100,8 @@ def prepare_topology(
     """Write the distinct edges, bucketed, with both salts and the receiver's out-degree."""
     flat = work.write(distinct_edges(edges), "edges")
     n_edges = flat.count()
-    buckets = buckets or bucket_count(n_edges, int(work.spark.conf.get("spark.sql.shuffle.partitions")))
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.sources.bucketing.maxBuckets")
+    buckets = buckets or bucket_count(n_edges, *(int(work.spark.conf.get(s)) for s in settings))
     hubs = work.write(find_hubs(flat, n_edges, edges_per_split), "hubs")
     degree = vertices.select(F.col("id").alias("src"), F.col("outDegree").cast("long").alias("src_degree"))
     full = flat.join(degree, "src", "left")
@@ -281,20 +285,19 @@ def propagate(
         vertices = neighbour_degrees(vertices, edges)
     vertices = vertices.select("id", "outDegree").distinct()
     seeds, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
-    topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
-
-    with buckets_trusted(spark):
-        finished = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
-
-    named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
-    scores = work.write(
-        named.select("experiment", "id", "score", F.coalesce("fixed", F.lit(False)).alias("fixed")), "scores"
-    )
-    work.forget_tables()
-    for name in list_names(spark, work.root):
-        if name in _OWN_TABLES or name.startswith(("state-", "messages-")):
-            work.delete(name)
-    return scores
+    try:
+        topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
+        with buckets_trusted(spark):
+            finished = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
+        named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
+        fixed = F.coalesce("fixed", F.lit(False)).alias("fixed")
+        return work.write(named.select("experiment", "id", "score", fixed), "scores")
+    finally:
+        # A failed round leaves no catalogue entries and no files either.
+        work.forget_tables()
+        for name in list_names(spark, work.root):
+            if name in _OWN_TABLES or name.startswith(("state-", "messages-")):
+                work.delete(name)
 
 
 def scores_by_kind(vertices: DataFrame, scores: DataFrame, evaluation: DataFrame | None = None) -> DataFrame:

@@ -9,8 +9,6 @@ from scangraph.functions.suffixes import SuffixRules, union_all, with_location_h
 from scangraph.functions.urls import sanitize_url
 from scangraph.operators.entities import cert_key, domain_key, ip_key
 
-RELATIONS = ["returns", "resolves", "contains", "redirects", "subdomain", "parent_domain", "deployed_on"]
-
 # Fixed value: the handshake error of a server that could not prove possession of its key.
 NO_POSSESSION = "invalid signature by the server certificate"
 
@@ -21,9 +19,7 @@ _SETS = {
     "locations": "location",
     "scan_src": "scan_src",
 }
-_UNBOUNDED = ("sni", "location")
-MAX_LISTED = 100_000
-SPREAD = 64
+_UNBOUNDED = ("server_name_indicators", "locations")
 
 
 def returns(hosts: DataFrame) -> DataFrame:
@@ -98,53 +94,28 @@ def swap_ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col(second).alias(first), F.col(first).alias(second), *edges.columns[2:])
 
 
-def crowded_edges(edges: DataFrame, column: str, limit: int = MAX_LISTED) -> DataFrame:
-    """Ends of the edges with more than ``limit`` distinct values of ``column``."""
-    values = edges.select("from", "to", column).distinct()
-    return values.groupBy("from", "to").agg(F.count(column).alias("n")).where(F.col("n") > limit).drop("n")
-
-
-def _join_crowded(edges: DataFrame, column: str, limit: int, how: str) -> DataFrame:
-    """Join ``edges`` with its crowded ones.
-
-    These are the keys with the most rows, so every one of them is spread over several tasks by its
-    values.
-    """
-    salts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    crowded = crowded_edges(edges, column, limit).withColumn("salt", F.explode(salts)).withColumn("crowded", F.lit(True))
-    salt = F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
-    return edges.withColumn("salt", salt).join(crowded, ["from", "to", "salt"], how).drop("salt")
-
-
-def values_of_crowded_edges(edges: DataFrame, column: str, limit: int = MAX_LISTED) -> DataFrame:
-    """The distinct values that ``merge_observations`` leaves out of its lists, one per row."""
-    values = edges.select("from", "to", column).distinct()
-    return _join_crowded(values, column, limit, "inner").drop("crowded")
+def edge_values(edges: DataFrame, column: str) -> DataFrame:
+    """The distinct values of ``column`` of every edge, one per row: all URLs or server names it was seen with."""
+    return edges.select("from", "to", column).dropna().distinct()
 
 
-def merge_observations(edges: DataFrame, limit: int = MAX_LISTED) -> DataFrame:
-    """One row per edge: sorted sets of dates, sources and URLs, and whether any was valid.
+def merge_observations(edges: DataFrame, lists: tuple[str, ...] = ()) -> DataFrame:
+    """One row per edge: sorted sets of dates and sources, and whether any observation was valid.
 
     Dates, sources and validity combine on the map side, so an edge that was seen in a third of all
     rows reaches its reducer as one row per task. Without ``scan_date`` the edges are just distinct.
     Edges with a null end would be dropped by the id lookup and are left out here.
 
-    Dates and scan sources are as few as there were scans. URLs and server names are not bounded, so
-    the list of an edge with more than ``limit`` of them is null, and ``values_of_crowded_edges`` has
-    them as rows.
+    Dates and scan sources are as few as there were scans. URLs and server names are not bounded:
+    ``edge_values`` has them as rows. ``lists`` asks for ``locations`` or ``server_name_indicators`` as
+    one sorted list per edge, for graphs whose edges are known to have few; the list is then complete.
     """
     known = edges.where(F.col("from").isNotNull() & F.col("to").isNotNull())
     if "scan_date" not in edges.columns:
         return known.distinct()
-    lists = {out: F.sort_array(F.collect_set(c)) for out, c in _SETS.items() if c in edges.columns}
+    wanted = {out: c for out, c in _SETS.items() if c in edges.columns and (out not in _UNBOUNDED or out in lists)}
     keys = [c for c in edges.columns if c not in {"valid", *_SETS.values()}]
-    for out, column in _SETS.items():
-        if column in _UNBOUNDED and column in edges.columns:
-            flag = f"{column}_crowded"
-            known = _join_crowded(known, column, limit, "left").withColumnRenamed("crowded", flag)
-            known = known.withColumn(column, F.when(F.col(flag).isNull(), F.col(column)))
-            lists[out] = F.when(F.max(flag).isNull(), lists[out])
-    merged = [value.alias(out) for out, value in lists.items()]
+    merged = [F.sort_array(F.collect_set(c)).alias(out) for out, c in wanted.items()]
     if "valid" in edges.columns:
         merged.append(F.max("valid").alias("valid"))
     return known.groupBy(*keys).agg(*merged)

@@ -19,7 +19,7 @@ RELATION_COLUMNS = {
     "deployed_on": ["scan_dates", "valid"],
     "resolves": ["scan_dates", "valid", "scan_src"],
     "contains": [],
-    "redirects": ["scan_dates", "valid", "locations"],
+    "redirects": ["scan_dates", "valid"],
     "parent_domain": [],
     "subdomain": [],
 }
@@ -64,9 +64,11 @@ def raw_edges(scans: Scans, hierarchy: DataFrame | None, rules: SuffixRules, nam
     return {"returns": relations.returns, "deployed_on": relations.deployed_on}[name](hosts)
 
 
-def observed_edges(scans: Scans, hierarchy: DataFrame | None, rules: SuffixRules, name: str) -> DataFrame:
-    """Merged edges of one relation."""
-    return relations.merge_observations(raw_edges(scans, hierarchy, rules, name))
+def observed_edges(
+    scans: Scans, hierarchy: DataFrame | None, rules: SuffixRules, name: str, lists: tuple[str, ...] = ()
+) -> DataFrame:
+    """Merged edges of one relation; ``lists`` as in ``merge_observations``."""
+    return relations.merge_observations(raw_edges(scans, hierarchy, rules, name), lists)
 
 
 def domain_names(scans: Scans, rules: SuffixRules) -> DataFrame:
@@ -110,15 +112,22 @@ def _with_subdomains(edges: DataFrame) -> DataFrame:
 
 
 def build_graph(
-    spark: SparkSession, scans: Scans, rules: SuffixRules | None = None, work: Workspace | None = None
+    spark: SparkSession,
+    scans: Scans,
+    rules: SuffixRules,
+    work: Workspace | None = None,
+    url_lists: bool = False,
 ) -> Graph:
     """Build all vertices and relations; intermediate tables go to ``work``.
 
+    ``rules`` should be the whole public suffix list: redirects to a host below an unlisted suffix are
+    no edges. The URLs of every redirect are rows of ``details["redirects"]``; with ``url_lists`` its
+    edge also has them as a list, which grows with the number of URLs.
+
     Edges of all relations are merged on their natural keys first and then share one id lookup for
     each end. Degrees are joined to the id table once, and domain and address vertices are read off
     that table, since their key holds their only attribute.
     """
-    rules = rules or SuffixRules.default(spark)
     work = work or Workspace.fresh(spark)
 
     names = work.write(domain_names(scans, rules), "names")
@@ -127,7 +136,8 @@ def build_graph(
 
     redirects = work.write(raw_edges(scans, hierarchy, rules, "redirects"), "redirects")
     observed = {n: observed_edges(scans, hierarchy, rules, n) for n in RELATION_COLUMNS if n not in ("redirects", "subdomain")}
-    observed["redirects"] = relations.merge_observations(redirects)
+    listed = ("locations",) if url_lists else ()
+    observed["redirects"] = relations.merge_observations(redirects, listed)
     edges = relations.attach_ids(union_all([_wide(n, df) for n, df in observed.items()]), ids)
     stored = work.write(_with_subdomains(edges), "relations", partition_by="type")
 
@@ -148,8 +158,8 @@ def build_graph(
         value = F.expr(f"substring(guid, {len(prefix) + 2})")
         return keyed(prefix).select("id", value.alias(column), "inDegree", "outDegree")
 
-    crowded = relations.values_of_crowded_edges(redirects, "location")
-    details = {"redirects": work.write(relations.attach_ids(crowded, ids), "locations")}
+    urls = relations.edge_values(redirects, "location")
+    details = {"redirects": work.write(relations.attach_ids(urls, ids), "locations")}
     cert_vertices = work.write(certs, "certs")
     if not work.resume:
         for name in ("names", "hierarchy", "keys", "redirects"):
@@ -158,7 +168,7 @@ def build_graph(
         vertices={"cert": cert_vertices, "domain": valued("d", "domain_name"), "ip": valued("ip", "ip")},
         relations={
             name: stored.where(F.col("type") == name).select("src", "dst", *columns)
-            for name, columns in RELATION_COLUMNS.items()
+            for name, columns in {**RELATION_COLUMNS, "redirects": ["scan_dates", "valid", *listed]}.items()
         },
         details=details,
     )

@@ -141,7 +141,8 @@ def test_scores_by_kind_with_labels(spark):
 
 
 def test_buckets_follow_the_size_of_the_graph():
-    assert [bucket_count(n, 200) for n in (0, 10, 1_000_000, 10**8, 10**12)] == [1, 1, 10, 200, 500_000]
+    assert [bucket_count(n, 200) for n in (0, 10, 1_000_000, 10**8, 10**12)] == [1, 1, 10, 200, 100_000]
+    assert bucket_count(10**12, 200, 5_000) == 5_000
 
 
 def test_too_many_experiments_are_refused(spark, monkeypatch):

@@ -3,9 +3,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from scangraph.functions.suffixes import SuffixRules
 from scangraph.operators import entities, relations
 from scangraph.operators.degrees import degrees, finish_vertices, mirror, undirected_degrees, vertex_union
+from workload.rules import suffix_rules
 
 D1, D2 = date(2024, 1, 1), date(2024, 1, 2)
 HOSTS = "id int, ip string, server_name string, error_data string, cert_hash string, cert_valid int, scan_date date"
@@ -37,15 +37,15 @@ def test_merge_observations_and_id_lookup(spark):
     assert (second.scan_dates, second.valid, second.scan_src) == ([D1], None, [])
 
 
-def test_lists_too_long_for_an_edge_are_kept_as_rows(spark):
-    urls = [("d_a", "d_b", f"u{i % 5}", True, D1) for i in range(20)] + [("d_a", "d_c", "u", False, D2)]
+def test_unbounded_values_are_rows_and_lists_only_on_request(spark):
+    urls = [("d_a", "d_b", f"u{i % 5}", True, D1) for i in range(20)] + [("d_a", "d_c", None, False, D2)]
     seen = spark.createDataFrame(urls, "from string, to string, location string, valid boolean, scan_date date")
-    rows = {r.to: r for r in relations.merge_observations(seen, limit=4).collect()}
-    assert rows["d_b"].locations is None and rows["d_b"].scan_dates == [D1] and rows["d_b"].valid is True
-    assert rows["d_c"].locations == ["u"]
-    apart = relations.values_of_crowded_edges(seen, "location", limit=4)
-    assert sorted((r.to, r.location) for r in apart.collect()) == [("d_b", f"u{i}") for i in range(5)]
-    assert {r.to: r.locations for r in relations.merge_observations(seen, limit=5).collect()}["d_b"] == [f"u{i}" for i in range(5)]
+    plain = {r.to: r for r in relations.merge_observations(seen).collect()}
+    assert "locations" not in plain["d_b"] and plain["d_b"].scan_dates == [D1] and plain["d_c"].valid is False
+    listed = {r.to: r.locations for r in relations.merge_observations(seen, ("locations",)).collect()}
+    assert listed == {"d_b": [f"u{i}" for i in range(5)], "d_c": []}
+    rows = relations.edge_values(seen, "location").collect()
+    assert sorted((r.to, r.location) for r in rows) == [("d_b", f"u{i}") for i in range(5)]
 
 
 def test_hub_is_split_in_the_id_lookup(spark, work):
@@ -119,7 +119,7 @@ def test_alternative_names_are_routed(spark):
 
 
 def test_redirects_join_on_source_when_present(spark):
-    rules = SuffixRules.default(spark)
+    rules = suffix_rules(spark)
     hosts = spark.createDataFrame(
         [(1, "1.1.1.1", "a.com", None, None, 1, D1, "s1"), (1, "1.1.1.2", "b.com", None, None, 0, D1, "s2"),
          (2, "1.1.1.3", None, None, None, 1, D1, "s1")],
@@ -137,7 +137,7 @@ def test_redirects_join_on_source_when_present(spark):
 
 def test_hierarchy_gives_vertices_and_parents(spark):
     names = spark.createDataFrame([("*.a.b.com",), ("c.b.com",), ("no_domain",), ("x.*.*.com",)], "domain_name string")
-    rows = entities.domain_hierarchy(names, SuffixRules.default(spark)).collect()
+    rows = entities.domain_hierarchy(names, suffix_rules(spark)).collect()
     assert {(r.domain_name, r.parent) for r in rows} == {
         ("*.a.b.com", "a.b.com"),
         ("a.b.com", "b.com"),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from scangraph.functions.addresses import is_ip, is_ipv4, is_ipv6
 from scangraph.functions.suffixes import (
-    SuffixRules,
     parent_domain,
     union_all,
     with_domain_chain,
@@ -37,6 +36,7 @@ from scangraph.sources.graph_files import Graph
 from scangraph.sources.resolver import flatten_answers
 from scangraph.storage import Workspace
 from workload import views
+from workload.rules import suffix_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -57,7 +57,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = SuffixRules.default(spark)
+    rules = suffix_rules(spark)
     return entities.domain_hierarchy(domain_names(views.scans(spark, sf_dir), rules), rules)
 
 
@@ -69,7 +69,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a scale, built once per session and read from its tables afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
-        _graphs[key] = build_graph(spark, views.scans(spark, sf_dir))
+        _graphs[key] = build_graph(spark, views.scans(spark, sf_dir), suffix_rules(spark), url_lists=True)
     return _graphs[key]
 
 
@@ -151,13 +151,13 @@ def sanitized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def location_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     http = views.scan_http(spark, sf_dir)
-    return with_location_host(http, "location", SuffixRules.default(spark), "target").select("id", "location", "target")
+    return with_location_host(http, "location", suffix_rules(spark), "target").select("id", "location", "target")
 
 
 @query
 def domain_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = views.page_hosts(spark, sf_dir).select("page_id", "host")
-    chains = with_domain_chain(hosts, "host", SuffixRules.default(spark))
+    chains = with_domain_chain(hosts, "host", suffix_rules(spark))
     return _flat(chains.select("page_id", "host", "chain", parent_domain(F.col("chain")).alias("parent")))
 
 
@@ -182,7 +182,7 @@ def san_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def domain_names_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain_names(views.scans(spark, sf_dir), SuffixRules.default(spark))
+    return domain_names(views.scans(spark, sf_dir), suffix_rules(spark))
 
 
 @query
@@ -219,7 +219,8 @@ def dense_customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _observed(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         hierarchy = _hierarchy(spark, sf_dir) if name == "parent_domain" else None
-        return _flat(observed_edges(views.scans(spark, sf_dir), hierarchy, SuffixRules.default(spark), name))
+        found = observed_edges(views.scans(spark, sf_dir), hierarchy, suffix_rules(spark), name, ("locations",))
+        return _flat(found)
 
     return run
 
@@ -233,25 +234,34 @@ def subdomain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.swap_ends(_observed("parent_domain")(spark, sf_dir))
 
 
-@query
-def returns_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that also collect the server names they were seen with."""
+def _named_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = entities.clean_hosts(views.scan_hosts(spark, sf_dir))
-    named = hosts.select(
+    return hosts.select(
         entities.ip_key(F.col("ip")).alias("from"),
         entities.cert_key(F.col("cert_hash")).alias("to"),
         F.col("server_name").alias("sni"),
         "scan_date",
     )
-    return _flat(relations.merge_observations(named))
+
+
+@query
+def returns_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that also collect the server names they were seen with."""
+    return _flat(relations.merge_observations(_named_returns(spark, sf_dir), ("server_name_indicators",)))
+
+
+@query
+def return_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The server names of every edge, as rows."""
+    return relations.edge_values(_named_returns(spark, sf_dir), "sni")
 
 
 @query
 def redirect_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs of the edges that have more than three, as rows."""
+    """The URLs of every edge, as rows."""
     hosts = entities.clean_hosts(views.scan_hosts(spark, sf_dir))
-    edges = relations.redirects(views.scan_http(spark, sf_dir), hosts, SuffixRules.default(spark))
-    return relations.values_of_crowded_edges(edges, "location", limit=3)
+    edges = relations.redirects(views.scan_http(spark, sf_dir), hosts, suffix_rules(spark))
+    return relations.edge_values(edges, "location")
 
 
 # The graph

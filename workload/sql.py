@@ -6,11 +6,11 @@ depth, ids by a window, rounds of propagation unrolled, aliases by recursion.
 
 from __future__ import annotations
 
-from scangraph.functions.suffixes import DEFAULT_PRIVATE_RULES, DEFAULT_RULES
+from workload.rules import PRIVATE_RULES, RULES
 
 _RULES = ", ".join(
     f"('{rule}', {str(private).lower()})"
-    for rules, private in ((DEFAULT_RULES, False), (DEFAULT_PRIVATE_RULES, True))
+    for rules, private in ((RULES, False), (PRIVATE_RULES, True))
     for rule in rules
 )
 _DOMAIN = "^(?:[a-zA-Z0-9](?:[a-zA-Z0-9_-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z0-9][A-Za-z0-9_-]{0,61}[A-Za-z]$"
@@ -336,8 +336,11 @@ ALL: dict[str, str] = {
     + f"""select 'ip_' || ip as "from", 'c_' || cert_hash as "to", {_set("scan_date")} as scan_dates,
         {_set("server_name")} as server_name_indicators from hosts where cert_hash is not null group by all""",
     "redirect_locations": _BASE
-    + """select distinct "from", "to", location from redirects_raw semi join (
-        select "from", "to" from redirects_raw group by all having count(distinct location) > 3) using ("from", "to")""",
+    + """select distinct "from", "to", location from redirects_raw
+        where "from" is not null and "to" is not null and location is not null""",
+    "return_names": _BASE
+    + """select distinct 'ip_' || ip as "from", 'c_' || cert_hash as "to", server_name as sni from hosts
+        where ip is not null and cert_hash is not null and server_name is not null""",
     "graph_relations": _FULL + "select * from rels",
     "graph_certs": _FULL
     + """select v.id, c.* exclude (guid), v.inDegree, v.outDegree from cert_set c join indexed v using (guid)""",
