@@ -14,7 +14,7 @@ from scangraph.sources.experiment import Experiment
 from scangraph.sources.graph_files import write_graph
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import DnsScan, TlsScan, ingest_scans
-from scangraph.storage import Workspace, fingerprint
+from scangraph.storage import Workspace, file_states, fingerprint
 
 
 def _flag(text: str) -> bool:
@@ -32,7 +32,10 @@ def parser() -> argparse.ArgumentParser:
     build = jobs.add_parser("build", help="scans to a graph")
     build.add_argument("--tls-scan", nargs=2, action="append", required=True, metavar=("DATE", "DIR"))
     build.add_argument("--dns-scan", nargs=3, action="append", required=True, metavar=("TYPE", "DATE", "FILE"))
-    build.add_argument("--suffix-list", help="file in the format of publicsuffix.org")
+    build.add_argument("--parsed-certs", nargs=2, action="append", default=[], metavar=("DATE", "FILE"),
+                       help="certificates of a scan that were decoded before")
+    build.add_argument("--suffix-list", required=True, help="the list of publicsuffix.org, as a file")
+    build.add_argument("--url-lists", type=_flag, default=False, help="URLs of redirects also as lists of their edges")
 
     rank = jobs.add_parser("propagate", help="graph and blocklists to scores")
     rank.add_argument("--input-dir", required=True)
@@ -58,13 +61,16 @@ def main(arguments: list[str] | None = None) -> None:
         pairs = flatten_answers(read_resolver_lines(spark, options.input))
         pairs.select(F.col("ip"), "domain", "type").write.partitionBy("type").csv(options.output)
     elif options.job == "build":
-        tls = [TlsScan(*scan) for scan in options.tls_scan]
+        parsed = dict(options.parsed_certs)
+        tls = [TlsScan(day, folder, parsed.get(day)) for day, folder in options.tls_scan]
         dns = [DnsScan(*scan) for scan in options.dns_scan]
         scans = ingest_scans(spark, tls, dns, options.cache_dir, options.overwrite)
-        rules = SuffixRules.from_file(spark, options.suffix_list) if options.suffix_list else None
-        run = fingerprint(options.tls_scan, options.dns_scan, options.suffix_list)
+        rules = SuffixRules.from_file(spark, options.suffix_list)
+        sources = [options.suffix_list, *parsed.values(), *(d for _, d in options.tls_scan), *(f for *_, f in options.dns_scan)]
+        states = [file_states(spark, source) for source in sources]
+        run = fingerprint(options.tls_scan, parsed, options.dns_scan, states, options.url_lists)
         work = Workspace(spark, f"{options.cache_dir}/graph-{run}", resume=not options.overwrite)
-        graph = build_graph(spark, scans, rules, work)
+        graph = build_graph(spark, scans, rules, work, options.url_lists)
         write_graph(graph, options.out, options.output_type, options.overwrite)
     else:
         experiment = Experiment.from_dir(spark, options.input_dir, options.bidirectional)

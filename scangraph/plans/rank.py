@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from scangraph.operators.degrees import vertex_union
 from scangraph.operators.propagation import propagate
 from scangraph.operators.relations import typed_union
-from scangraph.sources.experiment import Experiment, write_scores
-from scangraph.storage import Workspace
+from scangraph.sources.experiment import Experiment, pending_lists, write_scores
+from scangraph.storage import Workspace, fingerprint
 
 
 def run_experiment(
@@ -20,19 +20,29 @@ def run_experiment(
     output_type: str = "parquet",
     overwrite: bool = False,
     work: Workspace | None = None,
-) -> DataFrame:
-    """Propagate all blocklists of an experiment and, with ``out``, write scores per vertex kind."""
+) -> DataFrame | None:
+    """Propagate the blocklists of an experiment and, with ``out``, write scores per vertex kind.
+
+    Lists whose scores are in ``out`` already, from the same list and parameters, are left out unless
+    ``overwrite``; None when that leaves nothing to do. The graph is taken to be the same: after a new
+    build, overwrite.
+    """
     graph = experiment.graph
+    run, names = fingerprint(epsilon, max_iter, experiment.bidirectional), {b.name for b in experiment.blocklists}
+    if out and not overwrite:
+        names = pending_lists(spark, experiment, out, run, output_type)
+        if not names:
+            return None
     scores = propagate(
         spark,
         vertex_union(graph.vertices),
         typed_union(graph.relations),
-        experiment.seeds(spark),
+        experiment.seeds(spark, names),
         epsilon=epsilon,
         max_iter=max_iter,
         bidirectional=experiment.bidirectional,
         work=work,
     )
     if out:
-        write_scores(graph, scores, out, output_type, overwrite)
+        write_scores(experiment, scores, out, names, run, output_type)
     return scores

@@ -11,7 +11,16 @@ from scangraph.functions.suffixes import union_all
 from scangraph.operators.propagation import scores_by_kind, seed_vertices
 from scangraph.sources.blocklists import Blocklist
 from scangraph.sources.graph_files import Graph, read_graph, write_graph_csv
-from scangraph.storage import is_complete, list_names, path_exists
+from scangraph.storage import (
+    delete_path,
+    file_states,
+    fingerprint,
+    list_names,
+    partition_folder,
+    path_exists,
+    read_text,
+    write_text,
+)
 
 
 @dataclass(frozen=True)
@@ -28,34 +37,58 @@ class Experiment:
         graph = read_graph(spark, f"{location}/tls_graph", bidirectional)
         return cls(graph, sorted(lists, key=lambda b: b.name), bidirectional)
 
-    def seeds(self, spark: SparkSession) -> DataFrame:
-        """``experiment, id`` of every listed vertex."""
+    def seeds(self, spark: SparkSession, names: set[str] | None = None) -> DataFrame:
+        """``experiment, id`` of every listed vertex, of the named blocklists or of all."""
         return union_all(
             [
                 seed_vertices(b.read(spark), self.graph[b.vertex_table], b.column).select(
                     F.lit(b.name).alias("experiment"), "id"
                 )
                 for b in self.blocklists
+                if names is None or b.name in names
             ]
         )
 
 
+def _marker(directory: str, kind: str, name: str) -> str:
+    return f"{directory}/_done/{kind}-{fingerprint(name)}"
+
+
+def pending_lists(spark: SparkSession, experiment: Experiment, directory: str, run: str, output_type: str) -> set[str]:
+    """Blocklists whose scores of some kind are not in ``directory`` yet for the same list, run and format."""
+    states = {b.name: fingerprint(run, output_type, *file_states(spark, b.location)) for b in experiment.blocklists}
+    kinds = experiment.graph.vertices
+    return {
+        name
+        for name, state in states.items()
+        if any(read_text(spark, _marker(directory, kind, name)) != state for kind in kinds)
+    }
+
+
 def write_scores(
-    graph: Graph, scores: DataFrame, directory: str, output_type: str = "parquet", overwrite: bool = False
+    experiment: Experiment, scores: DataFrame, directory: str, names: set[str], run: str, output_type: str = "parquet"
 ) -> None:
-    """Write ``<directory>/<kind>/experiment=<name>`` in one pass per vertex kind.
+    """Write ``<directory>/<kind>/experiment=<name>`` of the named lists in one pass per vertex kind.
 
-    An experiment that reaches no vertex of a kind leaves no folder there.
+    Other lists' scores there are left alone; earlier ones of these lists go. A list that reaches no vertex
+    of a kind leaves no folder there. A marker per list and kind tells which list and run was written.
     """
-    for kind, vertices in graph.vertices.items():
+    spark = scores.sparkSession
+    for kind, vertices in experiment.graph.vertices.items():
         path = f"{directory}/{kind}"
-        if is_complete(scores.sparkSession, path) and not overwrite:
-            continue
-        rows = scores_by_kind(vertices, scores)
+        for name in names:
+            delete_path(spark, _marker(directory, kind, name))
+            delete_path(spark, partition_folder(spark, path, {"experiment": name}))
+        rows = scores_by_kind(vertices, scores).hint("rebalance")
         if output_type == "csv":
             write_graph_csv(rows, path, partition_by="experiment")
         else:
-            rows.write.mode("overwrite").partitionBy("experiment").parquet(path)
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("experiment").parquet(path)
+        for blocklist in experiment.blocklists:
+            if blocklist.name in names:
+                state = fingerprint(run, output_type, *file_states(spark, blocklist.location))
+                write_text(spark, _marker(directory, kind, blocklist.name), state)
 
 
 def read_scores(spark: SparkSession, directory: str) -> dict[str, dict[str, DataFrame]]:

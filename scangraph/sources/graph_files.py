@@ -57,12 +57,13 @@ def write_graph_csv(df: DataFrame, path: str, partition_by: str | None = None) -
 
     Bulk importers take a header file followed by any number of part files, so nothing is merged.
     """
+    # The header comes first: data that are complete always have one.
+    header = ",".join(header_field(c) for c in df.columns if c != partition_by)
+    write_text(df.sparkSession, header_path(path), header + "\n")
     writer = df.select(*[_to_text(df, c) for c in df.columns]).write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     writer.csv(path, escape='"', header=False)
-    header = ",".join(header_field(c) for c in df.columns if c != partition_by)
-    write_text(df.sparkSession, header_path(path), header + "\n")
 
 
 def header_path(path: str) -> str:
@@ -91,21 +92,24 @@ def _split(raw: Column) -> Column:
     return F.when(present, F.split(raw, ";")).otherwise(F.array().cast("array<string>"))
 
 
-def read_graph_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read one table in the header dialect: a file with header line, or a part directory."""
+def read_graph_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Read one table in the header dialect: a file with header line, or a part directory.
+
+    A file whose values may hold line breaks (``multi_line``) is one task; others are split.
+    """
     if path_exists(spark, header_path(path)):
         fields = spark.read.text(header_path(path)).first()[0].split(",")
         schema = ", ".join(f"`{f}` string" for f in fields)
-        df = spark.read.schema(schema).csv(path, escape='"', multiLine=True)
+        df = spark.read.schema(schema).csv(path, escape='"', multiLine=multi_line)
     else:
-        df = spark.read.csv(path, header=True, escape='"', multiLine=True)
+        df = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
     return df.select(*[_typed(f) for f in df.columns])
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read one graph table: Parquet directory, CSV parts, ``.csv`` or ``.csv.zst``."""
     if path.endswith((".csv", ".csv.zst")) or path_exists(spark, header_path(path)):
-        return read_graph_csv(spark, path)
+        return read_graph_csv(spark, path, multi_line)
     return spark.read.parquet(path)
 
 
@@ -122,7 +126,8 @@ def read_graph(spark: SparkSession, directory: str, bidirectional: bool = False)
             continue
         if bidirectional and name in ("deployed_on", "parent_domain"):
             continue
-        tables[kind][name] = read_table(spark, f"{directory}/{entry}")
+        # Only the names in certificates may hold line breaks.
+        tables[kind][name] = read_table(spark, f"{directory}/{entry}", (name, kind) == ("cert", "vertex"))
     return Graph(tables["vertex"], tables["relation"], tables["detail"])
 
 

@@ -33,7 +33,7 @@ def flatten_answers(lines: DataFrame) -> DataFrame:
         lambda a: F.struct(_trim(a["name"]).alias("name"), a["type"].alias("type"), _trim(a["data"]).alias("data")),
     )
     rows = lines.select(clean.alias("answers")).select(
-        F.filter("answers", lambda a: a["type"].isin("A", "AAAA")).alias("addresses"),
+        F.filter("answers", lambda a: a["type"].isin("A", "AAAA") & a["data"].isNotNull()).alias("addresses"),
         F.filter("answers", lambda a: a["type"] == "CNAME").alias("aliases"),
     )
 

@@ -6,14 +6,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scangraph.functions.suffixes import union_all
 from scangraph.plans.build import Scans
 from scangraph.sources.certificates import decode_certificates
-from scangraph.storage import is_complete, path_exists, write_text
+from scangraph.storage import (
+    delete_path,
+    file_states,
+    fingerprint,
+    partition_folder,
+    path_exists,
+    read_text,
+    write_text,
+)
 
 # The column contracts of the scanner's files.
 HOSTS_SCHEMA = (
@@ -34,8 +42,8 @@ CERTS_COLUMNS = [
 ]
 DNS_SCHEMA = "ip STRING, domain STRING"
 
-# ``.gz``, ``.bz2`` and ``.zst`` are read by Spark itself.
-_SUFFIXES = ("", ".xz", ".zst")
+# Those that Spark reads itself come first; ``.xz`` is found only to be refused with a reason.
+_SUFFIXES = ("", ".zst", ".gz", ".bz2", ".xz")
 
 
 def find_file(spark: SparkSession, path: str) -> str:
@@ -104,10 +112,14 @@ def load_parsed_certs(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TlsScan:
-    """A dated directory with ``hosts.csv``, ``http.csv`` and ``certs.csv``."""
+    """A dated directory with ``hosts.csv``, ``http.csv`` and ``certs.csv``.
+
+    ``parsed_certs`` names a table of certificates that were decoded before, in place of the last.
+    """
 
     scan_date: str
     location: str
+    parsed_certs: str | None = None
 
     def __post_init__(self) -> None:
         date.fromisoformat(self.scan_date)
@@ -124,6 +136,8 @@ class TlsScan:
 
     def certs(self, spark: SparkSession) -> DataFrame:
         """Decoded certificates. The file is one split, so its rows are spread before decoding."""
+        if self.parsed_certs:
+            return load_parsed_certs(spark, self.parsed_certs)
         raw = load_csv(spark, find_file(spark, f"{self.location}/certs.csv"))
         return decode_certificates(raw.select("id", "cert").hint("rebalance")).select(*CERTS_COLUMNS)
 
@@ -156,27 +170,41 @@ def _ingest(
     overwrite: bool,
 ) -> None:
     """Write all scans that are not complete yet in one job, each below its own partition folders."""
-    folders = dict(zip(_folders(root, scans, keys), scans))
-    if len(folders) < len(scans):
+    if len({tuple(_scan_keys(scan, keys).values()) for scan in scans}) < len(scans):
         raise ValueError(f"two scans below {root} have the same {', '.join(keys)}")
-    pending = {f: scan for f, scan in folders.items() if overwrite or not is_complete(spark, f)}
+    # A marker outside the data tells which state of the source files was written completely.
+    states = {_marker(root, scan, keys): (scan, fingerprint(*file_states(spark, scan.location))) for scan in scans}
+    pending = {m: found for m, found in states.items() if overwrite or read_text(spark, m) != found[1]}
     if not pending:
         return
-    rows = union_all([_with_keys(read(spark, scan), scan, keys) for scan in pending.values()])
-    writer = rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    for marker, (scan, _) in pending.items():
+        # Rows of an earlier state go, also where the scan has none any more.
+        delete_path(spark, marker)
+        delete_path(spark, partition_folder(spark, root, _scan_keys(scan, keys)))
+    rows = union_all([_with_keys(read(spark, scan), scan, keys) for scan, _ in pending.values()])
+    # Rows are spread without regard to their scan: one large scan is written by many tasks.
+    writer = rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*keys).parquet(root)
-    for folder in pending:
-        write_text(spark, f"{folder}/_SUCCESS", "")
+    for marker, (_, state) in pending.items():
+        write_text(spark, marker, state)
 
 
-def _folders(root: str, scans: list, keys: list[str]) -> list[str]:
-    return ["/".join([root, *[f"{k}={v}" for k, v in _scan_keys(scan, keys).items()]]) for scan in scans]
+def _marker(root: str, scan: TlsScan | DnsScan, keys: list[str]) -> str:
+    return f"{root}/_done/{fingerprint(*_scan_keys(scan, keys).values())}"
 
 
 def _scan_keys(scan: TlsScan | DnsScan, keys: list[str]) -> dict[str, str]:
     return {k: scan.name if k == "source" else getattr(scan, k) for k in keys}
 
 
+def _is_scan(scan: TlsScan | DnsScan, keys: list[str]) -> Column:
+    """Condition on the partition columns, so that other scans' files are not even listed for tasks."""
+    matches = F.lit(True)
+    for key, value in _scan_keys(scan, keys).items():
+        matches = matches & (F.col(key) == F.lit(value).cast("date" if key == "scan_date" else "string"))
+    return matches
+
+
 def _with_keys(df: DataFrame, scan: TlsScan | DnsScan, keys: list[str]) -> DataFrame:
     values = _scan_keys(scan, keys)
     kinds = {k: "date" if k == "scan_date" else "string" for k in keys}
@@ -213,9 +241,13 @@ def read_ingested(spark: SparkSession, cache_dir: str, tls_scans: list[TlsScan],
     """
 
     def table(name: str, columns: str) -> DataFrame:
-        root = f"{cache_dir}/{name}"
-        folders = _folders(root, dns_scans, DNS_KEYS) if name == "dns" else _folders(root, tls_scans, TLS_KEYS)
-        return spark.read.schema(columns).option("basePath", root).parquet(*folders)
+        scans, keys = (dns_scans, DNS_KEYS) if name == "dns" else (tls_scans, TLS_KEYS)
+        if not scans:
+            return spark.createDataFrame([], columns)
+        wanted = F.lit(False)
+        for scan in scans:
+            wanted = wanted | _is_scan(scan, keys)
+        return spark.read.schema(columns).parquet(f"{cache_dir}/{name}").where(wanted)
 
     keys = "scan_date DATE, source STRING"
     hosts = "id INT, ip STRING, server_name STRING, error_data STRING, cert_hash STRING, cert_valid INT"

@@ -146,11 +146,37 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of a file, or of the files in a folder, sorted."""
+    hadoop_path, fs = _hadoop_path(spark, path)
+    found = fs.globStatus(hadoop_path) or []
+    parts = [part for status in found for part in (fs.listStatus(status.getPath()) if status.isDirectory() else [status])]
+    return sorted((p.getPath().getName(), p.getLen(), p.getModificationTime()) for p in parts)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path, fs = _hadoop_path(spark, path)
     fs.delete(hadoop_path, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file, or None where there is none."""
+    hadoop_path, fs = _hadoop_path(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    stream = fs.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def partition_folder(spark: SparkSession, root: str, values: dict[str, str]) -> str:
+    """Folder in which Spark's writers put the rows of a partition; they escape some characters."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return "/".join([root, *[f"{escape(k)}={escape(v)}" for k, v in values.items()]])
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop_path, fs = _hadoop_path(spark, path)
     stream = fs.create(hadoop_path, True)

@@ -1,4 +1,5 @@
 import hashlib
+import gzip
 import json
 from collections import Counter
 
@@ -21,7 +22,7 @@ def host(i, ip, name, error, cert, valid):
 
 
 @pytest.fixture
-def inputs(spark, tmp_path, monkeypatch):
+def inputs(spark, tmp_path):
     """Two TLS scans and two DNS files. Certificates come decoded, so that no key pair is needed."""
     for day, extra in (("2024-01-01", []), ("2024-01-08", [host(3, "10.0.0.3", "", "timeout", "", "")])):
         folder = tmp_path / day
@@ -39,8 +40,8 @@ def inputs(spark, tmp_path, monkeypatch):
         (2, "s2", digest("two"), None, None, "CN=two", "CN=ca", "t0", "t1", False, False, "k", 0, "null"),
         (3, "s3", "broken", None, None, "CN=three", "CN=ca", "t0", "t1", False, False, "k", 0, "null"),
     ]
-    decoded = spark.createDataFrame(certs, CERTS_PARSED_SCHEMA)
-    monkeypatch.setattr("scangraph.sources.scans.decode_certificates", lambda df: decoded)
+    spark.createDataFrame(certs, CERTS_PARSED_SCHEMA).write.parquet(f"{tmp_path}/decoded")
+    (tmp_path / "suffixes.dat").write_text("com\norg\nnet\n")
     (tmp_path / "a.ipdomain").write_text("10.0.0.1,www.example.com.\n10.0.0.4,cdn.example.net\nnonsense,cdn.example.net\n")
     (tmp_path / "aaaa.ipdomain").write_text("2001:db8::1,www.example.com\n")
     return tmp_path
@@ -50,6 +51,8 @@ def build(inputs, kind):
     main(
         ["build", "--cache-dir", f"{inputs}/cache-{kind}", "--out", f"{inputs}/exp-{kind}/tls_graph", "--output-type", kind]
         + ["--tls-scan", "2024-01-01", f"{inputs}/2024-01-01", "--tls-scan", "2024-01-08", f"{inputs}/2024-01-08"]
+        + ["--suffix-list", f"{inputs}/suffixes.dat", "--url-lists", "true"]
+        + ["--parsed-certs", "2024-01-01", f"{inputs}/decoded", "--parsed-certs", "2024-01-08", f"{inputs}/decoded"]
         + ["--dns-scan", "A", "2024-01-01", f"{inputs}/a.ipdomain", "--dns-scan", "AAAA", "2024-01-01", f"{inputs}/aaaa.ipdomain"]
     )
 
@@ -103,13 +106,25 @@ def test_scans_to_scores(spark, inputs, kind):
     assert set(scores["cert_sha1_csv"]) == {"ip", "domain", "cert"}
     seeds = scores["bad_ip"]["ip"].where("fixed").collect()
     assert [(r.ip, r.score) for r in seeds] == [("10.0.0.1", 1.0)]
+    # A list that is added later is scored, and so is one whose content or parameter changed.
+    (lists / "late.ip").write_text("10.0.0.4\n")
+    (lists / "bad.ip").write_text("10.0.0.2\n")
+    before = sorted(p.name for p in (inputs / "out-parquet" / "ip" / "experiment=cert_sha1_csv").iterdir())
+    main(arguments)
+    scores = read_scores(spark, f"{inputs}/out-{kind}")
+    assert set(scores) == {"bad_ip", "cert_sha1_csv", "late_ip"}
+    assert [r.ip for r in scores["bad_ip"]["ip"].where("fixed").collect()] == ["10.0.0.2"]
+    assert sorted(p.name for p in (inputs / "out-parquet" / "ip" / "experiment=cert_sha1_csv").iterdir()) == before
+    main([*arguments, "--epsilon", "0.2"])
+    assert sorted(p.name for p in (inputs / "out-parquet" / "ip" / "experiment=cert_sha1_csv").iterdir()) != before
+    (lists / "bad.ip").write_text("10.0.0.1\n")
     main([*arguments[:-1], f"{inputs}/out-both", "--bidirectional", "true"])
     both = read_scores(spark, f"{inputs}/out-both")["bad_ip"]["ip"].collect()
     assert {r.ip for r in both} >= {"10.0.0.1", "2001:db8::1", "10.0.0.9"} and all(0 <= r.score <= 1 for r in both)
 
 
 def test_ingested_and_direct_tables_agree(spark, inputs):
-    tls = [TlsScan(d, f"{inputs}/{d}") for d in ("2024-01-01", "2024-01-08")]
+    tls = [TlsScan(d, f"{inputs}/{d}", f"{inputs}/decoded") for d in ("2024-01-01", "2024-01-08")]
     dns = [DnsScan("A", "2024-01-01", f"{inputs}/a.ipdomain"), DnsScan("A", "2024-01-02", f"{inputs}/a.ipdomain")]
     stored, direct = ingest_scans(spark, tls, dns, f"{inputs}/cache"), scan_tables(spark, tls, dns)
     for name in ("hosts", "http", "certs", "dns"):
@@ -135,3 +150,31 @@ def test_flatten_dns(spark, tmp_path):
     main(["flatten-dns", "--output", f"{tmp_path}/out", f"{tmp_path}/in.json"])
     text = "".join(p.read_text() for p in (tmp_path / "out" / "type=AAAA").glob("part*"))
     assert sorted(text.split()) == ["::1,a.com", "::1,b.com"]
+
+
+@pytest.mark.parametrize("name", ["names=A.ipdomain", "a#b%c.ipdomain", "a'b c.ipdomain"])
+def test_scans_with_odd_names_are_found_again(spark, tmp_path, name):
+    (tmp_path / name).write_text("10.0.0.1,a.example.com\n10.0.0.2,b.example.com\n")
+    scan = DnsScan("A", "2024-01-01", f"{tmp_path}/{name}")
+    for _ in range(2):
+        assert ingest_scans(spark, [], [scan], f"{tmp_path}/cache").dns.count() == 2
+
+
+def test_changed_and_emptied_scans_are_read_again(spark, tmp_path):
+    file = tmp_path / "a.ipdomain"
+    scan = DnsScan("A", "2024-01-01", str(file))
+    for text, rows in (("10.0.0.1,a.com\n", 1), ("10.0.0.1,a.com\n10.0.0.2,bb.com\n", 2), ("", 0)):
+        file.write_text(text)
+        assert ingest_scans(spark, [], [scan], f"{tmp_path}/cache").dns.count() == rows
+
+
+def test_one_large_file_is_written_by_several_tasks(spark, tmp_path):
+    with gzip.open(tmp_path / "a.ipdomain.gz", "wt") as out:
+        out.writelines(f"10.0.{i // 250 % 250}.{i % 250},host{i * 7919}.example.com\n" for i in range(200_000))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    try:
+        scan = DnsScan("A", "2024-01-01", f"{tmp_path}/a.ipdomain.gz")
+        assert ingest_scans(spark, [], [scan], f"{tmp_path}/cache").dns.count() == 200_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "cache" / "dns").rglob("part*.parquet"))) > 1

@@ -69,3 +69,8 @@ def test_random_answers_match_path_enumeration(spark):
         lines.append(line(names[0], answers))
         expected += walk(answers)
     assert flatten(spark, lines) == expected
+
+
+def test_answers_without_data_are_skipped_alone(spark):
+    found = flatten(spark, [line("a.com.", [("a.com.", "A", None), ("a.com.", "A", "1.1.1.1"), ("b.com.", "CNAME", "a.com.")])])
+    assert found == {("1.1.1.1", "a.com", "A"): 1, ("1.1.1.1", "b.com", "A"): 1}

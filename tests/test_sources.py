@@ -47,7 +47,7 @@ def test_file_variants(spark, tmp_path):
     (tmp_path / "b.csv.xz").write_text("")
     (tmp_path / "b.csv.zst").write_text("")
     assert find_file(spark, f"{tmp_path}/a.csv").endswith("a.csv.zst")
-    assert find_file(spark, f"{tmp_path}/b.csv").endswith("b.csv.xz")
+    assert find_file(spark, f"{tmp_path}/b.csv").endswith("b.csv.zst")
     with pytest.raises(FileNotFoundError):
         find_file(spark, f"{tmp_path}/c.csv")
     with pytest.raises(FileNotFoundError):
