@@ -229,12 +229,16 @@ def changed_counts(state: DataFrame, epsilon: float) -> DataFrame:
 
 def _run_rounds(
     topology: Topology, start: DataFrame, epsilon: float, max_iter: int, work: Workspace
-) -> list[DataFrame]:
-    """Final states; every experiment is in exactly one of them."""
+) -> tuple[list[DataFrame], list[tuple[int, int, int]]]:
+    """Final states, each experiment in exactly one of them, and (experiment, round, changed) of all rounds."""
     state, messages = work.write(start, "state-0"), None
     finished: list[DataFrame] = []
-    for step in range(max_iter):
+    history: list[tuple[int, int, int]] = []
+    for step in range(max_iter + 1):
         counts = changed_counts(state, epsilon).collect()  # one row per blocklist
+        history += [(row.experiment, step, row.changed) for row in counts]
+        if step == max_iter:
+            break
         done = [row.experiment for row in counts if row.changed == 0]
         if len(done) == len(counts):
             break
@@ -255,7 +259,7 @@ def _run_rounds(
         if not done:
             work.delete(f"state-{step}")
         state, messages = following, mutual
-    return [*finished, state]
+    return [*finished, state], history
 
 
 def propagate(
@@ -269,6 +273,7 @@ def propagate(
     work: Workspace | None = None,
     edges_per_split: int = EDGES_PER_SPLIT,
     buckets: int | None = None,
+    report: list[tuple[str, int, int]] | None = None,
 ) -> DataFrame:
     """Scores of all reached vertices as ``experiment, id, score, fixed``.
 
@@ -278,6 +283,9 @@ def propagate(
     have ``fixed`` false.
 
     ``bidirectional`` mirrors every edge and divides by the number of distinct neighbours.
+
+    ``report`` is filled with (experiment, round, number of vertices that moved by ``epsilon`` or more). An
+    experiment whose last number is not 0 had not converged by ``max_iter``.
     """
     work = work or Workspace.fresh(spark)
     if bidirectional:
@@ -288,7 +296,10 @@ def propagate(
     try:
         topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
         with buckets_trusted(spark):
-            finished = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
+            finished, history = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
+        if report is not None:
+            names = {row.code: row.experiment for row in codes.collect()}
+            report += [(names[code], step, changed) for code, step, changed in history]
         named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
         fixed = F.coalesce("fixed", F.lit(False)).alias("fixed")
         return work.write(named.select("experiment", "id", "score", fixed), "scores")

@@ -4,7 +4,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
-from workload import views
+from workload import queries, sql, views
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,13 +16,19 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", contract.oracle_sql())
+@pytest.mark.parametrize("name", sql.ALL)
 def test_query_matches_sql(spark, con, name):
     assert difference(contract.queries()[name](spark, SF_DIR), con, contract.oracle_sql()[name]) is None
 
 
-def test_every_query_is_checked_but_the_converged_scores():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"scores_converged"}
+def test_every_query_of_the_workload_is_checked():
+    assert set(queries.ALL) == set(sql.ALL)
+
+
+def test_the_unrolled_rounds_are_enough(con):
+    rows = con.execute(sql.ALL["rounds_changed"]).fetchall()
+    last = {name: (n, changed) for name, n, changed in sorted(rows)}
+    assert last and all(changed == 0 and n < sql.CONVERGED for n, changed in last.values())
 
 
 def test_entry(spark):

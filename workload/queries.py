@@ -63,6 +63,7 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _graphs: dict[tuple[str, str], Graph] = {}
 _scores: dict[tuple[str, ...], DataFrame] = {}
+_reports: dict[tuple[str, ...], list[tuple[str, int, int]]] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -114,7 +115,8 @@ def _propagated(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
     if key not in _scores:
         edges = _relations(spark, sf_dir, "bidirectional" in _RUNS[run])
         vertices = vertex_union(graph(spark, sf_dir).vertices)
-        _scores[key] = propagate(spark, vertices, edges, _seeds(spark, sf_dir), **_RUNS[run])
+        report = _reports[key] = []
+        _scores[key] = propagate(spark, vertices, edges, _seeds(spark, sf_dir), **_RUNS[run], report=report)
     return _scores[key]
 
 
@@ -392,3 +394,11 @@ def scores_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _propagated(spark, sf_dir, "converged")
     named = scores.join(_natural_keys(graph(spark, sf_dir)), "id")
     return _rounded(named.select("experiment", "name", "score", "fixed"))
+
+
+@query
+def rounds_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vertices of each blocklist moved in each round until it converged."""
+    _propagated(spark, sf_dir, "converged")
+    rows = _reports[(spark.sparkContext.applicationId, sf_dir, "converged")]
+    return spark.createDataFrame(rows, "experiment string, round int, changed long")

@@ -269,6 +269,53 @@ def _rounds(count: int, edges: str, degrees: str) -> str:
     return ", ".join(parts)
 
 
+# Rounds that the converging run is unrolled to. It needs fewer; a list that has converged stays as it is.
+CONVERGED = 12
+_EPSILON = 0.01
+
+
+def _converging(edges: str, degrees: str) -> str:
+    """Rounds in which a list takes part until none of its scores moved by epsilon or more."""
+    parts = [
+        f"edge as materialized ({edges})",
+        f"degreed as materialized ({degrees})",
+        "state0 as (select distinct experiment, id, 1.0::double as score, 0.0::double as old_score, true as fixed from seeds)",
+    ]
+    for t in range(CONVERGED + 1):
+        parts.append(
+            f"changed{t} as materialized (select experiment, count(*) filter (abs(score - old_score) >= {_EPSILON}) "
+            f"as changed from state{t} group by experiment)"
+        )
+        if t == CONVERGED:
+            break
+        parts.append(f"moving{t} as (select s.* from state{t} s join changed{t} c using (experiment) where c.changed > 0)")
+        echo, owed = "", "s.score"
+        if t:
+            echo = f"left join message{t - 1} b on b.experiment = s.experiment and b.src = e.dst and b.dst = e.src"
+            owed = (
+                "case when not s.fixed and b.score is not null and v.outDegree > 0 "
+                "then s.score - b.score / v.outDegree else s.score end"
+            )
+        parts.append(
+            f"message{t} as materialized (select s.experiment, e.src, e.dst, {owed} as score "
+            f"from moving{t} s join edge e on e.dst = s.id join degreed v on v.id = s.id {echo} "
+            "where s.score is not null)"
+        )
+        parts.append(
+            f"sum{t} as (select experiment, src as id, sum(score) as total from message{t} group by experiment, src)"
+        )
+        parts.append(
+            f"state{t + 1} as materialized (select coalesce(s.experiment, m.experiment) as experiment, "
+            "coalesce(s.id, m.id) as id, case when s.fixed then 1.0::double "
+            "when v.outDegree > 0 then m.total / v.outDegree end as score, "
+            "coalesce(s.score, 0) as old_score, coalesce(s.fixed, false) as fixed "
+            f"from moving{t} s full join sum{t} m on m.experiment = s.experiment and m.id = s.id "
+            "join degreed v on v.id = coalesce(s.id, m.id) "
+            f"union all select s.* from state{t} s join changed{t} c using (experiment) where c.changed = 0)"
+        )
+    return ", ".join(parts)
+
+
 def _with(*layers: str) -> str:
     return "with recursive " + ", ".join(layers) + " "
 
@@ -278,6 +325,9 @@ _FULL = _with(_VIEWS, _GRAPH)
 _SCORED = _with(
     _VIEWS, _GRAPH, _SEEDS, _rounds(3, "select distinct src, dst from rels", "select id, outDegree from indexed")
 )
+_CONVERGED = _with(
+    _VIEWS, _GRAPH, _SEEDS, _converging("select distinct src, dst from rels", "select id, outDegree from indexed")
+)
 _NEIGHBOURS = """select v.id, coalesce(n.outDegree, 0) as outDegree from indexed v
         left join (select src as id, count(*) as outDegree from edge group by src) n using (id)"""
 _SCORED_BOTH = _with(_VIEWS, _GRAPH, _SEEDS, _rounds(3, _MIRROR, _NEIGHBOURS))
@@ -369,6 +419,15 @@ ALL: dict[str, str] = {
         from state3 where not fixed group by all""",
     "score_anomalies_3_rounds": _SCORED
     + "select experiment, id, round(score, 8) as score, fixed from state3 where score > 1.0",
+    "scores_converged": _CONVERGED
+    + f"""select experiment, guid as name, round(score, 8) as score, fixed
+        from state{CONVERGED} join indexed using (id)""",
+    # A list has a row for each round up to the first in which nothing moved, and the last of all lists.
+    "rounds_changed": _CONVERGED
+    + "select experiment, round, changed from ("
+    + " union all ".join(f"select experiment, {t} as round, changed from changed{t}" for t in range(CONVERGED + 1))
+    + """) qualify coalesce(max(changed = 0) over (partition by experiment order by round
+        rows between unbounded preceding and 1 preceding), false) = false""",
     "affected_3_rounds": _SCORED
     + "select experiment, count(*) filter (score > 0) as affected from state3 group by experiment",
     "ip_scores_3_rounds": _SCORED
