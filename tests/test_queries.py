@@ -40,4 +40,4 @@ def test_entry(spark):
 def test_views_use_whole_tables(spark):
     events, pages = (views.table(spark, SF_DIR, n).count() for n in ("events", "pages"))
     s = views.scans(spark, SF_DIR)
-    assert s.hosts.count() == events and s.certs.count() == pages and s.dns.count() == 2 * pages
+    assert s.hosts.count() == s.http.count() == events and s.certs.count() == pages and s.dns.count() == 2 * pages

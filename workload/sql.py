@@ -95,7 +95,7 @@ http as (
     select e.event_id as id, cast(e.ts as date) as scan_date,
         case when e.event_id % 4 = 0 then '/relative' else p.url end as location
     from events e, page_count c, page_hosts p
-    where p.page_id = (e.event_id * 7) % c.n and e.event_type = 'click'),
+    where p.page_id = (e.event_id * 7) % c.n),
 certs as (
     select sha1(concat('cert', a.page_id)) as sha1, sha256(concat('cert', a.page_id)) as sha256,
         'CN=' || a.host as subject, 'CN=' || b.host as issuer, '2024-01-01T00:00:00Z' as notBefore,

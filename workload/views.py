@@ -77,9 +77,9 @@ def scan_http(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_hosts(spark, sf_dir)
     n = page_count(spark, sf_dir)
     e = F.col("event_id")
-    clicks = table(spark, sf_dir, "events").where(F.col("event_type") == "click")
     return (
-        clicks.withColumn("page_id", (e * 7) % n)
+        table(spark, sf_dir, "events")
+        .withColumn("page_id", (e * 7) % n)
         .join(pages, "page_id")
         .select(
             e.alias("id"),
