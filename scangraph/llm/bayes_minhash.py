@@ -1,10 +1,10 @@
 """Near duplicates: banded MinHash candidates, verified sequentially in the Bayesian way, then exactly.
 
 1. Rows with the same words are one class, represented by its smallest row.
-2. Representatives that share a band of MinHash values share a bucket. Inside a bucket no pairs are
-   listed: each round compares the members with one pivot, and a bucket is finished once its members are in
-   one component. What star rounds leave over, pairs of members of different components, is compared in a
-   last round in full, so no pair of a bucket is given up.
+2. Representatives that share a band of MinHash values share a bucket. Pairs of a bucket are not listed.
+   First its members are compared with one of them, which brings most near copies into one component. Then
+   those outside the bucket's largest component are compared with all members of other components, block
+   by block inside tasks; only pairs that stay likely leave a task. So no pair of a bucket is given up.
 3. A candidate's signatures are compared batch by batch; it is dropped when the posterior probability of
    reaching the threshold falls below the chosen miss probability. Survivors are compared word by word.
 4. Links are joined to components.
@@ -30,8 +30,8 @@ HASHES = BANDS * BAND_ROWS
 #: Signature values compared between two looks at the posterior, and its miss probability at each.
 BATCH, MISS = 32, 1e-7
 
-#: Pairs per bucket membership at which the last, full round may begin.
-FULL_ROUND = 4
+#: Members of a bucket in one block, and pairs that a task compares at once.
+BLOCK, PAIRS_AT_ONCE = 512, 100_000
 
 _WORDS_KEPT = 1_000_000
 _rng = np.random.default_rng(20_240_101)
@@ -137,28 +137,73 @@ def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: in
     return np.array(needed)
 
 
+def _likely(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (a of left, b of right) keep enough matches in every batch of hashes."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
+    for step, least in enumerate(needed):
+        part = slice(step * BATCH, (step + 1) * BATCH)
+        matches = matches + (left[a[alive], part] == right[b[alive], part]).sum(axis=1)
+        good = matches >= least
+        alive, matches = alive[good], matches[good]
+    return alive
+
+
+def _unpack(signatures: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), "<u2").reshape(-1, HASHES)
+
+
 def _prune(percent: int, miss: float):
     needed = least_matches(percent / 100, miss)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            sizes = rows[["n_a", "n_b"]].to_numpy()
-            alive = np.flatnonzero(100 * sizes.min(axis=1, initial=1 << 62) >= percent * sizes.max(axis=1, initial=0))
-            matches = np.zeros(len(alive), dtype=np.int64)
-            left, right = (
-                np.frombuffer(b"".join(rows[c].iloc[alive]), "<u2").reshape(-1, HASHES) for c in ("sig_a", "sig_b")
-            )
-            at = np.arange(len(alive))
-            for step, least in enumerate(needed):
-                part = slice(step * BATCH, (step + 1) * BATCH)
-                matches = matches + (left[at, part] == right[at, part]).sum(axis=1)
-                good = matches >= least
-                at, matches = at[good], matches[good]
-            yield rows.iloc[alive[at]][["a", "b"]]
+            same = np.arange(len(rows))
+            alive = _likely(_unpack(rows.sig_a), _unpack(rows.sig_b), same, same, needed)
+            yield rows.iloc[alive][["a", "b"]]
 
     return prune
 
 
+def _compare_blocks(percent: int, miss: float):
+    """Likely pairs of each (bucket, block) of sorted rows: those outside the largest component
+    (``outside``) with all others, ``inside`` rows being the block's own members."""
+    needed = least_matches(percent / 100, miss)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        signatures = _unpack(rows.signature)
+        node, comp, size = (rows[c].to_numpy() for c in ("node", "comp", "n_shingles"))
+        outside, minor = rows.outside.to_numpy(), rows.minor.to_numpy()
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        out = []
+        for at in range(0, len(x), max(1, PAIRS_AT_ONCE // max(1, len(y)))):
+            own = x[at : at + max(1, PAIRS_AT_ONCE // max(1, len(y)))]
+            small, large = (f(size[own][:, None], size[y]) for f in (np.minimum, np.maximum))
+            fit = (comp[own][:, None] != comp[y]) & (100 * small >= percent * large)
+            # Two members outside meet twice: once is enough.
+            fit &= ~minor[y] | (node[own][:, None] < node[y])
+            i, j = np.nonzero(fit)
+            alive = _likely(signatures, signatures, own[i], y[j], needed)
+            out.append((node[own[i[alive]]], node[y[j[alive]]]))
+        a, b = (np.concatenate(side) for side in zip(*out, strict=True)) if out else ([], [])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            keys = rows[["bucket", "block"]].to_numpy()
+            starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            cuts = [0, *starts.tolist()]
+            found = [compare(rows.iloc[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            held = rows.iloc[cuts[-1] :]
+            if found:
+                yield pd.concat(found)
+        if held is not None and len(held):
+            yield compare(held)
+
+    return blocks
+
+
 def _confirm(size: int, percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, left = None, set()
@@ -176,65 +221,62 @@ def _confirm(size: int, percent: int):
 
 
 class _Verifier:
-    """Checks candidate pairs ``a, b`` of representatives."""
+    """Checks pairs ``a, b`` of representatives, first by signatures, then by full sets."""
 
     def __init__(self, work, signatures: DataFrame, bodies: DataFrame, size: int, percent: int, miss: float):
         self.work, self.signatures, self.bodies = work, signatures, bodies
-        self.size, self.percent, self.miss, self.calls = size, percent, miss, 0
+        self.size, self.percent, self.miss = size, percent, miss
 
     def _ends(self, pairs: DataFrame, table: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
         columns = [F.col("node").alias(end)] + [F.col(k).alias(f"{v}_{end}") for k, v in names.items()]
         return pairs.join(table.select(columns), end)
 
-    def __call__(self, candidates: DataFrame) -> DataFrame:
-        self.calls += 1
-        pairs = self.work.write(candidates.select("a", "b").distinct(), f"candidates{self.calls}")
+    def likely(self, candidates: DataFrame, name: str) -> DataFrame:
+        """Candidates whose signatures leave the threshold possible."""
+        pairs = self.work.write(candidates.distinct(), f"{name}_candidates")
         names = {"n_shingles": "n", "signature": "sig"}
         signed = self._ends(self._ends(pairs, self.signatures, "b", names), self.signatures, "a", names)
-        left = signed.mapInPandas(_prune(self.percent, self.miss), "a long, b long")
-        left = self.work.write(left, f"survivors{self.calls}")
-        full = self._ends(self._ends(left, self.bodies, "b", {"text": "text"}), self.bodies, "a", {"text": "text"})
+        return signed.mapInPandas(_prune(self.percent, self.miss), "a long, b long")
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose full sets reach the threshold."""
+        pairs = self.work.write(pairs, f"{name}_likely")
+        full = self._ends(self._ends(pairs, self.bodies, "b", {"text": "text"}), self.bodies, "a", {"text": "text"})
         # Equal pivots may be dealt to several tasks but stay together inside one.
         full = full.sortWithinPartitions("a").mapInPandas(_confirm(self.size, self.percent), "a long, b long")
-        return self.work.write(full, f"links{self.calls}")
-
-
-def _link_buckets(members: DataFrame, nodes: DataFrame, verify: _Verifier, work) -> DataFrame:
-    """``node, root`` of all linked nodes. ``members``: bucket, node, n_shingles; ``nodes``: node."""
-    none = nodes.select("node", F.col("node").alias("comp"))
-    owned, links, turn = work.write(members.join(none, "node"), "owned0"), None, 0
-    while True:
-        parts = owned.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        crowds = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        rest = crowds.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        cross, size = rest[0] or 0, rest[1] or 0
-        if not cross:
-            break
-        # In the first turns each bucket has one pivot, chosen anew each time.
-        full = turn and cross <= FULL_ROUND * size or turn >= 4
-        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        ids = F.struct(order.alias("order"), "node", "comp", "n_shingles")
-        if full:
-            mine = owned.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n_shingles")))
-            pairs = owned.join(mine, "bucket").where("comp < comp_b")
-            pairs = pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), "n_shingles", "n_shingles_b")
-        else:
-            pivots = owned.groupBy("bucket").agg(F.min(ids).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            pivots = pivots.where("lo <> hi").select("bucket", "p.node", "p.comp", "p.n_shingles")
-            pivots = work.write(pivots, f"pivots{turn}")
-            pivots = pivots.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n_shingles")))
-            pairs = owned.join(pivots, "bucket").where("comp <> comp_b")
-            pairs = pairs.select(F.col("node_b").alias("a"), F.col("node").alias("b"), "n_shingles", "n_shingles_b")
-        sizes = F.least("n_shingles", "n_shingles_b") * 100, F.greatest("n_shingles", "n_shingles_b")
-        found = verify(pairs.where(sizes[0] >= sizes[1] * verify.percent))
-        links = found if links is None else links.union(found)
-        roots = components(links, work, f"roots{turn}")
-        if full:
-            return roots
-        turn += 1
-        comp = F.coalesce("root", F.col("node")).alias("comp")
-        owned = work.write(members.join(roots, "node", "left").select("bucket", "node", "n_shingles", comp), f"owned{turn}")
-    return components(links, work, "roots") if links is not None else none.select("node", F.col("comp").alias("root")).limit(0)
+        return self.work.write(full, f"{name}_links")
+
+
+def _link_buckets(members: DataFrame, verify: _Verifier, work) -> DataFrame:
+    """``node, root`` of all linked nodes. ``members``: bucket, node, n_shingles."""
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("p"))
+    pivots = work.write(pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.n_shingles").alias("n")), "pivots")
+    stars = members.join(pivots, "bucket").where("a <> node")
+    fit = F.least("n", "n_shingles") * 100 >= F.greatest("n", "n_shingles") * verify.percent
+    stars = stars.where(fit).select("a", F.col("node").alias("b"))
+    links = verify.confirmed(verify.likely(stars, "star"), "star")
+    roots = components(links, work, "star_roots")
+
+    comp = F.coalesce("root", "node").alias("comp")
+    owned = members.join(roots, "node", "left").select("bucket", "node", "n_shingles", comp)
+    owned = work.write(owned, "owned")
+    parts = owned.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    crowds = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    crowds = crowds.where("comps > 1").select("bucket", blocks, F.col("top.comp").alias("major"))
+    crowds = work.write(crowds, "crowds")
+    minor = (F.col("comp") != F.col("major")).alias("minor")
+    live = owned.join(crowds, "bucket").select("bucket", "node", "n_shingles", "comp", "blocks", minor)
+    # A member belongs to one block; one outside the largest component also meets every block.
+    own = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside")))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("outside")))
+    places = F.explode(F.when(F.col("minor"), F.concat(own, every)).otherwise(own)).alias("at")
+    placed = live.select("bucket", "node", "n_shingles", "comp", "minor", places).select("*", "at.*").drop("at")
+    signed = work.write(placed, "placed").join(verify.signatures.select("node", "signature"), "node")
+    ordered = signed.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    rest = ordered.mapInPandas(_compare_blocks(verify.percent, verify.miss), "a long, b long").distinct()
+    found = verify.confirmed(rest, "rest")
+    return components(links.union(found), work, "roots")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -251,22 +293,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     heads = sets.select("row_id", "words_digest").where("words_digest is not null")
     classes = work.write(heads.groupBy("words_digest").agg(F.min("row_id").alias("node")), "classes")
 
-    nodes = classes.select("node")
     signed = sets.withColumnRenamed("row_id", "node").where("n_shingles > 0")
-    buckets = signed.select("node", "bands").join(nodes, "node", "left_semi")
-    buckets = work.write(buckets.select(F.explode("bands").alias("bucket"), "node"), "buckets")
+    buckets = signed.select("node", "n_shingles", "bands").join(classes.select("node"), "node", "left_semi")
+    buckets = buckets.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
+    buckets = work.write(buckets, "buckets")
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    crowded = work.write(crowded, "crowded")
-    shared = work.write(buckets.join(crowded, "bucket"), "shared")
-    nodes = work.write(shared.select("node").distinct(), "nodes")
-    signatures = work.write(signed.select("node", "n_shingles", "signature").join(nodes, "node"), "signatures")
-    members = work.write(shared.join(signatures.select("node", "n_shingles"), "node"), "members")
+    members = work.write(buckets.join(work.write(crowded, "crowded"), "bucket"), "members")
     work.delete("buckets")
+    nodes = work.write(members.select("node").distinct(), "nodes")
+    signatures = work.write(signed.select("node", "n_shingles", "signature").join(nodes, "node"), "signatures")
     bodies = texts(docs).select(F.col("row_id").alias("node"), "text").join(nodes, "node")
     bodies = work.write(bodies, "bodies")
 
     verify = _Verifier(work, signatures, bodies, shingle_words, percent, miss)
-    roots = _link_buckets(members, nodes, verify, work)
+    roots = _link_buckets(members, verify, work)
 
     rooted = classes.join(roots, "node", "left")
     rooted = work.write(rooted.select("words_digest", F.coalesce("root", "node").alias("root")), "rooted")
