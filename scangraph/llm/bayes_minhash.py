@@ -4,7 +4,9 @@
 2. Representatives that share a band of MinHash values share a bucket. Pairs of a bucket are not listed.
    First its members are compared with one of them, which brings most near copies into one component. Then
    those outside the bucket's largest component are compared with all members of other components, block
-   by block inside tasks; only pairs that stay likely leave a task. So no pair of a bucket is given up.
+   by block inside tasks; only pairs that stay likely leave a task. In a first turn these are the likeliest
+   partners of each member, after which few are still outside; in the last turn they are all that are left,
+   so no pair of a bucket is given up.
 3. A candidate's signatures are compared batch by batch; it is dropped when the posterior probability of
    reaching the threshold falls below the chosen miss probability. Survivors are compared word by word.
 4. Links are joined to components.
@@ -19,7 +21,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scangraph.llm.common import scratch, texts
@@ -32,6 +34,8 @@ BATCH, MISS = 32, 1e-7
 
 #: Members of a bucket in one block, and pairs that a task compares at once.
 BLOCK, PAIRS_AT_ONCE = 512, 100_000
+#: Partners in each block that a member outside is compared with before all others are.
+FIRST_PARTNERS = 3
 
 _WORDS_KEPT = 1_000_000
 _rng = np.random.default_rng(20_240_101)
@@ -137,15 +141,17 @@ def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: in
     return np.array(needed)
 
 
-def _likely(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, needed: np.ndarray) -> np.ndarray:
-    """Which pairs of rows (a of left, b of right) keep enough matches in every batch of hashes."""
+def _likely(
+    left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, needed: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows (a of left, b of right) keep enough matches in every batch of hashes, and how many."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
     for step, least in enumerate(needed):
         part = slice(step * BATCH, (step + 1) * BATCH)
         matches = matches + (left[a[alive], part] == right[b[alive], part]).sum(axis=1)
         good = matches >= least
         alive, matches = alive[good], matches[good]
-    return alive
+    return alive, matches
 
 
 def _unpack(signatures: pd.Series) -> np.ndarray:
@@ -158,15 +164,15 @@ def _prune(percent: int, miss: float):
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             same = np.arange(len(rows))
-            alive = _likely(_unpack(rows.sig_a), _unpack(rows.sig_b), same, same, needed)
+            alive, _ = _likely(_unpack(rows.sig_a), _unpack(rows.sig_b), same, same, needed)
             yield rows.iloc[alive][["a", "b"]]
 
     return prune
 
 
-def _compare_blocks(percent: int, miss: float):
-    """Likely pairs of each (bucket, block) of sorted rows: those outside the largest component
-    (``outside``) with all others, ``inside`` rows being the block's own members."""
+def _compare_blocks(percent: int, miss: float, most: int | None):
+    """Likely pairs of each (bucket, block) of sorted rows: members outside the bucket's largest component
+    (``outside``) with the block's own members. With ``most``, the most similar so many of each."""
     needed = least_matches(percent / 100, miss)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +188,12 @@ def _compare_blocks(percent: int, miss: float):
             # Two members outside meet twice: once is enough.
             fit &= ~minor[y] | (node[own][:, None] < node[y])
             i, j = np.nonzero(fit)
-            alive = _likely(signatures, signatures, own[i], y[j], needed)
+            alive, matches = _likely(signatures, signatures, own[i], y[j], needed)
+            if most is not None and len(alive):
+                alive = alive[np.lexsort((-matches, i[alive]))]
+                first = np.flatnonzero(np.diff(i[alive], prepend=-1))
+                rank = np.arange(len(alive)) - np.repeat(first, np.diff(np.append(first, len(alive))))
+                alive = alive[rank < most]
             out.append((node[own[i[alive]]], node[y[j[alive]]]))
         a, b = (np.concatenate(side) for side in zip(*out, strict=True)) if out else ([], [])
         return pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
@@ -256,27 +267,41 @@ def _link_buckets(members: DataFrame, verify: _Verifier, work) -> DataFrame:
     stars = stars.where(fit).select("a", F.col("node").alias("b"))
     links = verify.confirmed(verify.likely(stars, "star"), "star")
     roots = components(links, work, "star_roots")
+    for name, most in (("first", FIRST_PARTNERS), ("rest", None)):
+        pairs = _separate_pairs(members, roots, verify, work, name, most)
+        links = links.union(verify.confirmed(pairs, name))
+        roots = components(links, work, f"{name}_roots")
+    return roots
 
+
+def _separate_pairs(
+    members: DataFrame, roots: DataFrame, verify: _Verifier, work, name: str, most: int | None
+) -> DataFrame:
+    """Likely pairs ``a, b`` of members of a bucket that are in different components."""
     comp = F.coalesce("root", "node").alias("comp")
     owned = members.join(roots, "node", "left").select("bucket", "node", "n_shingles", comp)
-    owned = work.write(owned, "owned")
+    owned = work.write(owned, f"{name}_owned")
     parts = owned.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    crowds = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    top = F.max(F.struct("n", "comp")).alias("top")
+    crowds = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), top)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     crowds = crowds.where("comps > 1").select("bucket", blocks, F.col("top.comp").alias("major"))
-    crowds = work.write(crowds, "crowds")
+    crowds = work.write(crowds, f"{name}_crowds")
     minor = (F.col("comp") != F.col("major")).alias("minor")
     live = owned.join(crowds, "bucket").select("bucket", "node", "n_shingles", "comp", "blocks", minor)
+
+    def place(block: Column, outside: bool) -> Column:
+        return F.struct(block.cast("int").alias("block"), F.lit(outside).alias("outside"))
+
     # A member belongs to one block; one outside the largest component also meets every block.
-    own = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside")))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("outside")))
+    own = F.array(place(F.pmod(F.xxhash64("node"), F.col("blocks")), False))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda block: place(block, True))
     places = F.explode(F.when(F.col("minor"), F.concat(own, every)).otherwise(own)).alias("at")
     placed = live.select("bucket", "node", "n_shingles", "comp", "minor", places).select("*", "at.*").drop("at")
-    signed = work.write(placed, "placed").join(verify.signatures.select("node", "signature"), "node")
+    signed = placed.join(verify.signatures.select("node", "signature"), "node")
     ordered = signed.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    rest = ordered.mapInPandas(_compare_blocks(verify.percent, verify.miss), "a long, b long").distinct()
-    found = verify.confirmed(rest, "rest")
-    return components(links.union(found), work, "roots")
+    compare = _compare_blocks(verify.percent, verify.miss, most)
+    return ordered.mapInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
