@@ -5,6 +5,9 @@ boundary state. Each chunk yields the matrix of best scores from each state at i
 end, in parallel. Matrices multiply associatively (maximum for sum, sum for product), so those of a document
 are multiplied up a tree; going down the tree, the best states at the ends of a node give those between its
 children, and in the end each chunk finds its own pieces between two known states.
+
+That is the encoding of models of the unigram kind. The pieces of a model of the BPE kind are found by its own
+merges (``piece_bpe``); its giant texts are cut between parts, which stand for themselves.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scangraph.llm.common import scratch, texts
+from scangraph.llm.piece_bpe import is_bpe, piece_bpe
 from scangraph.llm.unigram import Unigram, unigram
 
 #: Characters of a chunk; longer texts are scanned in parallel. Matrices that meet in a node of the tree.
@@ -254,7 +258,7 @@ def encode_pieces(
 ) -> DataFrame:
     """``row_id, ids, score`` of every whole text: ids of 32 bits each, and the total of their scores.
 
-    The segmentation has the largest total score over the model's pieces. Null and empty texts have no ids.
+    The segmentation has the largest total score over the model's pieces, whatever its kind. Null and empty texts have no ids.
     Texts of more than ``chunk`` characters are scanned in chunks, which changes nothing but which of equal
     totals may be taken.
     """
@@ -280,23 +284,87 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.select("row_id", "ids").mapInPandas(_decode(model), "row_id long, text string")
 
 
-def _digest(path: str | None):
+def _cut(path: str | None, size: int):
+    """Chunks of at least ``size`` characters of escaped texts, cut where no piece spans."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = piece_bpe(path)
+        for rows in batches:
+            for row_id, doc_id, text in zip(rows.row_id, rows.doc_id, rows.text, strict=True):
+                held, chunk, n = [], 0, 0
+                for part in encoder.segments(encoder.escape(bytes(text).decode("utf-8", "replace"))):
+                    held.append(part)
+                    n += len(part)
+                    if n >= size:
+                        yield _chunk_row(row_id, doc_id, chunk, held)
+                        held, chunk, n = [], chunk + 1, 0
+                if held:
+                    yield _chunk_row(row_id, doc_id, chunk, held)
+
+    return cut
+
+
+def _chunk_row(row_id: int, doc_id: float, chunk: int, parts: list[str]) -> pd.DataFrame:
+    columns = {"row_id": [row_id], "doc_id": [doc_id], "chunk": [chunk], "text": ["".join(parts)]}
+    return pd.DataFrame(columns)
+
+
+def _merge(path: str | None, escaped: bool):
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = piece_bpe(path)
+        encode = encoder.encode_escaped if escaped else encoder.encode
+        for rows in batches:
+            found = [encode(text) for text in rows.text]
+            columns = {"ids": [ids for ids, _ in found], "score": [score for _, score in found]}
+            yield rows.drop(columns="text").assign(**columns)
+
+    return merge
+
+
+def merge_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``row_id, doc_id, ids, score`` of every whole text, as the library encodes it with a model of the BPE kind.
+
+    Texts of more than ``chunk`` characters are encoded in chunks, which changes nothing.
+    """
+    # Ids travel as strings: pandas has no integers with nulls by itself.
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    size = F.char_length(F.col("text").cast("string"))
+    schema = "row_id long, doc_id string, ids binary, score double"
+    short = rows.where(size < chunk).mapInPandas(_merge(model, False), schema)
+    cut = rows.where(size >= chunk).mapInPandas(_cut(model, chunk), "row_id long, doc_id string, chunk long, text string")
+    spread = cut.repartition("row_id", "chunk")
+    merged = spread.mapInPandas(_merge(model, True), "row_id long, doc_id string, chunk long, ids binary, score double")
+    parts = F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts")
+    whole = merged.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), parts, F.sum("score").alias("score"))
+    ids = F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, part["ids"])).alias("ids")
+    found = short.unionByName(whole.select("row_id", "doc_id", ids, "score"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _digest(path: str | None, key: str = "row_id"):
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = unigram(path)
+        model = piece_bpe(path) if is_bpe(path) else unigram(path)
         for rows in batches:
             out = []
             for ids in rows.ids:
                 body = model.decode(np.frombuffer(ids, "<u4").tolist()).encode()
                 out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(body).hexdigest()))
             found = pd.DataFrame(out, columns=["n_pieces", "ids_crc32", "decoded_sha256"])
-            yield pd.concat([rows[["row_id", "score"]].reset_index(drop=True), found], axis=1)
+            yield pd.concat([rows[[key, "score"]].reset_index(drop=True), found], axis=1)
 
     return digest
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """``doc_id, n_pieces, score, ids_crc32, decoded_sha256`` of every row, encoded and decoded again."""
+    """``doc_id, n_pieces, score, ids_crc32, decoded_sha256`` of every row, encoded and decoded again.
+
+    The encoding is that of the model's kind, and ``score`` the total of its pieces' scores.
+    """
     schema = "row_id long, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
+    if is_bpe(model):
+        merged = merge_pieces(docs, model).withColumn("doc_id", F.col("doc_id").cast("string"))
+        found = merged.mapInPandas(_digest(model, "doc_id"), schema.replace("row_id long", "doc_id string"))
+        return found.withColumn("doc_id", F.col("doc_id").cast("long"))
     found = encode_pieces(docs, model).mapInPandas(_digest(model), schema)
     ids = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(found, "row_id").drop("row_id")

@@ -3,6 +3,9 @@
 The forward score of a prefix depends on the prefix alone. The distinct pre-tokens of a batch of rows are
 walked in sorted order, which is the depth-first order of their trie, so each shared prefix is scored once;
 the count at a pre-token's end is kept, and a text's tokens are the sum over its pre-tokens.
+
+That holds for models of the unigram kind. With a model of the BPE kind the distinct pre-tokens are counted as
+the model's own merges cut them (``piece_bpe``).
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from scangraph.llm.common import texts
+from scangraph.llm.piece_bpe import is_bpe, piece_bpe
 from scangraph.llm.unigram import Unigram, unigram
 
 #: Pre-tokens whose counts a worker keeps for later batches.
@@ -76,11 +80,22 @@ def _count(path: str | None):
     return count
 
 
+def _count_merged(path: str | None):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = piece_bpe(path)
+        for rows in batches:
+            totals = pd.DataFrame([encoder.count(t) for t in rows.text], columns=["n_words", "n_tokens", "score"])
+            yield pd.concat([rows[["row_id", "doc_id"]].reset_index(drop=True), totals], axis=1)
+
+    return count
+
+
 def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``row_id, doc_id, n_words, n_tokens, score`` of every whole text of ``docs``.
 
-    ``n_words`` counts pre-tokens with repeats, ``score`` is the total of the best segmentation. Null and
+    ``n_words`` counts pre-tokens with repeats. The pieces are those of the model's kind: its own merges for BPE,
+    else the segmentation of largest total; ``score`` is the total of their scores. Null and
     empty texts have no tokens; repeated rows are counted each.
     """
     schema = "row_id long, doc_id long, n_words long, n_tokens long, score double"
-    return texts(docs).mapInPandas(_count(model), schema)
+    return texts(docs).mapInPandas((_count_merged if is_bpe(model) else _count)(model), schema)

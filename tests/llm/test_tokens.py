@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from scangraph.llm.arrow_tokens import SEQUENCE, open_sequences, pack_stream, read_tokens, sequence, write_tokens
 from scangraph.llm.byte_bpe import TOKENIZER, byte_bpe
 from scangraph.llm.common import texts, tokenizer_path
-from scangraph.llm.maxplus_pieces import decode_pieces, encode_pieces, round_trip
+from scangraph.llm.maxplus_pieces import decode_pieces, encode_pieces, merge_pieces, round_trip
 from scangraph.llm.residual_packing import best_fit, pack_pieces, packed_sequences, token_pieces
 from scangraph.llm.trie_counts import token_counts, trie_counts
 from scangraph.llm.unigram import Unigram, unigram
@@ -131,3 +131,21 @@ def test_trie_shares_prefixes():
     model = Unigram(tokenizer_path("piece_bpe_32k.model"))
     words = {"▁th", "▁the", "▁then", "▁thing", "▁x", "▁日本", "▁"}
     assert trie_counts(model, words) == {w: (len(ids), s) for w in words for ids, s in [model.segment(w)]}
+
+
+def test_pieces_are_those_of_the_library(table, odd_rows):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    more = [" a ", "a▁b ▁", "a" + " " * 40 + "b", "x\x00 y\t\n", "😀 naïve ﷐", " ", "unrelated  thingamabobs"]
+    rows = odd_rows + list(enumerate(more, 50))
+    expected = [(doc_id, library.encode(text or "")) for doc_id, text in rows]
+    docs = table(rows)
+    for chunk in (5, 1 << 14):
+        found = merge_pieces(docs, chunk=chunk).collect()
+        ids = Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.score) for r in found)
+        assert ids == Counter((d, tuple(i), float(sum(map(library.get_score, i)))) for d, i in expected)
+    crcs = Counter((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in expected)
+    assert Counter((r.doc_id, r.n_pieces, r.ids_crc32) for r in round_trip(docs).collect()) == crcs
+    counts = Counter((r.doc_id, r.n_tokens) for r in token_counts(docs).collect())
+    assert counts == Counter((d, len(i)) for d, i in expected)
