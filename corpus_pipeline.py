@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scangraph.llm.bayes_minhash import near_duplicates
-from scangraph.llm.common import documents, keep_rows, on_scratch, scratch
+from scangraph.llm.common import documents, keep_rows, on_scratch, scratch, stored
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import without_passages
@@ -31,10 +31,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = stored(docs, scratch(spark))
     return keep_rows(docs, exact_duplicates(docs).where("kept").select("row_id"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = stored(docs, scratch(spark))
     return keep_rows(docs, near_duplicates(docs, shingle_words=5).where("first_row").select("row_id"))
 
 

@@ -13,6 +13,9 @@ from scangraph.storage import Workspace
 #: A-Z only; every other character keeps its case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Column of a row's number in tables that ``stored`` has written.
+ROW_NUMBER = "_scangraph_row"
+
 #: Called with each new workspace, so that a pipeline can delete it once its stage is written.
 _listeners: list[Callable[[Workspace], None]] = []
 
@@ -42,22 +45,35 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``row_id, doc_id, text`` of every row: null text is empty, text is UTF-8 bytes.
 
     Other columns are left behind, so none of them can clash with an operator's own. The row number
-    tells repeated rows apart. It is the same in every scan of a table in files, which ``docs`` must be.
+    tells repeated rows apart. Another scan may number rows otherwise, as splits follow the cores there are:
+    numbers that are joined on must come from a table that ``stored`` has written.
     """
+    number = F.col(ROW_NUMBER) if ROW_NUMBER in docs.columns else F.monotonically_increasing_id()
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        number.alias("row_id"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
 
 
+def stored(docs: DataFrame, work: Scratch) -> DataFrame:
+    """``docs`` with row numbers, written once, so that every later scan reads the same ones."""
+    return docs if ROW_NUMBER in docs.columns else work.write(numbered(docs, ROW_NUMBER), "numbered")
+
+
 def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
     """``docs`` with the row number of ``texts``."""
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def keep_rows(docs: DataFrame, row_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``row_ids`` (one column), with all their columns."""
+    """The rows of ``docs`` whose number is in ``row_ids`` (one column), with all their columns.
+
+    The row numbers of ``stored`` are read and left out; without them, they are made as ``texts`` makes them.
+    """
+    if ROW_NUMBER in docs.columns:
+        kept = docs.join(row_ids.toDF(ROW_NUMBER), ROW_NUMBER, "left_semi")
+        return kept.select(*(F.col(f"`{c}`") for c in docs.columns if c != ROW_NUMBER))
     name = "row_id"
     while name in docs.columns:  # never an own column of the documents
         name += "_"

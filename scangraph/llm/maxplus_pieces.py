@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scangraph.llm.common import scratch, texts
+from scangraph.llm.common import scratch, stored, texts
 from scangraph.llm.piece_bpe import is_bpe, piece_bpe
 from scangraph.llm.unigram import Unigram, unigram
 
@@ -365,6 +365,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
         merged = merge_pieces(docs, model).withColumn("doc_id", F.col("doc_id").cast("string"))
         found = merged.mapInPandas(_digest(model, "doc_id"), schema.replace("row_id long", "doc_id string"))
         return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = stored(docs.select("doc_id", "text"), scratch(docs.sparkSession))
     found = encode_pieces(docs, model).mapInPandas(_digest(model), schema)
-    ids = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"))
+    ids = texts(docs).select("row_id", "doc_id")
     return ids.join(found, "row_id").drop("row_id")

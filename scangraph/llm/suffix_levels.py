@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scangraph.llm.common import scratch, texts
+from scangraph.llm.common import ROW_NUMBER, scratch, stored, texts
 
 LENGTH, ANCHOR = 50, 16
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
@@ -390,12 +390,12 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
     Every row stays, also one of which nothing is left; other columns are as they were.
     """
-    name = "row_id"
+    name = "spans"
     while name in docs.columns:
         name += "_"
-    spans = repeated_passages(docs).select(F.col("row_id").alias(name), F.col("spans").alias(f"{name}spans"))
-    joined = docs.withColumn(name, F.monotonically_increasing_id()).join(spans, name)
-    joined = joined.select(F.col(f"{name}spans"), *(F.col(f"`{c}`") for c in docs.columns))
+    rows = stored(docs, scratch(docs.sparkSession))
+    spans = repeated_passages(rows).select(F.col("row_id").alias(ROW_NUMBER), F.col("spans").alias(name))
+    joined = rows.join(spans, ROW_NUMBER).select(F.col(name), *(F.col(f"`{c}`") for c in docs.columns))
     columns, schema = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
