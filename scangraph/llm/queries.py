@@ -14,6 +14,7 @@ from scangraph.llm.common import documents, scratch
 from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.maxplus_pieces import round_trip
+from scangraph.llm.periodic_runs import longest_run, periodic_runs, with_planted_runs
 from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import repeated_passages
 from scangraph.llm.toxicity_chain import toxicity
@@ -106,3 +107,19 @@ def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir)).drop("row_id")
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(documents(spark, sf_dir))).withColumn("best", longest_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
