@@ -19,6 +19,7 @@ from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import repeated_passages
 from scangraph.llm.toxicity_chain import toxicity
 from scangraph.llm.trie_counts import token_counts
+from scangraph.llm.turn_alignment import damaged, repair_conversations
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +110,11 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir)).drop("row_id")
 
 
+@_query
+def op11_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 @_query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(with_planted_runs(documents(spark, sf_dir))).withColumn("best", longest_run(F.col("runs")))
