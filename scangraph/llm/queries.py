@@ -14,6 +14,7 @@ from scangraph.llm.common import documents, scratch
 from scangraph.llm.content_archive import archive_pages
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.maxplus_pieces import round_trip
+from scangraph.llm.passage_attention import quality
 from scangraph.llm.periodic_runs import longest_run, periodic_runs, with_planted_runs
 from scangraph.llm.residual_packing import pack_documents
 from scangraph.llm.suffix_levels import repeated_passages
@@ -129,3 +130,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query
+def op13_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality(documents(spark, sf_dir), labels).drop("row_id")
