@@ -5,11 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scangraph.functions.suffixes import union_all
-from scangraph.operators.propagation import scores_by_kind, seed_vertices
-from scangraph.sources.blocklists import Blocklist
+from scangraph.operators.propagation import scores_by_kind
+from scangraph.sources.blocklists import Blocklist, listed_vertices
 from scangraph.sources.graph_files import Graph, read_graph, write_graph_csv
 from scangraph.storage import (
     delete_path,
@@ -39,15 +37,8 @@ class Experiment:
 
     def seeds(self, spark: SparkSession, names: set[str] | None = None) -> DataFrame:
         """``experiment, id`` of every listed vertex, of the named blocklists or of all."""
-        return union_all(
-            [
-                seed_vertices(b.read(spark), self.graph[b.vertex_table], b.column).select(
-                    F.lit(b.name).alias("experiment"), "id"
-                )
-                for b in self.blocklists
-                if names is None or b.name in names
-            ]
-        )
+        chosen = [b for b in self.blocklists if names is None or b.name in names]
+        return listed_vertices(spark, chosen, self.graph.vertices)
 
 
 def _marker(directory: str, kind: str, name: str) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -154,6 +155,13 @@ def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted((p.getPath().getName(), p.getLen(), p.getModificationTime()) for p in parts)
 
 
+def file_uri(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Full name of a file or folder, with one slash behind ``file:``, and whether it is a folder."""
+    hadoop_path, fs = _hadoop_path(spark, path)
+    status = fs.getFileStatus(hadoop_path)
+    return re.sub("^file:/+", "file:/", status.getPath().toUri().toString()), status.isDirectory()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path, fs = _hadoop_path(spark, path)
     fs.delete(hadoop_path, True)

@@ -41,3 +41,12 @@ def test_views_use_whole_tables(spark):
     events, pages = (views.table(spark, SF_DIR, n).count() for n in ("events", "pages"))
     s = views.scans(spark, SF_DIR)
     assert s.hosts.count() == s.http.count() == events and s.certs.count() == pages and s.dns.count() == 2 * pages
+
+
+def test_lists_hold_all_events(spark, con):
+    assert views.list_rows(spark, SF_DIR).count() == views.table(spark, SF_DIR, "events").count()
+    listed = views.blocklists(spark, SF_DIR)
+    n = con.execute("select count(*) from pages").fetchone()[0]
+    count = lambda kind, value: con.execute(f"select count(distinct {value}) from events where event_type = '{kind}'").fetchone()[0]
+    assert listed["sha1"].count() == count("purchase", f"user_id % {n}")
+    assert listed["domain_name"].count() <= count("signup", f"event_id % {n}") > 0

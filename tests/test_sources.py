@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from scangraph.sources.blocklists import Blocklist
+from scangraph.sources.blocklists import Blocklist, list_members, listed_vertices
 from scangraph.sources.graph_files import Graph, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import (
@@ -111,6 +111,54 @@ def test_blocklists(spark, tmp_path):
         Blocklist("x/other.txt").read(spark)
 
 
+def write_some_lists(folder, count):
+    folder.mkdir()
+    for i in range(count):
+        (folder / f"plain {i}%.ip").write_text(f"10.0.0.{i}\n10.0.0.1\n\n10.0.0.1\n")
+        (folder / f"c{i}.ip.csv").write_text(f'# 10.0.0.9\n"a, b",10.0.0.{i + 1}\n#x,10.0.0.9\nalone\n')
+        (folder / f"feodo{i}.sha1.csv").write_text(f"# c\nseen,sha1,more\nx,s{i},1\nx,s{i},2\n")
+    (folder / "parts.dn.csv").mkdir()
+    for i in range(3):
+        (folder / "parts.dn.csv" / f"part-{i}.csv").write_text(f"x,{'abc'[i]}.com\nx,a.com\n")
+    (folder / "empty.dn").write_text("")
+    (folder / "empty.sha1.csv").write_text("")
+    return [Blocklist(f"{folder}/{name}") for name in sorted(p.name for p in folder.iterdir())]
+
+
+def test_many_lists_are_read_together(spark, tmp_path):
+    lists = write_some_lists(tmp_path / "lists", 4)
+    kinds = {"ip": ("ip", [f"10.0.0.{i}" for i in range(12)]), "cert": ("sha1", [f"s{i}" for i in range(6)])}
+    kinds["domain"] = ("domain_name", ["a.com", "b.com", "d.com"])
+    vertices = {k: spark.createDataFrame(list(enumerate(v)), f"id long, {c} string") for k, (c, v) in kinds.items()}
+    found = [tuple(r) for r in listed_vertices(spark, lists, vertices).collect()]
+    assert len(found) == len(set(found))
+    expected = set()
+    for i in range(4):
+        expected |= {(f"plain {i}%_ip", i), (f"plain {i}%_ip", 1), (f"c{i}_ip_csv", i + 1), (f"feodo{i}_sha1_csv", i)}
+    assert set(found) == expected | {("parts_dn_csv", 0), ("parts_dn_csv", 1)}
+    # The same as one by one.
+    for blocklist in lists:
+        if blocklist.file_name != "empty.sha1.csv":  # a single empty file has no columns to infer
+            rows = blocklist.read(spark).join(vertices[blocklist.vertex_table], blocklist.column).collect()
+            assert {(blocklist.name, r.id) for r in rows} == {f for f in found if f[0] == blocklist.name}
+    own = [b for b in lists if b.vertex_table == "ip"]
+    (row,) = list_members(spark, own).where("indicator = '10.0.0.1'").collect()
+    assert [own[c].name for c in row.codes] == ["c0_ip_csv", *(f"plain {i}%_ip" for i in range(4))]
+    assert listed_vertices(spark, [], vertices).collect() == []
+
+
+def test_joins_do_not_grow_with_the_number_of_lists(spark, tmp_path):
+    vertices = {k: spark.createDataFrame([], f"id long, {c} string") for k, c in (("ip", "ip"), ("cert", "sha1"), ("domain", "domain_name"))}
+    plans = []
+    for count in (2, 40):
+        lists = write_some_lists(tmp_path / f"lists{count}", count)
+        plan = listed_vertices(spark, lists, vertices)._jdf.queryExecution().optimizedPlan().toString()
+        plans.append((plan.count("Join Inner"), plan.count("Relation [")))
+        # One join with the vertices for each kind; the others give a row the number and the name of its list.
+        assert plan.count("Join Inner, (ip#") + plan.count("Join Inner, (sha1#") + plan.count("Join Inner, (domain_name#") == 3
+    assert plans[0] == plans[1]
+
+
 RELATION = "src long, dst long, scan_dates array<date>, valid boolean, scan_src array<string>"
 
 

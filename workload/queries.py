@@ -31,10 +31,12 @@ from scangraph.operators.propagation import (
     seed_vertices,
 )
 from scangraph.plans.build import build_graph, domain_names, observed_edges, vertex_keys
+from scangraph.sources import blocklists
+from scangraph.sources.blocklists import Blocklist
 from scangraph.sources.certificates import pem_to_der, with_fingerprints
 from scangraph.sources.graph_files import Graph
 from scangraph.sources.resolver import flatten_answers
-from scangraph.storage import Workspace
+from scangraph.storage import Workspace, list_names
 from workload import views
 from workload.rules import suffix_rules
 
@@ -355,6 +357,16 @@ def blocklist_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seeds(spark, sf_dir)
 
 
+@query
+def listed_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List files written from all events, read back and matched with the graph together."""
+    work = Workspace.fresh(spark)
+    folder = work.path("blocklists")
+    views.write_lists(spark, sf_dir, folder)
+    lists = [Blocklist(f"{folder}/{name}") for name in list_names(spark, folder)]
+    return blocklists.listed_vertices(spark, lists, graph(spark, sf_dir).vertices)
+
+
 @query
 def scores_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds for all blocklists, by natural key."""

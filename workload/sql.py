@@ -222,11 +222,23 @@ seeds as (
     union all
     select 'domain_name', v.id from indexed v where v.guid in (
         select 'd_' || p.host from events e, page_count c, page_hosts p
-        where p.page_id = e.event_id % c.n and e.value > 99 and e.event_type = 'signup')
+        where p.page_id = e.event_id % c.n and e.event_type = 'signup')
     union all
     select 'sha1', v.id from indexed v join cert_set s on s.guid = v.guid where s.sha1 in (
         select sha1(concat('cert', e.user_id % c.n)) from events e, page_count c
-        where e.value > 99 and e.event_type = 'purchase'))
+        where e.event_type = 'purchase'))
+"""
+
+
+_LISTED = f"""
+list_rows as (
+    select concat('list=', e.event_type, isodow(e.ts) - 1, case e.event_type when 'view' then '_ip'
+            when 'click' then '-feodo_ip_csv' when 'purchase' then '_sha1_csv' when 'signup' then '_dn' else '_dn_csv' end) as name,
+        case when e.event_type in ('view', 'click')
+            then 'ip_' || concat('198.', {_spread("e.user_id")}, '.', e.event_id % 16)
+            when e.event_type in ('signup', 'error') then 'd_' || p.host end as guid,
+        case when e.event_type = 'purchase' then sha1(concat('cert', e.user_id % c.n)) end as sha1
+    from events e, page_count c, page_hosts p where p.page_id = e.event_id % c.n)
 """
 
 
@@ -409,6 +421,9 @@ ALL: dict[str, str] = {
     "trade_degrees": """select id, cast(sum(i) as bigint) as inDegree, cast(sum(o) as bigint) as outDegree from (
         select 'p' || l_partkey as id, 0 as i, 1 as o from lineitem
         union all select 's' || l_suppkey, 1, 0 from lineitem) group by id""",
+    "listed_vertices": _with(_VIEWS, _GRAPH, _LISTED)
+    + """select distinct l.name as experiment, v.id from list_rows l join cert_set s using (sha1) join indexed v on v.guid = s.guid
+        union select l.name, v.id from list_rows l join indexed v using (guid)""",
     "blocklist_seeds": _with(_VIEWS, _GRAPH, _SEEDS) + "select * from seeds",
     "scores_3_rounds": _SCORED
     + "select experiment, guid as name, round(score, 8) as score, fixed from state3 join indexed using (id)",

@@ -143,8 +143,8 @@ def scans(spark: SparkSession, sf_dir: str) -> Scans:
 
 
 def blocklists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Indicators by the vertex column they are matched with."""
-    events = table(spark, sf_dir, "events").where(F.col("value") > 99)
+    """Indicators by the vertex column they are matched with: those of all events of a type."""
+    events = table(spark, sf_dir, "events")
     pages = page_hosts(spark, sf_dir)
     n = page_count(spark, sf_dir)
     sent = events.where(F.col("event_type") == "purchase")
@@ -157,6 +157,48 @@ def blocklists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``name, indicator``: every event lists one vertex, in a list of its type and day of the week."""
+    pages = page_hosts(spark, sf_dir)
+    n = page_count(spark, sf_dir)
+    kind, day = F.col("event_type"), F.weekday("ts").cast("string")
+    events = table(spark, sf_dir, "events").withColumn("page_id", F.col("event_id") % n).join(pages, "page_id")
+    address = _dotted(198, *_spread(F.col("user_id")), F.col("event_id") % 16)
+    indicator = (
+        F.when(kind.isin("view", "click"), address)
+        .when(kind == "purchase", _fingerprint(F.col("user_id") % n, "sha1"))
+        .otherwise(F.col("host"))
+    )
+    name = F.concat(kind, day, F.element_at(F.create_map(*[F.lit(v) for pair in _LIST_NAMES.items() for v in pair]), kind))
+    return events.select(name.alias("name"), indicator.alias("indicator"))
+
+
+# File names of the lists of each event type: one indicator a line, CSV without header, and CSV with one.
+_LIST_NAMES = {
+    "view": ".ip",
+    "click": "-feodo.ip.csv",
+    "purchase": ".sha1.csv",
+    "signup": ".dn",
+    "error": ".dn.csv",
+}
+
+
+def write_lists(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write ``list_rows`` as list files below ``folder``, with comments, header lines, repeated rows and an empty list."""
+    rows = list_rows(spark, sf_dir)
+    headed = F.col("name").contains("feodo")
+    csv = F.col("name").endswith(".csv") & ~headed
+    listed = rows.withColumn("list", F.col("name"))
+    # The first of three columns of a CSV line may itself hold a comma.
+    quoted = F.format_string('"seen, %s",%s,x', F.col("name"), F.col("indicator"))
+    lines = F.when(csv, F.array(F.concat(F.lit("# "), F.col("indicator")), quoted)).otherwise(F.array("indicator"))
+    text = listed.where(~headed).select("list", F.explode(lines).alias("value"))
+    text.write.mode("append").partitionBy("list").text(folder)
+    columns = [F.lit("2024, first").alias("first_seen"), F.col("indicator").alias("listed"), F.lit("443").alias("port")]
+    listed.where(headed).select("list", *columns).write.mode("append").partitionBy("list").option("header", True).csv(folder)
+    rows.limit(0).select("indicator").write.mode("overwrite").text(f"{folder}/none.dn")
+
+
 def resolver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line per page: a name, two aliases in a row, both address kinds, and a cycle."""
     p = F.col("page_id")
