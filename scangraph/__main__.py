@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     rank.add_argument("--input-dir", required=True)
     rank.add_argument("--bidirectional", type=_flag, default=False)
     rank.add_argument("--epsilon", type=float, default=0.01)
+    rank.add_argument("--max-iter", type=int, default=100)
 
     for job in (build, rank):
         job.add_argument("--cache-dir", required=True, help="folder for intermediate tables, shared by all executors")
@@ -74,13 +75,14 @@ def main(arguments: list[str] | None = None) -> None:
         write_graph(graph, options.out, options.output_type, options.overwrite)
     else:
         experiment = Experiment.from_dir(spark, options.input_dir, options.bidirectional)
-        run = fingerprint(options.input_dir, options.bidirectional, options.epsilon)
-        work = Workspace(spark, f"{options.cache_dir}/propagation-{run}")
+        run = fingerprint(options.input_dir, options.bidirectional, options.epsilon, options.max_iter)
+        work = Workspace(spark, f"{options.cache_dir}/propagation-{run}", resume=not options.overwrite)
         run_experiment(
             spark,
             experiment,
             options.out,
             epsilon=options.epsilon,
+            max_iter=options.max_iter,
             output_type=options.output_type,
             overwrite=options.overwrite,
             work=work,

@@ -16,26 +16,32 @@ How the rounds are laid out:
   join, and the out-degree travels with the edge, which replaces a lookup per round.
 * All blocklists run together under the key ``experiment``; one that has converged is set aside.
 * State and messages are written to the shared folder every round; only per-experiment counts reach
-  the driver.
+  the driver. They are observed while the state is written, unless there are very many experiments.
+* In a workspace that may be resumed, every round is logged once its tables are complete, and a run that was
+  stopped goes on with the first round that is not, if edges, vertices, seeds and parameters are the same.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scangraph.functions.suffixes import union_all
 from scangraph.operators.degrees import mirror, with_degrees
-from scangraph.storage import Workspace, buckets_trusted, list_names
+from scangraph.operators.round_log import RoundLog
+from scangraph.storage import Workspace, buckets_trusted, content_fingerprint, fingerprint, list_names, path_exists
 
 MAX_HUBS = 100_000
 EDGES_PER_SPLIT = 1_000_000
 MAX_EXPERIMENTS = 10_000
+# Up to so many experiments are counted while the state is written; more are counted from the written state.
+MAX_OBSERVED = 200
 MIN_BUCKET, MAX_BUCKET = 100_000, 2_000_000  # edges
-_KEY = ["dst", "salt"]
+_KEY, _BACK = ["dst", "salt"], ["src", "back"]
 _OWN_TABLES = ("mirrored", "seeds", "edges", "hubs", "topology")
 
 
@@ -110,11 +116,18 @@ def prepare_topology(
         place = F.pmod(F.xxhash64(other), F.coalesce(F.col("splits"), F.lit(1))).cast("int")
         full = full.join(spread, end, "left").withColumn(salt, place).drop("splits")
     full = full.select("src", "dst", "salt", "back", "src_degree", "mutual")
-    stored = work.write_bucketed(full, "topology", buckets, _KEY, partition_by="mutual")
+    work.write_bucketed(full, "topology", buckets, _KEY, partition_by="mutual")
+    return _stored_topology(work, buckets)
+
+
+def _stored_topology(work: Workspace, buckets: int) -> Topology:
+    """The topology in the tables of ``prepare_topology``."""
+    stored = work.read_bucketed("topology", buckets, _KEY, partition_by=("mutual", "boolean"))
+    columns = ["src", "dst", "salt", "back", "src_degree"]
     return Topology(
-        oneway=stored.where(~F.col("mutual")).drop("mutual"),
-        mutual=stored.where(F.col("mutual")).drop("mutual"),
-        hubs=hubs,
+        oneway=stored.where(~F.col("mutual")).select(*columns),
+        mutual=stored.where(F.col("mutual")).select(*columns),
+        hubs=work.read("hubs"),
         buckets=buckets,
     )
 
@@ -185,7 +198,7 @@ def mutual_messages(sent: DataFrame, topology: Topology, previous: DataFrame | N
 
 def store_messages(messages: DataFrame, topology: Topology, work: Workspace, name: str) -> DataFrame:
     """Send messages to the place of their receivers."""
-    return work.write_bucketed(messages, name, topology.buckets, ["src", "back"], ordered=False)
+    return work.write_bucketed(messages, name, topology.buckets, _BACK, ordered=False)
 
 
 def next_state(state: DataFrame, oneway: DataFrame, mutual: DataFrame) -> DataFrame:
@@ -221,45 +234,102 @@ def next_state(state: DataFrame, oneway: DataFrame, mutual: DataFrame) -> DataFr
     )
 
 
+def _moved(epsilon: float) -> Column:
+    return F.abs(F.col("score") - F.col("old_score")) >= epsilon
+
+
 def changed_counts(state: DataFrame, epsilon: float) -> DataFrame:
     """Number of vertices per experiment whose score moved by ``epsilon`` or more."""
-    moved = F.abs(F.col("score") - F.col("old_score")) >= epsilon
-    return state.groupBy("experiment").agg(F.count_if(moved).alias("changed"))
+    return state.groupBy("experiment").agg(F.count_if(_moved(epsilon)).alias("changed"))
+
+
+def write_counted(
+    state: DataFrame, codes: list[int], epsilon: float, work: Workspace, name: str
+) -> tuple[DataFrame, dict[int, int]]:
+    """Write a state, and the number of vertices that moved for each of its experiments.
+
+    The numbers are observed on the rows as they are written, so that they need no job of their own.
+    """
+    if len(codes) > MAX_OBSERVED:
+        stored = work.write(state, name)
+        counts = {row.experiment: row.changed for row in changed_counts(stored, epsilon).collect()}  # one row per blocklist
+        return stored, {code: counts.get(code, 0) for code in codes}
+    seen = Observation()
+    counted = [F.count_if((F.col("experiment") == code) & _moved(epsilon)).alias(f"n{code}") for code in codes]
+    stored = work.write(state.observe(seen, *counted) if counted else state, name)
+    return stored, {code: seen.get[f"n{code}"] for code in codes}
+
+
+@dataclass
+class _Rounds:
+    """Where a propagation stands before round ``step``.
+
+    ``changed`` has the experiments of the state in table ``state`` that still move or have just stopped;
+    ``finished`` names tables with those that stopped before.
+    """
+
+    step: int
+    state: str
+    changed: dict[int, int]
+    finished: list[tuple[str, list[int]]]
+    history: list[tuple[int, int, int]]
+
+    @classmethod
+    def of(cls, entry: dict) -> _Rounds:
+        changed = {int(code): n for code, n in entry["changed"].items()}
+        finished = [(name, codes) for name, codes in entry["finished"]]
+        return cls(entry["step"], entry["state"], changed, finished, [tuple(h) for h in entry["history"]])
+
+    def log(self, log: RoundLog, buckets: int) -> None:
+        facts = {"state": self.state, "changed": self.changed, "finished": self.finished, "history": self.history}
+        log.add(self.step, buckets=buckets, **facts)
 
 
 def _run_rounds(
-    topology: Topology, start: DataFrame, epsilon: float, max_iter: int, work: Workspace
+    topology: Topology,
+    at: _Rounds,
+    epsilon: float,
+    max_iter: int,
+    work: Workspace,
+    log: RoundLog,
+    on_round: Callable[[int], None] | None,
 ) -> tuple[list[DataFrame], list[tuple[int, int, int]]]:
     """Final states, each experiment in exactly one of them, and (experiment, round, changed) of all rounds."""
-    state, messages = work.write(start, "state-0"), None
-    finished: list[DataFrame] = []
-    history: list[tuple[int, int, int]] = []
-    for step in range(max_iter + 1):
-        counts = changed_counts(state, epsilon).collect()  # one row per blocklist
-        history += [(row.experiment, step, row.changed) for row in counts]
-        if step == max_iter:
-            break
-        done = [row.experiment for row in counts if row.changed == 0]
-        if len(done) == len(counts):
+    messages = None
+    if at.step > 0:
+        messages = work.read_bucketed(f"messages-{at.step - 1}", topology.buckets, _BACK, ordered=False)
+    while at.step < max_iter:
+        step, state = at.step, work.read(at.state)
+        done = [code for code, n in at.changed.items() if n == 0]
+        moving = [code for code, n in at.changed.items() if n]
+        if not moving:
             break
-        active = state
+        active, finished = state, at.finished
         if done:
-            finished.append(state.where(F.col("experiment").isin(done)))
+            finished = [*finished, (at.state, done)]
             active = state.where(~F.col("experiment").isin(done))
 
         sent = senders(active, topology.hubs)
         mutual = store_messages(mutual_messages(sent, topology, messages), topology, work, f"messages-{step}")
         oneway = sent.join(topology.oneway, _KEY)
         oneway = oneway.select("experiment", "src", "src_degree", F.col("score").alias("message"))
-        following = work.write(next_state(active, oneway, mutual), f"state-{step + 1}")
+        following = f"state-{step + 1}"
+        work.delete(following)  # left by a run that was stopped
+        _, changed = write_counted(next_state(active, oneway, mutual), moving, epsilon, work, following)
+        history = [*at.history, *((code, step + 1, n) for code, n in changed.items())]
+        before, at = at, _Rounds(step + 1, following, changed, finished, history)
+        at.log(log, topology.buckets)
 
         # Both tables are complete now, so what they were made from is no longer needed.
         if step > 0:
             work.delete(f"messages-{step - 1}")
         if not done:
-            work.delete(f"state-{step}")
-        state, messages = following, mutual
-    return [*finished, state], history
+            work.delete(before.state)
+        messages = mutual
+        if on_round:
+            on_round(step + 1)
+    finished = [work.read(name).where(F.col("experiment").isin(codes)) for name, codes in at.finished]
+    return [*finished, work.read(at.state)], at.history
 
 
 def propagate(
@@ -274,6 +344,7 @@ def propagate(
     edges_per_split: int = EDGES_PER_SPLIT,
     buckets: int | None = None,
     report: list[tuple[str, int, int]] | None = None,
+    on_round: Callable[[int], None] | None = None,
 ) -> DataFrame:
     """Scores of all reached vertices as ``experiment, id, score, fixed``.
 
@@ -286,28 +357,67 @@ def propagate(
 
     ``report`` is filled with (experiment, round, number of vertices that moved by ``epsilon`` or more). An
     experiment whose last number is not 0 had not converged by ``max_iter``.
+
+    ``on_round`` is called with the number of every round that is complete. What it raises stops the run. In a
+    ``work`` with ``resume``, a stopped run keeps its tables, and the next call with the same inputs goes on
+    behind its last complete round; a call with other inputs deletes them and starts anew.
     """
     work = work or Workspace.fresh(spark)
-    if bidirectional:
-        edges = work.write(mirror(edges), "mirrored")
-        vertices = neighbour_degrees(vertices, edges)
-    vertices = vertices.select("id", "outDegree").distinct()
-    seeds, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
+    run = None
+    if work.resume:
+        inputs = ((vertices, ["id", "outDegree"]), (edges, ["src", "dst"]), (seeds, ["experiment", "id"]))
+        contents = [content_fingerprint(df.select(*columns), *columns) for df, columns in inputs]
+        run = fingerprint(*contents, epsilon, max_iter, bidirectional, edges_per_split, buckets)
+    log = RoundLog(work, run)
+    entry = log.last()
+    if entry and entry.get("complete"):
+        if report is not None:
+            report += [tuple(h) for h in entry["named"]]
+        return work.read("scores")
+    if entry is None:
+        _delete_own(work, "scores")
+        log.clear()
+    complete = False
     try:
-        topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
+        if entry is None:
+            if bidirectional:
+                edges = work.write(mirror(edges), "mirrored")
+                vertices = neighbour_degrees(vertices, edges)
+            vertices = vertices.select("id", "outDegree").distinct()
+            coded, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
+            topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
+            every = [row.code for row in codes.collect()]
+            _, changed = write_counted(initial_state(coded, vertices), every, epsilon, work, "state-0")
+            at = _Rounds(0, "state-0", changed, [], [(code, 0, n) for code, n in changed.items()])
+            at.log(log, topology.buckets)
+        else:
+            _, codes = number_experiments(work.read("seeds"))
+            topology, at = _stored_topology(work, entry["buckets"]), _Rounds.of(entry)
         with buckets_trusted(spark):
-            finished, history = _run_rounds(topology, initial_state(seeds, vertices), epsilon, max_iter, work)
+            finished, history = _run_rounds(topology, at, epsilon, max_iter, work, log, on_round)
+        names = {row.code: row.experiment for row in codes.collect()}
+        named = [(names[code], step, changed) for code, step, changed in history]
         if report is not None:
-            names = {row.code: row.experiment for row in codes.collect()}
-            report += [(names[code], step, changed) for code, step, changed in history]
-        named = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
+            report += named
+        scored = union_all(finished).withColumnRenamed("experiment", "code").join(F.broadcast(codes), "code")
         fixed = F.coalesce("fixed", F.lit(False)).alias("fixed")
-        return work.write(named.select("experiment", "id", "score", fixed), "scores")
+        work.delete("scores")
+        scores = work.write(scored.select("experiment", "id", "score", fixed), "scores")
+        log.add(max_iter + 1, complete=True, named=named)
+        complete = True
+        return scores
     finally:
-        # A failed round leaves no catalogue entries and no files either.
+        # A failed run leaves no catalogue entries, and no files either unless it may be resumed.
         work.forget_tables()
-        for name in list_names(spark, work.root):
-            if name in _OWN_TABLES or name.startswith(("state-", "messages-")):
+        if complete or run is None:
+            _delete_own(work)
+
+
+def _delete_own(work: Workspace, *more: str) -> None:
+    """Delete the tables of a propagation, but for its result."""
+    if path_exists(work.spark, work.root):
+        for name in list_names(work.spark, work.root):
+            if name in (*_OWN_TABLES, *more) or name.startswith(("state-", "messages-")):
                 work.delete(name)
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -88,6 +89,31 @@ class Workspace:
         self._tables.append(table)
         return self.spark.table(table)
 
+    def read(self, name: str) -> DataFrame:
+        """A table that ``write`` completed before."""
+        return self.spark.read.parquet(self.path(name))
+
+    def read_bucketed(
+        self, name: str, buckets: int, keys: list[str], ordered: bool = True, partition_by: tuple[str, str] | None = None
+    ) -> DataFrame:
+        """A table that ``write_bucketed`` completed before, maybe in another session, with its buckets known again.
+
+        ``partition_by`` has the type of the partition column as well, which files don't tell.
+        """
+        table, columns = f"scangraph_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in keys)
+        types = dict(self.read(name).dtypes) | dict([partition_by] if partition_by else [])
+        described = ", ".join(f"`{column}` {kind}" for column, kind in types.items())
+        place = self.path(name).replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE {table} ({described}) USING parquet "
+            + (f"PARTITIONED BY (`{partition_by[0]}`) " if partition_by else "")
+            + f"CLUSTERED BY ({columns}) {f'SORTED BY ({columns}) ' if ordered else ''}INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+        if partition_by:
+            self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        self._tables.append(table)
+        return self.spark.table(table)
+
     def forget_tables(self) -> None:
         """Drop the catalogue entries of bucketed tables; their files go with ``delete``."""
         for table in self._tables:
@@ -192,6 +218,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
+def content_fingerprint(df: DataFrame, *columns: str) -> str:
+    """Digest of the rows of ``df``, whatever their order: their number, and sum and xor of their hashes.
+
+    One scan that combines on the map side.
+    """
+    own = F.xxhash64(*(columns or [F.col(f"`{c}`") for c in df.columns]))
+    row = df.agg(F.count("*"), F.sum(own.cast("decimal(20,0)")), F.bit_xor(own)).first()
+    return fingerprint(*(columns or df.dtypes), *row)
+
+
 def fingerprint(*parts: object) -> str:
     """Short digest of inputs and parameters, used in names of results that may be reused."""
     return hashlib.sha256("\x1f".join(map(str, parts)).encode("utf-8")).hexdigest()[:16]

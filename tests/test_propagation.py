@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scangraph.operators.propagation import (
     bucket_count,
+    changed_counts,
     distinct_edges,
     find_hubs,
     initial_state,
@@ -17,7 +18,7 @@ from scangraph.operators.propagation import (
     senders,
     store_messages,
 )
-from scangraph.storage import buckets_trusted
+from scangraph.storage import Workspace, buckets_trusted, list_names, write_text
 
 EDGES = [(0, 3), (0, 4), (1, 3), (2, 4), (3, 0), (3, 1), (4, 0), (4, 2), (5, 1)]
 DEGREES = {0: 2, 1: 1, 2: 1, 3: 2, 4: 2, 5: 1}
@@ -198,3 +199,65 @@ def test_sum_of_messages_combines_before_the_shuffle(spark):
     messages = spark.createDataFrame([("a", 2, 1, 1, 0.5)], "experiment string, src long, dst long, src_degree long, message double")
     plan = next_state(state, messages, messages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_sum" in plan
+
+
+class Stop(Exception):
+    pass
+
+
+def stopping_at(last, rounds):
+    def on_round(step):
+        rounds.append(step)
+        if step == last:
+            raise Stop
+
+    return on_round
+
+
+def test_a_stopped_run_goes_on(spark, work):
+    edges, degrees, seeds = random_graph(9)
+    rows = [(name, s) for name, ids in seeds.items() for s in ids]
+    inputs, settings = frames(spark, edges, degrees, rows), {"epsilon": 0.02, "edges_per_split": 7, "buckets": 3}
+    whole, report, rounds = scores(propagate(spark, *inputs, **settings)), [], []
+    resumed = lambda: Workspace(spark, work.root, resume=True)
+    for last in (1, 3):
+        with pytest.raises(Stop):
+            propagate(spark, *inputs, **settings, work=resumed(), on_round=stopping_at(last, rounds))
+    # A cut-off entry and half a table of the next round are no harm.
+    write_text(spark, work.path("_rounds/round-000004.json"), '{"run": "')
+    spark.range(3).write.parquet(work.path("state-4"))
+    got = propagate(spark, *inputs, **settings, work=resumed(), on_round=rounds.append, report=report)
+    for name in seeds:
+        assert_close(scores(got)[name], whole[name])
+    last = max(step for _, step, _ in report)
+    assert rounds == list(range(1, last + 1))  # no round was run twice
+    again = []
+    assert scores(propagate(spark, *inputs, **settings, work=resumed(), on_round=rounds.append, report=again)) == scores(got)
+    assert again == report and len(rounds) == last
+    assert set(list_names(spark, work.root)) == {"scores"}
+    # Other edges, seeds or parameters make another run.
+    more = propagate(spark, *frames(spark, [*edges, (11, 3)], degrees, rows), **settings, work=resumed(), on_round=rounds.append)
+    assert more.count() and rounds[last] == 1
+    before = len(rounds)
+    propagate(spark, *inputs, **{**settings, "epsilon": 0.5}, work=resumed(), on_round=rounds.append)
+    assert len(rounds) > before and rounds[before] == 1
+
+
+def test_a_failed_run_leaves_nothing_unless_it_may_be_resumed(spark, work):
+    with pytest.raises(Stop):
+        propagate(spark, *frames(spark, EDGES, DEGREES, [("a", 4)]), work=work, on_round=stopping_at(1, []))
+    assert list_names(spark, work.root) == [] and not [t.name for t in spark.catalog.listTables() if t.name.startswith("scangraph_")]
+
+
+@pytest.mark.parametrize("observed", [200, 1])
+def test_moved_vertices_are_counted_without_a_job_of_their_own(spark, work, observed, monkeypatch):
+    monkeypatch.setattr("scangraph.operators.propagation.MAX_OBSERVED", observed)
+    counted = []
+    monkeypatch.setattr("scangraph.operators.propagation.changed_counts", lambda *a: counted.append(1) or changed_counts(*a))
+    report = []
+    propagate(spark, *frames(spark, EDGES, DEGREES, [("a", 4), ("b", 1)]), epsilon=0.01, report=report)
+    rounds = len({step for _, step, _ in report})
+    assert len(counted) == (0 if observed == 200 else rounds)
+    assert [(e, s, c) for e, s, c in report if s < 3] == [
+        ("a", 0, 1), ("b", 0, 1), ("a", 1, 2), ("b", 1, 2), ("a", 2, 1), ("b", 2, 1),
+    ]

@@ -6,6 +6,7 @@ Arrays are joined to text and scores rounded, so that results can be compared by
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -408,6 +409,27 @@ def scores_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(named.select("experiment", "name", "score", "fixed"))
 
 
+class _StoppedError(Exception):
+    pass
+
+
+@query
+def scores_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The converging run, stopped behind its second round and begun again in the same folder."""
+    inputs = vertex_union(graph(spark, sf_dir).vertices), _relations(spark, sf_dir), _seeds(spark, sf_dir)
+    work = Workspace(spark, Workspace.fresh(spark).root, resume=True)
+
+    def stop(step: int) -> None:
+        if step == 2:
+            raise _StoppedError
+
+    with suppress(_StoppedError):
+        propagate(spark, *inputs, **_RUNS["converged"], work=work, on_round=stop)
+    scores = propagate(spark, *inputs, **_RUNS["converged"], work=work)
+    named = scores.join(_natural_keys(graph(spark, sf_dir)), "id")
+    return _rounded(named.select("experiment", "name", "score", "fixed"))
+
+
 @query
 def rounds_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vertices of each blocklist moved in each round until it converged."""

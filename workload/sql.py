@@ -449,3 +449,5 @@ ALL: dict[str, str] = {
     + """select v.id, substring(v.guid, 4) as ip, v.inDegree, v.outDegree, s.experiment,
         round(s.score, 8) as score, s.fixed from indexed v join state3 s using (id) where starts_with(v.guid, 'ip_')""",
 }
+
+ALL["scores_resumed"] = ALL["scores_converged"]
