@@ -63,6 +63,9 @@ def main(arguments: list[str] | None = None) -> None:
         pairs.select(F.col("ip"), "domain", "type").write.partitionBy("type").csv(options.output)
     elif options.job == "build":
         parsed = dict(options.parsed_certs)
+        days = [day for day, _ in options.tls_scan]
+        if len(parsed) < len(options.parsed_certs) or any(days.count(day) > 1 for day in parsed):
+            raise SystemExit("--parsed-certs is told by its day: give one for a day with one scan")
         tls = [TlsScan(day, folder, parsed.get(day)) for day, folder in options.tls_scan]
         dns = [DnsScan(*scan) for scan in options.dns_scan]
         scans = ingest_scans(spark, tls, dns, options.cache_dir, options.overwrite)
@@ -72,7 +75,7 @@ def main(arguments: list[str] | None = None) -> None:
         run = fingerprint(options.tls_scan, parsed, options.dns_scan, states, options.url_lists)
         work = Workspace(spark, f"{options.cache_dir}/graph-{run}", resume=not options.overwrite)
         graph = build_graph(spark, scans, rules, work, options.url_lists)
-        write_graph(graph, options.out, options.output_type, options.overwrite)
+        write_graph(graph, options.out, options.output_type, options.overwrite, made_from=run)
     else:
         experiment = Experiment.from_dir(spark, options.input_dir, options.bidirectional)
         run = fingerprint(options.input_dir, options.bidirectional, options.epsilon, options.max_iter)

@@ -23,9 +23,8 @@ def run_experiment(
 ) -> DataFrame | None:
     """Propagate the blocklists of an experiment and, with ``out``, write scores per vertex kind.
 
-    Lists whose scores are in ``out`` already, from the same list and parameters, are left out unless
-    ``overwrite``; None when that leaves nothing to do. The graph is taken to be the same: after a new
-    build, overwrite.
+    Lists whose scores are in ``out`` already, from the same list, graph and parameters, are left out unless
+    ``overwrite``; None when that leaves nothing to do.
     """
     graph = experiment.graph
     run, names = fingerprint(epsilon, max_iter, experiment.bidirectional), {b.name for b in experiment.blocklists}

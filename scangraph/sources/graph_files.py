@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scangraph.storage import is_complete, list_names, path_exists, write_text
+from scangraph.sources.snapshots import current_folder, fresh_folder, read_pointer, replace_pointer
+from scangraph.storage import content_fingerprint, file_states, fingerprint, list_names, path_exists, write_text
 
 # The header dialect.
 _HEADERS = {"id": ":ID", "src": ":START_ID", "dst": ":END_ID", "scan_date": "scan_date:date", "scan_dates": "scan_date:date[]"}
@@ -92,13 +93,14 @@ def _split(raw: Column) -> Column:
     return F.when(present, F.split(raw, ";")).otherwise(F.array().cast("array<string>"))
 
 
-def read_graph_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Read one table in the header dialect: a file with header line, or a part directory.
+def read_graph_csv(spark: SparkSession, path: str, multi_line: bool = False, header: str | None = None) -> DataFrame:
+    """Read one table in the header dialect: a file with header line, or a part directory with a header file
+    (``header``, or the one beside it).
 
     A file whose values may hold line breaks (``multi_line``) is one task; others are split.
     """
-    if path_exists(spark, header_path(path)):
-        fields = spark.read.text(header_path(path)).first()[0].split(",")
+    if header or path_exists(spark, header_path(path)):
+        fields = spark.read.text(header or header_path(path)).first()[0].split(",")
         schema = ", ".join(f"`{f}` string" for f in fields)
         df = spark.read.schema(schema).csv(path, escape='"', multiLine=multi_line)
     else:
@@ -114,12 +116,14 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
 
 
 def read_graph(spark: SparkSession, directory: str, bidirectional: bool = False) -> Graph:
-    """Read every ``<name>.vertex`` and ``<name>.relation`` table of a directory.
+    """Read every ``<name>.vertex`` and ``<name>.relation`` table of a graph: the current one of ``write_graph``, or
+    those that lie in ``directory`` itself.
 
     With ``bidirectional``, the two relations that only repeat another one backwards are left out.
     """
     tables: dict[str, dict[str, DataFrame]] = {"vertex": {}, "relation": {}, "detail": {}}
-    for entry in list_names(spark, directory):
+    folder = current_folder(spark, directory)
+    for entry in list_names(spark, folder):
         name, _, rest = entry.partition(".")
         kind = rest.partition(".")[0]
         if kind not in tables or entry.endswith("-header.csv"):
@@ -127,13 +131,24 @@ def read_graph(spark: SparkSession, directory: str, bidirectional: bool = False)
         if bidirectional and name in ("deployed_on", "parent_domain"):
             continue
         # Only the names in certificates may hold line breaks.
-        tables[kind][name] = read_table(spark, f"{directory}/{entry}", (name, kind) == ("cert", "vertex"))
+        tables[kind][name] = read_table(spark, f"{folder}/{entry}", (name, kind) == ("cert", "vertex"))
     return Graph(tables["vertex"], tables["relation"], tables["detail"])
 
 
-def write_graph(graph: Graph, directory: str, output_type: str = "parquet", overwrite: bool = False) -> None:
-    """Write all tables; complete ones are kept unless ``overwrite``.
+def graph_state(spark: SparkSession, directory: str) -> str:
+    """Digest of the graph in ``directory``: of what it was made from, or of the state of its files."""
+    facts = read_pointer(spark, directory)
+    if facts is not None:
+        return facts["state"]
+    return fingerprint(*[(name, file_states(spark, f"{directory}/{name}")) for name in list_names(spark, directory)])
 
+
+def write_graph(
+    graph: Graph, directory: str, output_type: str = "parquet", overwrite: bool = False, made_from: str | None = None
+) -> bool:
+    """Write all tables as the current graph of ``directory``; False if it is there already, unless ``overwrite``.
+
+    ``made_from`` is a digest of the graph's inputs. Without it, the rows are compared: one scan of each table.
     Parquet output is range-partitioned and sorted by id, so lookups by id prune files.
     """
     if output_type not in ("csv", "parquet"):
@@ -141,14 +156,21 @@ def write_graph(graph: Graph, directory: str, output_type: str = "parquet", over
     keyed = [(f"{n}.vertex", df, ["id"]) for n, df in graph.vertices.items()]
     keyed += [(f"{n}.relation", df, ["src", "dst"]) for n, df in graph.relations.items()]
     keyed += [(f"{n}.detail", df, ["src", "dst"]) for n, df in graph.details.items() if not df.isEmpty()]
+    spark = keyed[0][1].sparkSession
+    contents = [made_from] if made_from else [(name, content_fingerprint(df)) for name, df, _ in keyed]
+    state = fingerprint(output_type, *contents)
+    facts = read_pointer(spark, directory)
+    if facts is not None and facts["state"] == state and not overwrite:
+        return False
+    folder = fresh_folder()
     for name, df, keys in keyed:
-        path = f"{directory}/{name}"
-        if is_complete(df.sparkSession, path) and not overwrite:
-            continue
+        path = f"{directory}/{folder}/{name}"
         if output_type == "csv":
             write_graph_csv(df, path)
         else:
-            df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+            df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+    replace_pointer(spark, directory, {"folder": folder, "state": state, "output_type": output_type}, {folder})
+    return True
 
 
 def write_typed_edges(edges: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,6 +219,28 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Give a small file another content at once: readers see the old one or the new one, whole.
+
+    File systems rename over a file in one step; object stores, which can't, show a file once it is whole.
+    """
+    jvm = spark.sparkContext._jvm
+    beside = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    source, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    except Py4JJavaError as error:  # a file system without rename over a file
+        if "UnsupportedFileSystem" not in str(error.java_exception):
+            raise
+        write_text(spark, path, text)
+        delete_path(spark, beside)
+    else:
+        context.rename(source, target, options)
+
+
 def content_fingerprint(df: DataFrame, *columns: str) -> str:
     """Digest of the rows of ``df``, whatever their order: their number, and sum and xor of their hashes.
 

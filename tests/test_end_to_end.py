@@ -9,6 +9,7 @@ from scangraph.__main__ import main
 from scangraph.sources.experiment import read_scores
 from scangraph.sources.graph_files import read_graph
 from scangraph.sources.scans import CERTS_PARSED_SCHEMA, HOSTS_SCHEMA, DnsScan, TlsScan, ingest_scans, scan_tables
+from scangraph.sources.snapshots import read_pointer
 
 HOSTS_HEADER = ",".join(c.split()[0] for c in HOSTS_SCHEMA.split(", "))
 
@@ -97,11 +98,13 @@ def test_scans_to_scores(spark, inputs, kind):
     (lists / "bad.dn").write_text("unseen.example.com\n")
     (lists / "cert.sha1.csv").write_text("# c\nx,s2,y\n")
     arguments = ["propagate", "--input-dir", f"{inputs}/exp-{kind}", "--cache-dir", f"{inputs}/cache-{kind}", "--out", f"{inputs}/out-{kind}"]
-    main([*arguments, "--output-type", kind])
+    arguments += ["--output-type", kind]
+    main(arguments)
+    folder = lambda name: read_pointer(spark, f"{inputs}/out-{kind}")["lists"][name]["folder"]
     if kind == "csv":
-        assert (inputs / "out-csv" / "ip-header.csv").read_text().startswith(":ID,ip,")
-        return
+        assert (inputs / "out-csv" / folder("bad_ip") / "ip-header.csv").read_text().startswith(":ID,ip,")
     scores = read_scores(spark, f"{inputs}/out-{kind}")
+    assert dict(scores["bad_ip"]["ip"].dtypes)["score"] == "double"
     assert set(scores) == {"bad_ip", "cert_sha1_csv"}
     assert set(scores["cert_sha1_csv"]) == {"ip", "domain", "cert"}
     seeds = scores["bad_ip"]["ip"].where("fixed").collect()
@@ -109,20 +112,53 @@ def test_scans_to_scores(spark, inputs, kind):
     # A list that is added later is scored, and so is one whose content or parameter changed.
     (lists / "late.ip").write_text("10.0.0.4\n")
     (lists / "bad.ip").write_text("10.0.0.2\n")
-    before = sorted(p.name for p in (inputs / "out-parquet" / "ip" / "experiment=cert_sha1_csv").iterdir())
+    before = folder("cert_sha1_csv")
     main(arguments)
     scores = read_scores(spark, f"{inputs}/out-{kind}")
     assert set(scores) == {"bad_ip", "cert_sha1_csv", "late_ip"}
     assert [r.ip for r in scores["bad_ip"]["ip"].where("fixed").collect()] == ["10.0.0.2"]
-    assert sorted(p.name for p in (inputs / "out-parquet" / "ip" / "experiment=cert_sha1_csv").iterdir()) == before
+    assert folder("cert_sha1_csv") == before != folder("bad_ip")
     main([*arguments, "--epsilon", "0.2"])
-    assert sorted(p.name for p in (inputs / "out-parquet" / "ip" / "experiment=cert_sha1_csv").iterdir()) != before
+    assert folder("cert_sha1_csv") != before
+    if kind == "csv":
+        return
     (lists / "bad.ip").write_text("10.0.0.1\n")
-    main([*arguments[:-1], f"{inputs}/out-both", "--bidirectional", "true"])
+    main([*arguments, "--out", f"{inputs}/out-both", "--bidirectional", "true"])
     both = read_scores(spark, f"{inputs}/out-both")["bad_ip"]["ip"].collect()
     assert {r.ip for r in both} >= {"10.0.0.1", "2001:db8::1", "10.0.0.9"} and all(0 <= r.score <= 1 for r in both)
 
 
+def test_a_new_scan_replaces_graph_and_scores(spark, inputs):
+    build(inputs, "parquet")
+    place = f"{inputs}/exp-parquet/tls_graph"
+    lists = inputs / "exp-parquet" / "blocklists"
+    lists.mkdir()
+    (lists / "bad.ip").write_text("10.0.0.4\n10.0.0.7\n")
+    arguments = ["propagate", "--input-dir", f"{inputs}/exp-parquet", "--cache-dir", f"{inputs}/cache", "--out", f"{inputs}/out"]
+    main(arguments)
+    seeds = lambda: {r.ip for r in read_scores(spark, f"{inputs}/out")["bad_ip"]["ip"].where("fixed").collect()}
+    assert seeds() == {"10.0.0.4"}
+    opened, before = read_graph(spark, place), read_pointer(spark, place)
+    build(inputs, "parquet")  # the same inputs
+    assert read_pointer(spark, place) == before
+    (inputs / "a.ipdomain").write_text("10.0.0.1,www.example.com.\n10.0.0.4,cdn.example.net\n10.0.0.7,new.example.net\n")
+    build(inputs, "parquet")
+    ips = {r.ip: r.id for r in read_graph(spark, place)["ip"].collect()}
+    assert "10.0.0.7" in ips and read_pointer(spark, place) != before
+    assert "10.0.0.7" not in {r.ip for r in opened["ip"].collect()}  # a reader that was there before sees what it opened
+    ends = read_graph(spark, place)["resolves"].collect()
+    assert {r.dst for r in ends} <= set(ips.values())
+    main(arguments)  # the list is the same, the graph isn't
+    assert seeds() == {"10.0.0.4", "10.0.0.7"}
+
+
+def test_two_scans_of_a_day_and_one_table_of_certificates(inputs):
+    scans = ["--tls-scan", "2024-01-01", f"{inputs}/2024-01-01", "--tls-scan", "2024-01-01", f"{inputs}/2024-01-08"]
+    with pytest.raises(SystemExit, match="day"):
+        main(["build", "--cache-dir", "c", "--out", "o", "--suffix-list", "s", "--dns-scan", "A", "2024-01-01", "f", *scans]
+             + ["--parsed-certs", "2024-01-01", f"{inputs}/decoded"])
+
+
 def test_ingested_and_direct_tables_agree(spark, inputs):
     tls = [TlsScan(d, f"{inputs}/{d}", f"{inputs}/decoded") for d in ("2024-01-01", "2024-01-08")]
     dns = [DnsScan("A", "2024-01-01", f"{inputs}/a.ipdomain"), DnsScan("A", "2024-01-02", f"{inputs}/a.ipdomain")]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scangraph.sources.blocklists import Blocklist, list_members, listed_vertices
-from scangraph.sources.graph_files import Graph, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
+from scangraph.sources.graph_files import Graph, graph_state, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import (
     CERTS_PARSED_SCHEMA,
@@ -21,7 +21,8 @@ from scangraph.sources.scans import (
     load_http,
     load_parsed_certs,
 )
-from scangraph.storage import Workspace, checkpoint_dir, fingerprint, is_complete, list_names
+from scangraph.sources.snapshots import read_pointer
+from scangraph.storage import Workspace, checkpoint_dir, content_fingerprint, fingerprint, is_complete, list_names
 
 
 def test_csv_quotes_lines_and_malformed_rows(spark, tmp_path):
@@ -191,14 +192,53 @@ def test_graph_round_trip(spark, tmp_path, kind):
         write_graph(graph, f"{tmp_path}/g", "xml")
 
 
-def test_graph_csv_is_written_once(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_a_graph_is_replaced_when_its_rows_change(spark, tmp_path, kind):
+    graph, place = sample_graph(spark), f"{tmp_path}/g"
+    assert write_graph(graph, place, kind)
+    first = read_pointer(spark, place)
+    assert not write_graph(graph, place, kind) and read_pointer(spark, place) == first
+    edges = spark.createDataFrame([(1, 0), (0, 1)], "src long, dst long")
+    other = Graph(graph.vertices, {**graph.relations, "deployed_on": edges})
+    opened = read_graph(spark, place)
+    assert write_graph(other, place, kind)
+    assert sorted(read_graph(spark, place)["deployed_on"].collect()) == [(0, 1), (1, 0)]
+    assert [tuple(r) for r in opened["deployed_on"].collect()] == [(1, 0)]  # a reader of the one before can finish
+    assert write_graph(other, place, kind, overwrite=True) and write_graph(graph, place, kind, made_from="these inputs")
+    assert not write_graph(other, place, kind, made_from="these inputs")  # told by the caller, rows aren't compared
+    folders = [p.name for p in (tmp_path / "g").iterdir() if p.is_dir()]
+    assert len(folders) == 2 and first["folder"] not in folders
+
+
+def test_a_failed_write_leaves_the_graph(spark, tmp_path):
+    graph, place = sample_graph(spark), f"{tmp_path}/g"
+    write_graph(graph, place)
+    broken = spark.createDataFrame([(1, 0)], "src long, dst long").withColumn("x", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        write_graph(Graph(graph.vertices, {**graph.relations, "deployed_on": broken}), place, made_from="x")
+    again = read_graph(spark, place)
+    assert [tuple(r) for r in again["deployed_on"].collect()] == [(1, 0)] and set(again.vertices) == {"ip", "cert"}
+    assert write_graph(graph, place, made_from="y")
+    assert len([p for p in (tmp_path / "g").iterdir() if p.is_dir()]) == 2  # the broken one is gone
+
+
+def test_tables_without_a_pointer_are_read_where_they_lie(spark, tmp_path):
     graph = sample_graph(spark)
-    write_graph(graph, f"{tmp_path}/g")
-    marker = (tmp_path / "g" / "ip.vertex" / "_SUCCESS").stat().st_mtime_ns
-    write_graph(graph, f"{tmp_path}/g")
-    assert (tmp_path / "g" / "ip.vertex" / "_SUCCESS").stat().st_mtime_ns == marker
-    write_graph(graph, f"{tmp_path}/g", overwrite=True)
-    assert (tmp_path / "g" / "ip.vertex" / "_SUCCESS").stat().st_mtime_ns > marker
+    graph["ip"].write.parquet(f"{tmp_path}/ip.vertex")
+    graph["deployed_on"].write.parquet(f"{tmp_path}/deployed_on.relation")
+    assert set(read_graph(spark, str(tmp_path)).relations) == {"deployed_on"}
+    before = graph_state(spark, str(tmp_path))
+    assert before == graph_state(spark, str(tmp_path))
+    graph["ip"].write.mode("append").parquet(f"{tmp_path}/ip.vertex")
+    assert before != graph_state(spark, str(tmp_path))
+
+
+def test_content_decides(spark):
+    df = spark.createDataFrame([(1, "a", [1]), (2, None, None), (2, None, None)], "x long, y string, z array<int>")
+    same = content_fingerprint(df.repartition(3).orderBy("y"))
+    assert content_fingerprint(df) == same
+    for other in (df.distinct(), df.withColumnRenamed("y", "w"), df.withColumn("x", F.col("x") + 1), df.limit(0)):
+        assert content_fingerprint(other) != same
 
 
 def test_typed_edges_are_written_once_each(spark, tmp_path):

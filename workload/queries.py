@@ -32,10 +32,12 @@ from scangraph.operators.propagation import (
     seed_vertices,
 )
 from scangraph.plans.build import build_graph, domain_names, observed_edges, vertex_keys
+from scangraph.plans.rank import run_experiment
 from scangraph.sources import blocklists
 from scangraph.sources.blocklists import Blocklist
 from scangraph.sources.certificates import pem_to_der, with_fingerprints
-from scangraph.sources.graph_files import Graph
+from scangraph.sources.experiment import Experiment, read_scores
+from scangraph.sources.graph_files import Graph, read_graph, write_graph
 from scangraph.sources.resolver import flatten_answers
 from scangraph.storage import Workspace, list_names
 from workload import views
@@ -430,6 +432,40 @@ def scores_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(named.select("experiment", "name", "score", "fixed"))
 
 
+@query
+def stored_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges of a graph that replaced another one on disk."""
+    whole, folder = graph(spark, sf_dir), Workspace.fresh(spark).path("graph")
+    part = Graph(whole.vertices, {**whole.relations, "returns": whole["returns"].where("valid")})
+    for written in (part, whole):
+        write_graph(written, folder)
+    return relations.typed_union(read_graph(spark, folder).relations)
+
+
+@query
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of lists that changed between two runs, written as CSV and read back."""
+    work = Workspace.fresh(spark)
+    write_graph(graph(spark, sf_dir), work.path("tls_graph"), made_from="the workload's scans")
+    files = {"ip": "ip.ip", "domain_name": "domain_name.dn", "sha1": "sha1.sha1"}
+    lists = views.blocklists(spark, sf_dir)
+    # The second run finds one list as it was, one that has grown and one that is new.
+    first = {"sha1": lists["sha1"], "ip": lists["ip"].where(F.hash("ip") % 2 == 0)}
+    for written in (first, {"ip": lists["ip"], "domain_name": lists["domain_name"]}):
+        for column, listed in written.items():
+            listed.write.mode("overwrite").text(work.path(f"blocklists/{files[column]}"))
+        experiment = Experiment.from_dir(spark, work.root)
+        run_experiment(spark, experiment, work.path("out"), **_RUNS["converged"], output_type="csv")
+    keys = {"ip": ("ip", entities.ip_key), "domain": ("domain_name", entities.domain_key), "cert": ("sha256", entities.cert_key)}
+    rows = []
+    for name, kinds in read_scores(spark, work.path("out")).items():
+        column = name.rpartition("_")[0]
+        for kind, df in kinds.items():
+            value, key = keys[kind]
+            rows.append(df.select(F.lit(column).alias("experiment"), key(F.col(value)).alias("name"), "score", "fixed"))
+    return _rounded(union_all(rows))
+
+
 @query
 def rounds_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vertices of each blocklist moved in each round until it converged."""

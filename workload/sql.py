@@ -450,4 +450,6 @@ ALL: dict[str, str] = {
         round(s.score, 8) as score, s.fixed from indexed v join state3 s using (id) where starts_with(v.guid, 'ip_')""",
 }
 
-ALL["scores_resumed"] = ALL["scores_converged"]
+# What is stopped and resumed, or written and read back, must be what it is without that.
+ALL["scores_resumed"] = ALL["stored_scores"] = ALL["scores_converged"]
+ALL["stored_graph_edges"] = ALL["typed_edges"]
