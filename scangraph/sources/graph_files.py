@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scangraph.sources.csv_records import read_csv_records
 from scangraph.sources.snapshots import current_folder, fresh_folder, read_pointer, replace_pointer
 from scangraph.storage import content_fingerprint, file_states, fingerprint, list_names, path_exists, write_text
 
@@ -97,14 +98,18 @@ def read_graph_csv(spark: SparkSession, path: str, multi_line: bool = False, hea
     """Read one table in the header dialect: a file with header line, or a part directory with a header file
     (``header``, or the one beside it).
 
-    A file whose values may hold line breaks (``multi_line``) is one task; others are split.
+    Values may hold line breaks where ``multi_line`` is set; files are split either way.
     """
-    if header or path_exists(spark, header_path(path)):
-        fields = spark.read.text(header or header_path(path)).first()[0].split(",")
-        schema = ", ".join(f"`{f}` string" for f in fields)
-        df = spark.read.schema(schema).csv(path, escape='"', multiLine=multi_line)
+    apart = header or (header_path(path) if path_exists(spark, header_path(path)) else None)
+    if apart:
+        fields = spark.read.text(apart).first()[0].split(",")
+    else:
+        fields = spark.read.csv(path, header=True, escape='"').columns
+    if multi_line:
+        df = read_csv_records(spark, path, fields, header=apart is None, strict=False)
     else:
-        df = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
+        schema = ", ".join(f"`{f}` string" for f in fields)
+        df = spark.read.schema(schema).csv(path, escape='"', header=apart is None)
     return df.select(*[_typed(f) for f in df.columns])
 
 

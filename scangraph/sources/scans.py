@@ -8,11 +8,11 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from scangraph.functions.suffixes import union_all
 from scangraph.plans.build import Scans
 from scangraph.sources.certificates import decode_certificates
+from scangraph.sources.csv_records import read_csv_records
 from scangraph.storage import (
     delete_path,
     file_states,
@@ -66,23 +66,29 @@ def load_csv(
 
     With a schema, a row is malformed when a value of the kept ``columns`` does not have its type. The
     reader checks only what a query selects, so types are checked here, and the rows are the same for
-    every query. Without a schema the header names the columns and all are strings.
+    every query. Without a schema the header names the columns and all are strings. A file whose values may hold line
+    breaks (``multi_line``) is read by many tasks, too.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
     if path.endswith(".xz"):
         raise ValueError(f"{path}: Spark has no xz codec; recompress the file as zst or gz")
+    fields = dict(f.split() for f in schema.split(", ")) if schema else {}
+    if header:
+        named = spark.read.csv(path, header=True, quote='"', escape='"').columns
+        if schema and [n.lower() for n in named] != [f.lower() for f in fields]:
+            raise ValueError(f"{path}: its header names {', '.join(named)}")
+    elif schema is None:
+        raise ValueError("a file without header needs a schema")
     # A subset may be read without the others; else every row must have all columns.
-    reader = spark.read.options(
-        header=header, multiLine=multi_line, quote='"', escape='"', mode="DROPMALFORMED", columnPruning=bool(columns)
-    )
+    if multi_line:
+        raw = read_csv_records(spark, path, list(fields) or named, header, strict=not columns)
+    else:
+        text = ", ".join(f"`{c}` STRING" for c in list(fields) or named)
+        options = {"quote": '"', "escape": '"', "mode": "DROPMALFORMED", "columnPruning": bool(columns)}
+        raw = spark.read.options(**options).schema(text).csv(path, header=header)
     if schema is None:
-        return reader.csv(path)
-    fields = dict(f.split() for f in schema.split(", "))
-    text = StructType()
-    for name in fields:
-        text.add(name, "string")
-    raw = reader.schema(text).option("enforceSchema", not header).csv(path)
+        return raw
     typed = {name: fields[name] for name in columns or fields if fields[name] != "STRING"}
     for name, kind in typed.items():
         raw = raw.where(F.col(name).isNull() | F.col(name).try_cast(kind).isNotNull())
@@ -224,8 +230,8 @@ def ingest_scans(
 ) -> Scans:
     """Turn scan files into Parquet below ``cache_dir``, partitioned by date and source, once.
 
-    Compressed and multi-line CSV cannot be split, so this is the only place that reads it; everything
-    later works on splittable Parquet. The date is part of every path, for DNS files too.
+    Compressed CSV cannot be split, so this is the only place that reads it; everything later works on
+    splittable Parquet. The date is part of every path, for DNS files too.
     """
     _ingest(spark, tls_scans, lambda s, scan: scan.hosts(s), f"{cache_dir}/hosts", TLS_KEYS, overwrite)
     _ingest(spark, tls_scans, lambda s, scan: scan.http(s), f"{cache_dir}/http", TLS_KEYS, overwrite)

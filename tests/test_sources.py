@@ -1,5 +1,7 @@
+import csv
 import gzip
 import json
+import random
 from datetime import date
 from pathlib import Path
 from types import SimpleNamespace
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scangraph.sources.blocklists import Blocklist, list_members, listed_vertices
+from scangraph.sources.csv_records import quoted_lines
 from scangraph.sources.graph_files import Graph, graph_state, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import (
@@ -43,6 +46,42 @@ def test_csv_quotes_lines_and_malformed_rows(spark, tmp_path):
     assert sorted(r.ip for r in kept.select("ip").collect()) == ["1.1.1.1", "1.1.1.4"]
 
 
+PIECES = ["a", 'b"', "\n", "\r\n", ",", "é", "", "#", " ", '""', "\\", '"\n"', "\n\n"]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_values_with_line_breaks_are_read_by_many_tasks(spark, tmp_path, ending):
+    rng = random.Random(7)
+    value = lambda: "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 8)))
+    rows = [[str(i), value(), value()] for i in range(4000)]
+    rows.insert(2000, ["5000", "line\n" * 3000, ""])  # a value over several splits
+    (tmp_path / "t").mkdir()
+    for name, own in (("x.csv", rows[:2500]), ("y.csv", rows[2500:]), ("empty.csv", [])):
+        with open(tmp_path / "t" / name, "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=ending)
+            writer.writerow(["id", "a", "b"])
+            for i, row in enumerate(own):
+                writer.writerow(row)
+                if i % 50 == 9:
+                    writer.writerow([] if i % 100 == 9 else ["1", "too", "many", "values"])
+    expected = {r[0]: (r[1] or None, r[2] or None) for r in rows}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert quoted_lines(spark, f"{tmp_path}/t").rdd.getNumPartitions() > 10
+        found = load_csv(spark, f"{tmp_path}/t", "id STRING, a STRING, b STRING").collect()
+        named = load_csv(spark, f"{tmp_path}/t").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(found) == len(named) == len(rows)
+    assert {r.id: (r.a, r.b) for r in found} == {r.id: (r.a, r.b) for r in named} == expected
+    lenient = load_csv(spark, f"{tmp_path}/t", "id STRING, a STRING, b STRING", ["id", "a"])
+    assert lenient.where("a = 'too'").count() == sum(len(r) and i % 100 == 59 for own in (rows[:2500], rows[2500:]) for i, r in enumerate(own))
+    with pytest.raises(ValueError, match="header"):
+        load_csv(spark, f"{tmp_path}/t", "id STRING, a STRING, c STRING")
+
+
 def test_file_variants(spark, tmp_path):
     (tmp_path / "a.csv.zst").write_text("")
     (tmp_path / "b.csv.xz").write_text("")

@@ -39,6 +39,7 @@ from scangraph.sources.certificates import pem_to_der, with_fingerprints
 from scangraph.sources.experiment import Experiment, read_scores
 from scangraph.sources.graph_files import Graph, read_graph, write_graph
 from scangraph.sources.resolver import flatten_answers
+from scangraph.sources.scans import HOSTS_COLUMNS, HOSTS_SCHEMA, load_csv
 from scangraph.storage import Workspace, list_names
 from workload import views
 from workload.rules import suffix_rules
@@ -179,6 +180,15 @@ def alias_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_answers(views.resolver_lines(spark, sf_dir))
 
 
+@query
+def parsed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanner CSV with quotes, line breaks and malformed rows, written from all events and documents and read again."""
+    path = Workspace.fresh(spark).path("hosts.csv")
+    views.write_hosts_csv(spark, sf_dir, path)
+    hosts = load_csv(spark, path, HOSTS_SCHEMA, HOSTS_COLUMNS)
+    return hosts.withColumn("error_data", F.sha2("error_data", 256))
+
+
 # Entities
 
 

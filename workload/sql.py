@@ -386,6 +386,12 @@ ALL: dict[str, str] = {
         from page_hosts p left join name_chains c on c.name = p.host""",
     "cert_fingerprints": "select doc_id as id, sha1(text) as sha1, sha256(text) as sha256 from documents",
     "alias_answers": _ALIASES,
+    "parsed_hosts": _BASE
+    + """select h.id::integer as id, h.ip, case when h.id % 3 = 0 then p.host || '.' else p.host end as server_name,
+        sha256(d.text) as error_data, h.cert_hash, h.cert_valid::integer as cert_valid
+        from hosts h join page_hosts p on p.page_id = h.id % (select n from page_count)
+        left join documents d on d.doc_id = h.id % (select count(*) from documents)
+        where h.id % 23 <> 7 and h.id % 19 <> 3""",
     "san_entries": _BASE + "select * from sans",
     "domain_names_seen": _BASE + "select * from names_seen",
     "domain_universe": _BASE + "select * from hierarchy",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scangraph.operators.relations import NO_POSSESSION
 from scangraph.plans.build import Scans
+from scangraph.sources.scans import HOSTS_SCHEMA
 
 
 _tables: dict[tuple[str, str], DataFrame] = {}
@@ -199,6 +200,22 @@ def write_lists(spark: SparkSession, sf_dir: str, folder: str) -> None:
     rows.limit(0).select("indicator").write.mode("overwrite").text(f"{folder}/none.dn")
 
 
+def write_hosts_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``scan_hosts`` as CSV of the scanner, with a document as the error of every row and with malformed rows."""
+    hosts, docs = scan_hosts(spark, sf_dir), table(spark, sf_dir, "documents")
+    n = docs.count()
+    texts = docs.select(F.col("doc_id").alias("about"), F.col("text").alias("error_data"))
+    rows = hosts.drop("error_data").withColumn("about", F.col("id") % n).join(texts, "about", "left")
+    odd = {
+        "id": F.when(F.col("id") % 23 == 7, F.concat(F.lit("no "), _text(F.col("id")))).otherwise(_text(F.col("id"))),
+        "cert_valid": F.when(F.col("id") % 19 == 3, "yes").otherwise(_text(F.col("cert_valid"))),
+    }
+    columns = [c.split()[0] for c in HOSTS_SCHEMA.split(", ")]
+    rows = rows.select(*[(odd.get(c) if c in odd else F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in columns])
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(path, header=True)
+
+
 def resolver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line per page: a name, two aliases in a row, both address kinds, and a cycle."""
     p = F.col("page_id")
