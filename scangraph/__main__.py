@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     rank.add_argument("--input-dir", required=True)
     rank.add_argument("--bidirectional", type=_flag, default=False)
     rank.add_argument("--epsilon", type=float, default=0.01)
+    rank.add_argument("--degree", choices=["parallel", "distinct"], default="parallel", help="edges or neighbours to divide by")
     rank.add_argument("--max-iter", type=int, default=100)
 
     for job in (build, rank):
@@ -78,7 +79,7 @@ def main(arguments: list[str] | None = None) -> None:
         write_graph(graph, options.out, options.output_type, options.overwrite, made_from=run)
     else:
         experiment = Experiment.from_dir(spark, options.input_dir, options.bidirectional)
-        run = fingerprint(options.input_dir, options.bidirectional, options.epsilon, options.max_iter)
+        run = fingerprint(options.input_dir, options.bidirectional, options.epsilon, options.max_iter, options.degree)
         work = Workspace(spark, f"{options.cache_dir}/propagation-{run}", resume=not options.overwrite)
         run_experiment(
             spark,
@@ -86,6 +87,7 @@ def main(arguments: list[str] | None = None) -> None:
             options.out,
             epsilon=options.epsilon,
             max_iter=options.max_iter,
+            degree=options.degree,
             output_type=options.output_type,
             overwrite=options.overwrite,
             work=work,

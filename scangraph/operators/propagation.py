@@ -340,6 +340,7 @@ def propagate(
     epsilon: float = 0.01,
     max_iter: int = 100,
     bidirectional: bool = False,
+    degree: str = "parallel",
     work: Workspace | None = None,
     edges_per_split: int = EDGES_PER_SPLIT,
     buckets: int | None = None,
@@ -353,7 +354,9 @@ def propagate(
     rounds, so results equal those of separate runs. Vertices that were reached without being seeds
     have ``fixed`` false.
 
-    ``bidirectional`` mirrors every edge and divides by the number of distinct neighbours.
+    ``bidirectional`` mirrors every edge and divides by the number of distinct neighbours. ``degree="distinct"`` does
+    the latter for directed edges too, in place of ``outDegree``, which counts parallel edges: the shares that a
+    vertex takes then add up to 1.
 
     ``report`` is filled with (experiment, round, number of vertices that moved by ``epsilon`` or more). An
     experiment whose last number is not 0 had not converged by ``max_iter``.
@@ -362,12 +365,14 @@ def propagate(
     ``work`` with ``resume``, a stopped run keeps its tables, and the next call with the same inputs goes on
     behind its last complete round; a call with other inputs deletes them and starts anew.
     """
+    if degree not in ("parallel", "distinct"):
+        raise ValueError(f"unknown degree {degree}")
     work = work or Workspace.fresh(spark)
     run = None
     if work.resume:
         inputs = ((vertices, ["id", "outDegree"]), (edges, ["src", "dst"]), (seeds, ["experiment", "id"]))
         contents = [content_fingerprint(df.select(*columns), *columns) for df, columns in inputs]
-        run = fingerprint(*contents, epsilon, max_iter, bidirectional, edges_per_split, buckets)
+        run = fingerprint(*contents, epsilon, max_iter, bidirectional, degree, edges_per_split, buckets)
     log = RoundLog(work, run)
     entry = log.last()
     if entry and entry.get("complete"):
@@ -383,6 +388,9 @@ def propagate(
             if bidirectional:
                 edges = work.write(mirror(edges), "mirrored")
                 vertices = neighbour_degrees(vertices, edges)
+            elif degree == "distinct":
+                edges = work.write(edges.select("src", "dst").dropna().distinct(), "mirrored")
+                vertices = neighbour_degrees(vertices, edges)
             vertices = vertices.select("id", "outDegree").distinct()
             coded, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
             topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
@@ -428,9 +436,9 @@ def scores_by_kind(vertices: DataFrame, scores: DataFrame, evaluation: DataFrame
     return vertices.join(scores, "id")
 
 
-def neighbour_degrees(vertices: DataFrame, mirrored: DataFrame) -> DataFrame:
-    """``id, outDegree`` of an undirected graph whose edges are given in both directions."""
-    degree = mirrored.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outDegree"))
+def neighbour_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, outDegree`` with the number of distinct ``edges`` of each vertex; an undirected graph has both directions."""
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outDegree"))
     return with_degrees(vertices.select("id").distinct(), degree)
 
 

@@ -19,6 +19,7 @@ def run_experiment(
     max_iter: int = 100,
     output_type: str = "parquet",
     overwrite: bool = False,
+    degree: str = "parallel",
     work: Workspace | None = None,
 ) -> DataFrame | None:
     """Propagate the blocklists of an experiment and, with ``out``, write scores per vertex kind.
@@ -27,7 +28,7 @@ def run_experiment(
     ``overwrite``; None when that leaves nothing to do.
     """
     graph = experiment.graph
-    run, names = fingerprint(epsilon, max_iter, experiment.bidirectional), {b.name for b in experiment.blocklists}
+    run, names = fingerprint(epsilon, max_iter, experiment.bidirectional, degree), {b.name for b in experiment.blocklists}
     if out and not overwrite:
         names = pending_lists(spark, experiment, out, run, output_type)
         if not names:
@@ -40,6 +41,7 @@ def run_experiment(
         epsilon=epsilon,
         max_iter=max_iter,
         bidirectional=experiment.bidirectional,
+        degree=degree,
         work=work,
     )
     if out:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from scangraph.operators.degrees import kind_masks, mask_degrees
 from scangraph.operators.propagation import (
     bucket_count,
     changed_counts,
@@ -132,6 +133,35 @@ def test_bidirectional_uses_distinct_neighbours(spark):
     assert_close(scores(got)["a"], by_definition(mirrored, neighbours, {0}, 0.0, 5))
 
 
+def test_distinct_degree(spark):
+    edges, _, seeds = random_graph(6)
+    distinct = set(edges)
+    neighbours = {v: len([1 for u, _ in distinct if u == v]) for v in range(60)}
+    inputs = frames(spark, edges, {v: 99 for v in range(60)}, [("many", s) for s in seeds["many"]])
+    got = scores(propagate(spark, *inputs, epsilon=0.0, max_iter=4, degree="distinct"))
+    assert_close(got["many"], by_definition(distinct, neighbours, seeds["many"], 0.0, 4))
+    with pytest.raises(ValueError, match="degree"):
+        propagate(spark, *inputs, degree="other")
+
+
+def test_degrees_from_masks(spark):
+    rng = random.Random(2)
+    kinds = ["a", "b", "c"]
+    rows = [(rng.randrange(6), rng.randrange(6), rng.choice([*kinds, "d"])) for _ in range(60)] + [(None, 1, "a"), (1, 1, None)]
+    masks = kind_masks(spark.createDataFrame(rows, "src long, dst long, type string"), kinds)
+    found = {r.id: r.asDict() for r in mask_degrees(masks, kinds, {"all": kinds, "bc": ["b", "c"], "none": []}).collect()}
+    edges = {r for r in rows if None not in r and r[2] in kinds}
+    assert set(found) == {v for s, d, _ in edges for v in (s, d)}
+    for v, row in found.items():
+        for name, own in {"all": kinds, "bc": ["b", "c"], "none": []}.items():
+            out = [(d, k) for s, d, k in edges if s == v and k in own]
+            into = [(s, k) for s, d, k in edges if d == v and k in own]
+            assert row[f"{name}Out"] == len(out) and row[f"{name}In"] == len(into)
+            assert row[f"{name}DistinctOut"] == len({d for d, _ in out}) and row[f"{name}DistinctIn"] == len({s for s, _ in into})
+    plan = mask_degrees(masks, kinds, {"all": kinds})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_scores_by_kind_with_labels(spark):
     vertices = spark.createDataFrame([(1, "1.1.1.1"), (2, "2.2.2.2")], "id long, ip string")
     found = spark.createDataFrame([("a", 1, 0.5, False)], "experiment string, id long, score double, fixed boolean")

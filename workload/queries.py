@@ -20,7 +20,7 @@ from scangraph.functions.suffixes import (
 )
 from scangraph.functions.urls import sanitize_url
 from scangraph.operators import entities, relations
-from scangraph.operators.degrees import degrees, mirror, undirected_degrees, vertex_union
+from scangraph.operators.degrees import degrees, kind_masks, mask_degrees, mirror, undirected_degrees, vertex_union
 from scangraph.operators.ids import dense_ids
 from scangraph.operators.propagation import (
     affected_counts,
@@ -31,7 +31,7 @@ from scangraph.operators.propagation import (
     scores_by_kind,
     seed_vertices,
 )
-from scangraph.plans.build import build_graph, domain_names, observed_edges, vertex_keys
+from scangraph.plans.build import RELATION_COLUMNS, build_graph, domain_names, observed_edges, vertex_keys
 from scangraph.plans.rank import run_experiment
 from scangraph.sources import blocklists
 from scangraph.sources.blocklists import Blocklist
@@ -106,6 +106,7 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNS = {
     "3 rounds": {"epsilon": 0.0, "max_iter": 3},
     "3 rounds, both ways": {"epsilon": 0.0, "max_iter": 3, "bidirectional": True},
+    "3 rounds, distinct neighbours": {"epsilon": 0.0, "max_iter": 3, "degree": "distinct"},
     "converged": {"epsilon": 0.01, "max_iter": 100},
 }
 
@@ -328,6 +329,22 @@ def graph_undirected_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undirected_degrees(_relations(spark, sf_dir))
 
 
+# Sets of relations whose degrees are asked for together.
+_DEGREE_SETS = {
+    "all": list(RELATION_COLUMNS),
+    "names": ["contains", "redirects", "parent_domain", "subdomain"],
+    "hosting": ["returns", "deployed_on", "resolves"],
+    "resolves": ["resolves"],
+}
+
+
+@query
+def distinct_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and neighbours of every vertex, for several sets of relations at once."""
+    kinds = list(RELATION_COLUMNS)
+    return mask_degrees(kind_masks(_relations(spark, sf_dir), kinds), kinds, _DEGREE_SETS)
+
+
 @query
 def graph_vertex_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertex_union(graph(spark, sf_dir).vertices)
@@ -414,6 +431,11 @@ def scores_3_rounds_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_propagated(spark, sf_dir, "3 rounds, both ways"))
 
 
+@query
+def scores_3_rounds_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_propagated(spark, sf_dir, "3 rounds, distinct neighbours"))
+
+
 @query
 def scores_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _propagated(spark, sf_dir, "converged")

@@ -342,6 +342,21 @@ _CONVERGED = _with(
 )
 _NEIGHBOURS = """select v.id, coalesce(n.outDegree, 0) as outDegree from indexed v
         left join (select src as id, count(*) as outDegree from edge group by src) n using (id)"""
+_NEIGHBOURS_OUT = """select v.id, coalesce(n.outDegree, 0) as outDegree from indexed v
+        left join (select src as id, count(distinct dst) as outDegree from rels group by src) n using (id)"""
+_SCORED_DISTINCT = _with(_VIEWS, _GRAPH, _SEEDS, _rounds(3, "select distinct src, dst from rels", _NEIGHBOURS_OUT))
+_DEGREE_SETS = {
+    "all": "true",
+    "names": "type in ('contains', 'redirects', 'parent_domain', 'subdomain')",
+    "hosting": "type in ('returns', 'deployed_on', 'resolves')",
+    "resolves": "type = 'resolves'",
+}
+_DEGREES_BY_SET = ", ".join(
+    f"count(*) filter (i = {i} and {own}) as {name}{end}, "
+    f"count(distinct other) filter (i = {i} and {own}) as {name}Distinct{end}"
+    for name, own in _DEGREE_SETS.items()
+    for end, i in (("In", 1), ("Out", 0))
+)
 _SCORED_BOTH = _with(_VIEWS, _GRAPH, _SEEDS, _rounds(3, _MIRROR, _NEIGHBOURS))
 
 _ALIASES = f"""
@@ -417,6 +432,11 @@ ALL: dict[str, str] = {
     "graph_ips": _FULL
     + "select id, substring(guid, 4) as ip, inDegree, outDegree from indexed where starts_with(guid, 'ip_')",
     "graph_degrees": _FULL + "select * from degree",
+    "distinct_degrees": _FULL
+    + f"""select id, {_DEGREES_BY_SET} from (select src as id, dst as other, type, 0 as i from rels
+        union all select dst, src, type, 1 from rels) group by id""",
+    "scores_3_rounds_distinct": _SCORED_DISTINCT
+    + "select experiment, id, round(score, 8) as score, fixed from state3",
     "graph_undirected_degrees": _FULL + "select id, count(*) as degree from ends group by id",
     "graph_vertex_union": _FULL + "select id, inDegree, outDegree from indexed",
     "typed_edges": _FULL + "select src, dst, type from rels",
