@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scangraph.llm.byte_bpe import byte_bpe
-from scangraph.llm.common import texts
+from scangraph.llm.common import scratch, texts
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 256
@@ -90,8 +90,8 @@ def _write_part(path: str | None, length: int, file_tokens: int):
         end = np.array([END_ID], bpe.dtype).tobytes()
         held, size, number = [], 0, 0
         for rows in batches:
-            for row_id, doc_id, text in zip(rows.row_id, rows.doc_id, rows.text, strict=True):
-                ids = bpe.ids(text) + end
+            for row_id, doc_id, own in zip(rows.row_id, rows.doc_id, bpe.ids_of(rows.text), strict=True):
+                ids = own + end
                 held.append((None if pd.isna(doc_id) else int(doc_id), int(row_id), ids))
                 size += len(ids) // len(end)
                 if size >= file_tokens:
@@ -148,7 +148,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     ``start`` counts the ids of all documents before it. Only one total per file is summed up in order.
     """
+    # Written once, so that files are decoded once: for the totals and for the rows.
     found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_read_files, _READ)
+    found = scratch(spark).write(found, "found")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     totals = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("part", "number", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -37,7 +37,8 @@ BLOCK, PAIRS_AT_ONCE = 512, 100_000
 #: Partners in each block that a member outside is compared with before all others are.
 FIRST_PARTNERS = 3
 
-_WORDS_KEPT = 1_000_000
+#: Words whose hashes a task remembers; a new one costs little.
+_WORDS_KEPT = 100_000
 _rng = np.random.default_rng(20_240_101)
 _FACTORS = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
 _SHIFTS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -121,6 +122,7 @@ def _sign(size: int):
                     (row_id, doc_id, len(hashes), digest, band_keys(values), values.astype("<u2").tobytes())
                 )
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _SET.split(", ")]).astype({"doc_id": "Int64"})
+        _word_hashes.clear()  # the worker goes on with other stages
 
     return sign
 

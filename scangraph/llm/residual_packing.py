@@ -39,8 +39,8 @@ def _cut_pieces(path: str | None, capacity: int, keep_ids: bool):
         names = [field.split()[0] for field in _PIECE.split(", ")] + ["ids"] * keep_ids
         for rows in batches:
             out = []
-            for row_id, doc_id, text in zip(rows.row_id, rows.doc_id, rows.text, strict=True):
-                ids = np.frombuffer(bpe.ids(text), bpe.dtype).astype("<u4")
+            for row_id, doc_id, found in zip(rows.row_id, rows.doc_id, bpe.ids_of(rows.text), strict=True):
+                ids = np.frombuffer(found, bpe.dtype).astype("<u4")
                 ids = np.append(ids, np.uint32(END_ID))
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 # Only the first piece may be shorter than a sequence.

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -13,7 +14,8 @@ from scangraph.llm.residual_packing import best_fit, pack_pieces, packed_sequenc
 from scangraph.llm.trie_counts import token_counts, trie_counts
 from scangraph.llm.unigram import Unigram, unigram
 
-SPACES = ["", " ", "  ", "a  b", "a   b", " \n x", "x \n", "it's 'll", "a.b, c.,", "é,", ".", " , .", "x\x00 y", "<|endoftext|>"]
+SPACES = ["a\nb", "a\n\nb c", "a\n\n\nb", "a \n b", "a\n b\tc", "a\n", "a\n\n", "a b \n", "x...!! y's, 'z'.\n'd", "²,½. a_b_. é!?\x85b", "ab\u3000\n c"]
+SPACES += ["", " ", "  ", "a  b", "a   b", " \n x", "x \n", "it's 'll", "a.b, c.,", "é,", ".", " , .", "x\x00 y", "<|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,15 @@ def test_words_have_the_ids_of_the_library(library, odd_rows):
         assert np.frombuffer(byte_bpe().ids(text.encode()), "<u2").tolist() == library(text), text
 
 
+def test_texts_together_have_the_ids_of_the_library(library):
+    rng = random.Random(3)
+    parts = ["a", "the", "Über", "日本", "12", "x²", " ", " ", " ", "\n", "\n", "\t", "\x0b", "\xa0", ".", ",", "'s", "!!", "_", "\0", "\r\n"]
+    bodies = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    found = [np.frombuffer(ids, "<u2").tolist() for ids in byte_bpe().ids_of([b.encode() for b in bodies])]
+    assert found == [library(b) for b in bodies]
+    assert list(byte_bpe().ids_of([])) == []
+
+
 def test_arrow_tokens(spark, table, odd_rows, library, tmp_path):
     docs = table(odd_rows)
     write_tokens(docs, str(tmp_path / "tokens"), length=64, file_tokens=1000)
