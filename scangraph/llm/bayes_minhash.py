@@ -4,11 +4,11 @@
 2. Representatives that share a band of MinHash values share a bucket. Pairs of a bucket are not listed.
    First its members are compared with one of them, which brings most near copies into one component. Then
    those outside the bucket's largest component are compared with all members of other components, block
-   by block inside tasks; only pairs that stay likely leave a task. In a first turn these are the likeliest
-   partners of each member, after which few are still outside; in the last turn they are all that are left,
-   so no pair of a bucket is given up.
+   by block inside tasks. A task holds two blocks of members with their shingles, decides every pair there, and gives
+   out only so many links as join the components that it finds linked: fewer rows than members.
 3. A candidate's signatures are compared batch by batch; it is dropped when the posterior probability of
-   reaching the threshold falls below the chosen miss probability. Survivors are compared word by word.
+   reaching the threshold falls below the chosen miss probability. Survivors are compared on all their
+   shingles, and links once more word by word.
 4. Links are joined to components.
 """
 
@@ -32,10 +32,8 @@ HASHES = BANDS * BAND_ROWS
 #: Signature values compared between two looks at the posterior, and its miss probability at each.
 BATCH, MISS = 32, 1e-7
 
-#: Members of a bucket in one block, and pairs that a task compares at once.
-BLOCK, PAIRS_AT_ONCE = 512, 100_000
-#: Partners in each block that a member outside is compared with before all others are.
-FIRST_PARTNERS = 3
+#: Members of a bucket in one block, pairs that a task compares at once, and shingles that it counts at once.
+BLOCK, PAIRS_AT_ONCE, SHINGLES_AT_ONCE = 512, 100_000, 4096
 
 #: Words whose hashes a task remembers; a new one costs little.
 _WORDS_KEPT = 100_000
@@ -172,9 +170,57 @@ def _prune(percent: int, miss: float):
     return prune
 
 
-def _compare_blocks(percent: int, miss: float, most: int | None):
-    """Likely pairs of each (bucket, block) of sorted rows: members outside the bucket's largest component
-    (``outside``) with the block's own members. With ``most``, the most similar so many of each."""
+def common_shingles(hashes: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common shingles of every row of ``left`` and every row of ``right``, as a table."""
+
+    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.frombuffer(hashes[i], np.uint64) for i in rows]
+        return np.concatenate(own), np.repeat(np.arange(len(rows)), [len(o) for o in own])
+
+    (values_a, row_a), (values_b, row_b) = flat(left), flat(right)
+    shared = np.intersect1d(values_a, values_b)
+    counts = np.zeros((len(left), len(right)), np.float32)  # whole numbers up to 2 ** 24 are exact
+    if not len(shared):
+        return counts
+    sides = []
+    for values, row in ((values_a, row_a), (values_b, row_b)):
+        place = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        known = np.flatnonzero(shared[place] == values)
+        known = known[np.argsort(place[known], kind="stable")]
+        sides.append((place[known], row[known]))
+    for first in range(0, len(shared), SHINGLES_AT_ONCE):
+        tables = []
+        for (place, row), n in zip(sides, counts.shape, strict=True):
+            lo, hi = np.searchsorted(place, [first, first + SHINGLES_AT_ONCE])
+            table = np.zeros((n, min(SHINGLES_AT_ONCE, len(shared) - first)), np.float32)
+            table[row[lo:hi], place[lo:hi] - first] = 1
+            tables.append(table)
+        counts += tables[0] @ tables[1].T
+    return counts
+
+
+def _forest(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) -> np.ndarray:
+    """Places of so many of the links as join all components that the links join."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    _, first = np.unique(np.stack([comp_a, comp_b]), axis=1, return_index=True)
+    kept = []
+    for i in first.tolist():
+        x, y = find(int(comp_a[i])), find(int(comp_b[i]))
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def _compare_blocks(percent: int, miss: float, forest: bool):
+    """Links of each two blocks of a bucket (sorted rows): members outside the bucket's largest component
+    (``outside``) with members of any. With ``forest``, just enough of them to join what they join."""
     needed = least_matches(percent / 100, miss)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,29 +228,35 @@ def _compare_blocks(percent: int, miss: float, most: int | None):
         node, comp, size = (rows[c].to_numpy() for c in ("node", "comp", "n_shingles"))
         outside, minor = rows.outside.to_numpy(), rows.minor.to_numpy()
         x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
-        out = []
-        for at in range(0, len(x), max(1, PAIRS_AT_ONCE // max(1, len(y)))):
-            own = x[at : at + max(1, PAIRS_AT_ONCE // max(1, len(y)))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
+        for at in range(0, len(x) if len(y) else 0, step):
+            own = x[at : at + step]
             small, large = (f(size[own][:, None], size[y]) for f in (np.minimum, np.maximum))
             fit = (comp[own][:, None] != comp[y]) & (100 * small >= percent * large)
             # Two members outside meet twice: once is enough.
             fit &= ~minor[y] | (node[own][:, None] < node[y])
             i, j = np.nonzero(fit)
-            alive, matches = _likely(signatures, signatures, own[i], y[j], needed)
-            if most is not None and len(alive):
-                alive = alive[np.lexsort((-matches, i[alive]))]
-                first = np.flatnonzero(np.diff(i[alive], prepend=-1))
-                rank = np.arange(len(alive)) - np.repeat(first, np.diff(np.append(first, len(alive))))
-                alive = alive[rank < most]
-            out.append((node[own[i[alive]]], node[y[j[alive]]]))
-        a, b = (np.concatenate(side) for side in zip(*out, strict=True)) if out else ([], [])
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
+            alive, _ = _likely(signatures, signatures, own[i], y[j], needed)
+            found.append((at + i[alive], j[alive]))
+        i, j = (np.concatenate(side) for side in zip(*found, strict=True))
+        if len(i):
+            left, i = np.unique(i, return_inverse=True)
+            right, j = np.unique(j, return_inverse=True)
+            x, y = x[left], y[right]
+            common = common_shingles(list(rows.hashes), x, y)[i, j]
+            linked = 100 * common >= percent * (size[x[i]] + size[y[j]] - common)
+            i, j = x[i[linked]], y[j[linked]]
+            if forest:
+                kept = _forest(i, j, comp[i], comp[j])
+                i, j = i[kept], j[kept]
+        return pd.DataFrame({"a": node[i], "b": node[j]}, dtype="int64")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for rows in batches:
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            keys = rows[["bucket", "block"]].to_numpy()
+            keys = rows[["bucket", "block", "other"]].to_numpy()
             starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             cuts = [0, *starts.tolist()]
             found = [compare(rows.iloc[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
@@ -217,6 +269,16 @@ def _compare_blocks(percent: int, miss: float, most: int | None):
     return blocks
 
 
+def _shingles(size: int):
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [shingle_hashes(words_of(text), size).tobytes() for text in rows.text]
+            yield pd.DataFrame({"node": rows.node, "hashes": found})
+        _word_hashes.clear()
+
+    return shingles
+
+
 def _confirm(size: int, percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, left = None, set()
@@ -269,41 +331,55 @@ def _link_buckets(members: DataFrame, verify: _Verifier, work) -> DataFrame:
     stars = stars.where(fit).select("a", F.col("node").alias("b"))
     links = verify.confirmed(verify.likely(stars, "star"), "star")
     roots = components(links, work, "star_roots")
-    for name, most in (("first", FIRST_PARTNERS), ("rest", None)):
-        pairs = _separate_pairs(members, roots, verify, work, name, most)
-        links = links.union(verify.confirmed(pairs, name))
+    # Links are decided on hashes of shingles. Should two shingles ever share one, a link may not stand the test on
+    # words; then all links of the blocks are tested, not just enough of them.
+    for name, forest in (("forest", True), ("every", False)):
+        pairs = work.write(_separate_links(members, pivots, roots, verify, work, name, forest), f"{name}_found")
+        confirmed = verify.confirmed(pairs, name)
+        links = links.union(confirmed)
         roots = components(links, work, f"{name}_roots")
+        if confirmed.count() == pairs.count():
+            break
     return roots
 
 
-def _separate_pairs(
-    members: DataFrame, roots: DataFrame, verify: _Verifier, work, name: str, most: int | None
+def _separate_links(
+    members: DataFrame, pivots: DataFrame, roots: DataFrame, verify: _Verifier, work, name: str, forest: bool
 ) -> DataFrame:
-    """Likely pairs ``a, b`` of members of a bucket that are in different components."""
+    """Links ``a, b`` between members of a bucket that are in different components."""
     comp = F.coalesce("root", "node").alias("comp")
-    owned = members.join(roots, "node", "left").select("bucket", "node", "n_shingles", comp)
-    owned = work.write(owned, f"{name}_owned")
+    # The pairs of a bucket's pivot are decided.
+    left = members.join(pivots.select("bucket", "a"), "bucket").where("a <> node")
+    owned = work.write(left.join(roots, "node", "left").select("bucket", "node", "n_shingles", comp), f"{name}_owned")
     parts = owned.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     top = F.max(F.struct("n", "comp")).alias("top")
     crowds = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), top)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    crowds = crowds.where("comps > 1").select("bucket", blocks, F.col("top.comp").alias("major"))
+    others = F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others")
+    crowds = crowds.where("comps > 1").select("bucket", blocks, others, F.col("top.comp").alias("major"))
     crowds = work.write(crowds, f"{name}_crowds")
     minor = (F.col("comp") != F.col("major")).alias("minor")
-    live = owned.join(crowds, "bucket").select("bucket", "node", "n_shingles", "comp", "blocks", minor)
-
-    def place(block: Column, outside: bool) -> Column:
-        return F.struct(block.cast("int").alias("block"), F.lit(outside).alias("outside"))
-
-    # A member belongs to one block; one outside the largest component also meets every block.
-    own = F.array(place(F.pmod(F.xxhash64("node"), F.col("blocks")), False))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda block: place(block, True))
-    places = F.explode(F.when(F.col("minor"), F.concat(own, every)).otherwise(own)).alias("at")
-    placed = live.select("bucket", "node", "n_shingles", "comp", "minor", places).select("*", "at.*").drop("at")
-    signed = placed.join(verify.signatures.select("node", "signature"), "node")
-    ordered = signed.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    compare = _compare_blocks(verify.percent, verify.miss, most)
-    return ordered.mapInPandas(compare, "a long, b long").distinct()
+    live = owned.join(crowds, "bucket").select("bucket", "node", "n_shingles", "comp", "blocks", "others", minor)
+
+    nodes = work.write(live.select("node").distinct(), f"{name}_nodes")
+    hashed = verify.bodies.join(nodes, "node").select("node", "text").mapInPandas(_shingles(verify.size), "node long, hashes binary")
+    sets = work.write(hashed.join(verify.signatures.select("node", "signature"), "node"), f"{name}_sets")
+
+    def places(count: str, block: Column | None, other: Column | None, outside: bool) -> Column:
+        """Where a member is sent: its own block meets every block of the other side."""
+
+        def place(i: Column) -> Column:
+            pair = (i if block is None else block), (i if other is None else other)
+            return F.struct(pair[0].cast("int").alias("block"), pair[1].cast("int").alias("other"), F.lit(outside).alias("outside"))
+
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), place)
+
+    inside = places("others", F.pmod(F.xxhash64("node"), F.col("blocks")), None, False)
+    out = places("blocks", None, F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")), True)
+    sent = F.explode(F.when(F.col("minor"), F.concat(inside, out)).otherwise(inside)).alias("at")
+    placed = live.select("bucket", "node", "n_shingles", "comp", "minor", sent).select("*", "at.*").drop("at")
+    ordered = placed.join(sets, "node").repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other")
+    return ordered.mapInPandas(_compare_blocks(verify.percent, verify.miss, forest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -72,6 +73,39 @@ def test_near_duplicates(table, odd_rows, size):
     assert sum(r.first_row for r in found) == groups
 
 
+def test_a_family_just_below_the_threshold(table, monkeypatch):
+    """A third of all rows share a template, in several blocks of a bucket; few of them are linked with any other."""
+    monkeypatch.setattr("scangraph.llm.bayes_minhash.BLOCK", 16)
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = [w if rng.random() < 0.945 else f"x{rng.randrange(10**6)}" for w in template]
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(rng.choice(template) for _ in range(40))) for i in range(90)]
+    sets = [shingle_set(words_of(t.encode()), 2) for _, t in rows[:90]]
+    similar = [len(a & b) / len(a | b) for a, b in combinations(sets, 2)]
+    assert np.mean([0.6 < s < 0.8 for s in similar]) > 0.4 and sum(s >= 0.8 for s in similar) > 50
+    expected, groups = links(rows, 2)
+    found = near_duplicates(table(rows), shingle_words=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
+    assert sum(r.first_row for r in found) == groups
+
+
+def test_common_shingles_and_forest(monkeypatch):
+    from scangraph.llm import bayes_minhash
+
+    monkeypatch.setattr(bayes_minhash, "SHINGLES_AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(12)]
+    left, right = np.arange(5), np.arange(5, 12)
+    counts = bayes_minhash.common_shingles([s.tobytes() for s in sets], left, right)
+    assert counts.tolist() == [[len(set(sets[i]) & set(sets[j])) for j in right] for i in left]
+    comp_a, comp_b = np.array([1, 1, 2, 1, 3]), np.array([2, 4, 4, 2, 5])
+    kept = bayes_minhash._forest(comp_a, comp_b, comp_a, comp_b)
+    assert len(kept) == 3 and {5, 3} in [{comp_a[i], comp_b[i]} for i in kept]
+
+
 def test_posterior_bounds():
     needed = least_matches(0.8, 1e-7)
     assert (np.diff(needed) > 0).all() and needed[-1] < 0.8 * 288
