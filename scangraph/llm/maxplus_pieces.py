@@ -6,8 +6,9 @@ end, in parallel. Matrices multiply associatively (maximum for sum, sum for prod
 are multiplied up a tree; going down the tree, the best states at the ends of a node give those between its
 children, and in the end each chunk finds its own pieces between two known states.
 
-That is the encoding of models of the unigram kind. The pieces of a model of the BPE kind are found by its own
-merges (``piece_bpe``); its giant texts are cut between parts, which stand for themselves.
+For models of the unigram kind that is the segmentation of largest score. For models of the BPE kind it is the
+library's encoding: there the state is the token at the boundary, and scores are 0 where two tokens may stand side by
+side and minus infinity elsewhere (``merge_chunks``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scangraph.llm.common import scratch, stored, texts
+from scangraph.llm.merge_chunks import MergeChunk, States, product
 from scangraph.llm.piece_bpe import is_bpe, piece_bpe
 from scangraph.llm.unigram import Unigram, unigram
 
@@ -284,73 +286,194 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.select("row_id", "ids").mapInPandas(_decode(model), "row_id long, text string")
 
 
-def _cut(path: str | None, size: int):
-    """Chunks of at least ``size`` characters of escaped texts, cut where no piece spans."""
+_REST = "n_pieces long, score double, ids_crc32 long, decoded_sha256 string, ids binary"
+_PART = f"row_id long, doc_id long, {_REST}, chunk long, text string, at int, size int, last boolean"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = piece_bpe(path)
+
+def _merged(path: str | None, size: int, keep_ids: bool):
+    """Short texts encoded, and the chunks of others, with what tokens may reach on both sides."""
+    names = [c.split()[0] for c in _PART.split(", ")]
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = piece_bpe(path)
+        for rows in batches:
+            bodies = [bytes(text) for text in rows.text]
+            escaped = [model.escape(b.decode("utf-8", "replace")) if len(b) >= size else "" for b in bodies]
+            short = [b if len(e) <= size else b"" for b, e in zip(bodies, escaped, strict=True)]
+            out = []
+            about = zip(rows.row_id, rows.doc_id, escaped, model.encode(short), strict=True)
+            for row_id, doc_id, text, (_, n, score, ids) in about:
+                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                if len(text) <= size:
+                    digest = hashlib.sha256(model.decode(ids)).hexdigest()
+                    told = (n, score, zlib.crc32(ids), digest, ids if keep_ids else None)
+                    out.append((row_id, doc_id, *told, None, None, None, None, None))
+                    continue
+                for chunk, start in enumerate(range(0, len(text), size)):
+                    at = min(start, model.longest)
+                    part = text[start - at : start + size + model.longest - 1]
+                    last = start + size >= len(text)
+                    place = (chunk, part, at, min(size, len(text) - start), last)
+                    out.append((row_id, doc_id, *[None] * 5, *place))
+            found = pd.DataFrame(out, columns=names)
+            kinds = dict.fromkeys(["doc_id", "n_pieces", "ids_crc32", "chunk", "at", "size"], "Int64")
+            yield found.astype(kinds | {"last": "boolean"})
+
+    return merged
+
+
+def _merge_chunks(rows: pd.DataFrame, model) -> Iterator[MergeChunk]:
+    for text, at, size, chunk, last in zip(rows.text, rows["at"], rows["size"], rows.chunk, rows["last"], strict=True):
+        yield MergeChunk(model, text, int(at), int(size), int(chunk) == 0, bool(last))
+
+
+def _merge_matrices(path: str | None):
+    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = piece_bpe(path)
+        states = States(model.longest)
+        for rows in batches:
+            found = [states.pack(c.matrix(states)) for c in _merge_chunks(rows, model)]
+            yield pd.DataFrame({"row_id": rows.row_id, "node": rows.chunk, "matrix": found})
+
+    return matrices
+
+
+def _merge_multiply(longest: int):
+    states = States(longest)
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for blob in rows.sort_values("node").matrix:
+            matrix = states.unpack(blob)
+            whole = matrix if whole is None else product(whole, matrix)
+        return pd.DataFrame({"row_id": [key[0]], "node": [key[1]], "matrix": [states.pack(whole)]})
+
+    return multiply
+
+
+def _merge_roots(longest: int):
+    states = States(longest)
+
+    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin = states.number - 1
+        for rows in batches:
+            # Only states at the text's end are left, and one path leads there.
+            leave = [int(np.flatnonzero(states.unpack(blob)[begin])[0]) for blob in rows.matrix]
+            yield pd.DataFrame({"row_id": rows.row_id, "node": rows.node, "enter": begin, "leave": leave})
+
+    return roots
+
+
+def _merge_between(longest: int):
+    states = States(longest)
+
+    def between(key: tuple, rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        enter, leave = int(ends.enter.iloc[0]), int(ends.leave.iloc[0])
+        matrices = [states.unpack(blob) for blob in rows.matrix]
+        ahead = [matrices[0][enter]]
+        for matrix in matrices[1:]:
+            ahead.append(matrix[ahead[-1]].any(axis=0))
+        found = [leave]
+        for reached, matrix in zip(ahead[-2::-1], matrices[:0:-1], strict=True):
+            found.append(int(np.flatnonzero(reached & matrix[:, found[-1]])[0]))
+        found.reverse()
+        return pd.DataFrame({"row_id": key[0], "node": rows.node, "enter": [enter, *found[:-1]], "leave": found})
+
+    return between
+
+
+def _merge_trace(path: str | None):
+    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = piece_bpe(path)
+        states = States(model.longest)
         for rows in batches:
-            for row_id, doc_id, text in zip(rows.row_id, rows.doc_id, rows.text, strict=True):
-                held, chunk, n = [], 0, 0
-                for part in encoder.segments(encoder.escape(bytes(text).decode("utf-8", "replace"))):
-                    held.append(part)
-                    n += len(part)
-                    if n >= size:
-                        yield _chunk_row(row_id, doc_id, chunk, held)
-                        held, chunk, n = [], chunk + 1, 0
-                if held:
-                    yield _chunk_row(row_id, doc_id, chunk, held)
+            ends = zip(_merge_chunks(rows, model), rows.enter, rows.leave, strict=True)
+            found = [chunk.ids(states.state(int(enter)), states.state(int(leave))) for chunk, enter, leave in ends]
+            yield rows[["row_id", "doc_id", "chunk"]].assign(doc_id=rows.doc_id.astype("Int64"), ids=found)
+
+    return trace
 
-    return cut
 
+def _merge_digest(path: str | None, keep_ids: bool):
+    """Rows of chunks in order, to one row per text: nothing of a text is held but its digests."""
+    names = [c.split()[0] for c in f"row_id long, doc_id long, {_REST}".split(", ")]
 
-def _chunk_row(row_id: int, doc_id: float, chunk: int, parts: list[str]) -> pd.DataFrame:
-    columns = {"row_id": [row_id], "doc_id": [doc_id], "chunk": [chunk], "text": ["".join(parts)]}
-    return pd.DataFrame(columns)
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, own = piece_bpe(path), None
 
+        def told() -> tuple:
+            row_id, doc_id, n, score, crc, sha, held = own
+            return row_id, doc_id, n, score, crc, sha.hexdigest(), b"".join(held) if keep_ids else None
 
-def _merge(path: str | None, escaped: bool):
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = piece_bpe(path)
-        encode = encoder.encode_escaped if escaped else encoder.encode
         for rows in batches:
-            found = [encode(text) for text in rows.text]
-            columns = {"ids": [ids for ids, _ in found], "score": [score for _, score in found]}
-            yield rows.drop(columns="text").assign(**columns)
+            out = []
+            for row_id, doc_id, chunk, ids in zip(rows.row_id, rows.doc_id, rows.chunk, rows.ids, strict=True):
+                if own is None or own[0] != row_id:
+                    if own is not None:
+                        out.append(told())
+                    own = [row_id, None if pd.isna(doc_id) else int(doc_id), 0, 0.0, 0, hashlib.sha256(), []]
+                ids = bytes(ids)
+                own[2] += len(ids) // 4
+                own[3] += sum([model.scores[i] for i in np.frombuffer(ids, "<u4").tolist()])
+                own[4] = zlib.crc32(ids, own[4])
+                own[5].update(model.decode(ids, first=chunk == 0))
+                if keep_ids:
+                    own[6].append(ids)
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        if own is not None:
+            yield pd.DataFrame([told()], columns=names).astype({"doc_id": "Int64"})
 
-    return merge
+    return digest
 
 
-def merge_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``row_id, doc_id, ids, score`` of every whole text, as the library encodes it with a model of the BPE kind.
+def merge_pieces(
+    docs: DataFrame, model: str | None = None, chunk: int = CHUNK, fan_in: int = FAN_IN, keep_ids: bool = True
+) -> DataFrame:
+    """``row_id, doc_id, n_pieces, score, ids_crc32, decoded_sha256, ids`` of every whole text, as the library encodes it
+    with a model of the BPE kind; ``ids`` (32 bits each) are null unless ``keep_ids``.
 
-    Texts of more than ``chunk`` characters are encoded in chunks, which changes nothing.
+    Texts of more than ``chunk`` characters are scanned in chunks, which changes nothing. Null and empty texts have no
+    ids; repeated rows and rows without doc_id are encoded like others; an empty table gives an empty result.
     """
-    # Ids travel as strings: pandas has no integers with nulls by itself.
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-    size = F.char_length(F.col("text").cast("string"))
-    schema = "row_id long, doc_id string, ids binary, score double"
-    short = rows.where(size < chunk).mapInPandas(_merge(model, False), schema)
-    cut = rows.where(size >= chunk).mapInPandas(_cut(model, chunk), "row_id long, doc_id string, chunk long, text string")
-    spread = cut.repartition("row_id", "chunk")
-    merged = spread.mapInPandas(_merge(model, True), "row_id long, doc_id string, chunk long, ids binary, score double")
-    parts = F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts")
-    whole = merged.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), parts, F.sum("score").alias("score"))
-    ids = F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, part["ids"])).alias("ids")
-    found = short.unionByName(whole.select("row_id", "doc_id", ids, "score"))
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def _digest(path: str | None, key: str = "row_id"):
+    work, longest = scratch(docs.sparkSession), piece_bpe(model).longest
+    parts = work.write(texts(docs).mapInPandas(_merged(model, chunk, keep_ids), _PART), "parts")
+    columns = ["row_id", "doc_id", *[c.split()[0] for c in _REST.split(", ")]]
+    short = parts.where("chunk is null").select(*columns)
+    chunks = parts.where("chunk is not null").drop("n_pieces", "score", "ids_crc32", "decoded_sha256", "ids")
+    most = chunks.agg(F.max("chunk")).first()[0]
+    if most is None:
+        return short
+    spread = chunks.repartition("row_id", "chunk")
+    levels = [work.write(spread.mapInPandas(_merge_matrices(model), _MATRIX), "level0")]
+    parent, most = F.floor(F.col("node") / fan_in).cast("long"), most + 1
+    while most > 1:
+        most = -(-most // fan_in)
+        groups = levels[-1].groupBy("row_id", parent.alias("up"))
+        levels.append(work.write(groups.applyInPandas(_merge_multiply(longest), _MATRIX), f"level{len(levels)}"))
+    states = work.write(levels[-1].mapInPandas(_merge_roots(longest), _STATE), "states")
+    for depth in range(len(levels) - 2, -1, -1):
+        children = levels[depth].groupBy("row_id", parent.alias("up"))
+        both = children.cogroup(states.groupBy("row_id", "node"))
+        states = work.write(both.applyInPandas(_merge_between(longest), _STATE), f"states{depth}")
+    joined = chunks.join(states.withColumnRenamed("node", "chunk"), ["row_id", "chunk"])
+    traced = joined.mapInPandas(_merge_trace(model), "row_id long, doc_id long, chunk long, ids binary")
+    ordered = traced.repartition("row_id").sortWithinPartitions("row_id", "chunk")
+    long = ordered.mapInPandas(_merge_digest(model, keep_ids), f"row_id long, doc_id long, {_REST}")
+    return short.unionByName(long)
+
+
+def _digest(path: str | None):
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = piece_bpe(path) if is_bpe(path) else unigram(path)
+        model = unigram(path)
         for rows in batches:
             out = []
             for ids in rows.ids:
                 body = model.decode(np.frombuffer(ids, "<u4").tolist()).encode()
                 out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(body).hexdigest()))
             found = pd.DataFrame(out, columns=["n_pieces", "ids_crc32", "decoded_sha256"])
-            yield pd.concat([rows[[key, "score"]].reset_index(drop=True), found], axis=1)
+            yield pd.concat([rows[["row_id", "score"]].reset_index(drop=True), found], axis=1)
 
     return digest
 
@@ -358,14 +481,14 @@ def _digest(path: str | None, key: str = "row_id"):
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, n_pieces, score, ids_crc32, decoded_sha256`` of every row, encoded and decoded again.
 
-    The encoding is that of the model's kind, and ``score`` the total of its pieces' scores.
+    The encoding is that of the model's kind, and ``score`` the total of its pieces' scores. Null and empty texts have
+    no pieces; repeated rows and rows without doc_id have a row each; an empty table gives an empty result.
     """
-    schema = "row_id long, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
     if is_bpe(model):
-        merged = merge_pieces(docs, model).withColumn("doc_id", F.col("doc_id").cast("string"))
-        found = merged.mapInPandas(_digest(model, "doc_id"), schema.replace("row_id long", "doc_id string"))
-        return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+        found = merge_pieces(docs, model, keep_ids=False)
+        return found.select("doc_id", "n_pieces", "score", "ids_crc32", "decoded_sha256")
     docs = stored(docs.select("doc_id", "text"), scratch(docs.sparkSession))
+    schema = "row_id long, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
     found = encode_pieces(docs, model).mapInPandas(_digest(model), schema)
     ids = texts(docs).select("row_id", "doc_id")
     return ids.join(found, "row_id").drop("row_id")

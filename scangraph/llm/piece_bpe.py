@@ -1,29 +1,34 @@
-"""The encoding of a SentencePiece model of the BPE kind: the library's own merges, part by part.
+"""The encoding of a SentencePiece model of the BPE kind, found by prefixes instead of merges.
 
-A text is escaped as the library does it: a blank is ``▁`` and one more stands in front. No piece runs from
-another character into a blank, so merges never cross such a place and each part between blanks stands for
-itself. Parts repeat, texts don't: each worker keeps the ids of the parts it has seen and asks the library
-for new ones only. Like the library, it reads a ``▁`` of the text as a blank.
+A text is escaped as the library does it: a blank is ``▁`` and one more stands in front; like the library, a ``▁`` of
+the text is read as a blank. No piece runs from another character into a blank, so each part between blanks stands for
+itself.
+
+The last token of a prefix's encoding depends on the prefix alone: it is the one piece that ends there and may stand
+behind the last token of what is left without it. Two pieces may stand side by side if the model's merges
+leave them so when they are encoded together. Sequences in which all neighbours do are encodings. A character that
+no piece has becomes its bytes; merges never reach across it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from scangraph.llm.common import tokenizer_path
 from scangraph.llm.unigram import BLANK, MODEL, Unigram
 
-#: Parts kept by a worker; beyond that it starts afresh, so that its memory stays bounded.
-KEPT_PARTS = 500_000
+#: Answers on neighbours, and parts, that a worker keeps; beyond that it starts afresh.
+KEPT_PAIRS, KEPT_PARTS = 400_000, 300_000
 
 
-class PieceBpe(dict):
-    """Number, score and ids (32 bits each) of escaped parts, made when first asked for."""
+class PieceBpe:
+    """Prefix rules of one model, and the results for parts that it has seen."""
 
     def __init__(self, path: str):
-        super().__init__()
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -32,42 +37,145 @@ class PieceBpe(dict):
         # Parts come escaped, with the blank in front that the library would add.
         proto.normalizer_spec.add_dummy_prefix = False
         self.library = SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.model = Unigram(path)
+        model = Unigram(path)
+        self.segments, self.longest, self.bytes, self.unknown = model.segments, model.longest, model.bytes, model.unknown
+        #: Pieces that the merges reach, by what they are; others are never a token.
+        self.pieces = {piece: i for piece, (i, _) in model.pieces.items() if self.library.encode(piece) == [i]}
+        #: What pieces end with: a search backwards goes on while its text is here. -1 if it is no piece itself.
+        self.endings = {piece[i:]: -1 for piece in self.pieces for i in range(len(piece))} | self.pieces
         self.scores = [self.library.get_score(i) for i in range(self.library.get_piece_size())]
-        values = {i: bytes([b]) for b, i in self.model.bytes.items()}
-        self.surfaces = [values.get(i, n.replace(BLANK, " ").encode()) for i, n in enumerate(self.model.names)]
-
-    def __missing__(self, part: str) -> tuple[int, float, bytes]:
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-        ids = self.library.encode(part)
-        score = sum([self.scores[i] for i in ids])
-        found = self[part] = (len(ids), float(score), np.array(ids, "<u4").tobytes())
-        return found
+        values = {i: bytes([b]) for b, i in model.bytes.items()}
+        self.surfaces = [values.get(i, n.replace(BLANK, " ").encode()) for i, n in enumerate(model.names)]
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._known: dict[str, tuple[int, float, bytes]] = {}
+        self._with_ids = False
 
     @staticmethod
     def escape(text: str) -> str:
         return BLANK + text.replace(" ", BLANK) if text else ""
 
-    def segments(self, escaped: str) -> list[str]:
-        return self.model.segments(escaped)
-
-    def encode_escaped(self, escaped: str) -> tuple[bytes, float]:
-        found = [self[part] for part in self.segments(escaped)]
-        return b"".join([ids for _, _, ids in found]), sum([score for _, score, _ in found], 0.0)
-
-    def encode(self, text: bytes) -> tuple[bytes, float]:
-        """Ids and total score of a whole text."""
-        return self.encode_escaped(self.escape(bytes(text).decode("utf-8", "replace")))
-
-    def count(self, text: bytes) -> tuple[int, int, float]:
-        """Number of parts and pieces, and total score, of a whole text."""
-        found = [self[part] for part in self.segments(self.escape(bytes(text).decode("utf-8", "replace")))]
-        return len(found), sum([n for n, _, _ in found]), sum([score for _, score, _ in found], 0.0)
+    def fallback(self, character: str) -> list[int]:
+        """Ids of a character that no piece has."""
+        raw = character.encode("utf-8", "replace")
+        return [self.bytes.get(b, self.unknown) for b in raw] if self.bytes else [self.unknown]
+
+    def follows(self, left: str, right: str) -> bool:
+        """Whether the tokens ``left`` and ``right`` may stand side by side."""
+        found = self._pairs.get((left, right))
+        if found is None:
+            pieces = self.pieces
+            if left not in pieces or right not in pieces:
+                found = True
+            elif left + right in pieces:
+                found = False
+            else:
+                found = self.library.encode(left + right) == [pieces[left], pieces[right]]
+            if len(self._pairs) >= KEPT_PAIRS:
+                self._pairs.clear()
+            self._pairs[left, right] = found
+        return found
 
-    def decode(self, ids: list[int]) -> str:
+    def token_ids(self, token: str) -> list[int]:
+        own = self.pieces.get(token)
+        return self.fallback(token) if own is None else [own]
+
+    def walk(self, parts: Iterable[str]) -> Iterator[tuple[str, list[int], int, float]]:
+        """Each of the distinct ``parts``, in sorted order: the length of the last token at the end of every prefix, and
+        the number of pieces and total score of the whole.
+
+        Sorted order is the depth-first order of the parts' trie, so each shared prefix is worked on once. The
+        list is used again for the next part.
+        """
+        endings, scores, pairs, follows = self.endings.get, self.scores, self._pairs, self.follows
+        sizes, counts, totals, lasts, before = [0], [0], [0.0], [""], ""
+        for part in sorted(parts):
+            shared, most = 0, min(len(before), len(part))
+            while shared < most and before[shared] == part[shared]:
+                shared += 1
+            del sizes[shared + 1 :], counts[shared + 1 :], totals[shared + 1 :], lasts[shared + 1 :]
+            for end in range(shared + 1, len(part) + 1):
+                # All pieces that end here, the longest last.
+                fitting, start = [], end - 1
+                while start >= 0:
+                    token = part[start:end]
+                    own = endings(token)
+                    if own is None:
+                        break
+                    if own >= 0:
+                        fitting.append((start, token, own))
+                    start -= 1
+                while fitting:
+                    start, token, own = fitting.pop()
+                    if start == 0:
+                        break
+                    left = lasts[start]
+                    fits = pairs.get((left, token))
+                    if fits or (fits is None and follows(left, token)):
+                        break
+                else:
+                    start, token, own = end - 1, part[end - 1], None
+                    if token in self.pieces:
+                        raise RuntimeError(f"no token ends behind {part[:end]!r}")
+                sizes.append(end - start)
+                lasts.append(token)
+                if own is None:
+                    ids = self.fallback(token)
+                    counts.append(counts[start] + len(ids))
+                    totals.append(totals[start] + sum([scores[i] for i in ids]))
+                else:
+                    counts.append(counts[start] + 1)
+                    totals.append(totals[start] + scores[own])
+            yield part, sizes, counts[-1], totals[-1]
+            before = part
+
+    def ids(self, part: str, sizes: list[int]) -> list[int]:
+        """The ids of a part, read backwards off the lengths of ``walk``."""
+        tokens, end = [], len(part)
+        while end:
+            start = end - sizes[end]
+            tokens.append(self.token_ids(part[start:end]))
+            end = start
+        return [i for token in reversed(tokens) for i in token]
+
+    def known(self, parts: list[str], with_ids: bool) -> list[tuple[int, float, bytes]]:
+        """Number, score and, if wanted, ids (32 bits each) of every part; new ones are walked together."""
+        if with_ids and not self._with_ids:  # what is known from counting has no ids
+            self._known.clear()
+        self._with_ids = self._with_ids or with_ids
+        new = {part for part in parts if part not in self._known}
+        if len(self._known) + len(new) > KEPT_PARTS:
+            self._known.clear()
+            self._with_ids, new = with_ids, set(parts)
+        for part, sizes, n, score in self.walk(new):
+            ids = np.array(self.ids(part, sizes), "<u4").tobytes() if self._with_ids else b""
+            self._known[part] = n, score, ids
+        return [self._known[part] for part in parts]
+
+    def encode(self, bodies: list[bytes]) -> Iterator[tuple[int, int, float, bytes]]:
+        """Number of parts and of pieces, total score, and ids of each of the texts."""
+        yield from self._each(bodies, True)
+
+    def count(self, bodies: list[bytes]) -> Iterator[tuple[int, int, float, bytes]]:
+        """As ``encode``, without ids."""
+        yield from self._each(bodies, False)
+
+    def _each(self, bodies: list[bytes], with_ids: bool) -> Iterator[tuple[int, int, float, bytes]]:
+        split = [self.segments(self.escape(bytes(body).decode("utf-8", "replace"))) for body in bodies]
+        lengths = [len(parts) for parts in split]
+        coded = pa.array([part for parts in split for part in parts], pa.large_string()).dictionary_encode()
+        found = self.known(coded.dictionary.to_pylist(), with_ids)
+        places, at = coded.indices.to_numpy(), 0
+        for n in lengths:
+            own = [found[i] for i in places[at : at + n].tolist()]
+            at += n
+            pieces, score = sum([f[0] for f in own]), sum([f[1] for f in own], 0.0)
+            yield n, pieces, score, b"".join([f[2] for f in own]) if with_ids else b""
+
+    def decode(self, ids: bytes, first: bool = True) -> bytes:
+        """The text of ids; in front of a text stands one blank that it does not have."""
         surfaces = self.surfaces
-        return b"".join([surfaces[i] for i in ids]).decode("utf-8", "replace")[1:]
+        text = b"".join([surfaces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return text[1:] if first else text
 
 
 @lru_cache(maxsize=8)

@@ -4,8 +4,9 @@ The forward score of a prefix depends on the prefix alone. The distinct pre-toke
 walked in sorted order, which is the depth-first order of their trie, so each shared prefix is scored once;
 the count at a pre-token's end is kept, and a text's tokens are the sum over its pre-tokens.
 
-That holds for models of the unigram kind. With a model of the BPE kind the distinct pre-tokens are counted as
-the model's own merges cut them (``piece_bpe``).
+For models of the unigram kind that score is the largest one. With a model of the BPE kind the forward state of a
+prefix is the last token of its encoding, which the prefix alone fixes (``piece_bpe``), and the counts are the
+library's.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ def _count_merged(path: str | None):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = piece_bpe(path)
         for rows in batches:
-            totals = pd.DataFrame([encoder.count(t) for t in rows.text], columns=["n_words", "n_tokens", "score"])
+            found = [told[:3] for told in encoder.count(list(rows.text))]
+            totals = pd.DataFrame(found, columns=["n_words", "n_tokens", "score"])
             yield pd.concat([rows[["row_id", "doc_id"]].reset_index(drop=True), totals], axis=1)
 
     return count

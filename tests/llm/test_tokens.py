@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -65,6 +66,7 @@ def test_empty_tables(spark, table, tmp_path):
     assert read_tokens(spark, str(tmp_path / "none")).collect() == []
     assert pack_pieces(token_pieces(empty)).collect() == []
     assert encode_pieces(empty).collect() == [] and token_counts(empty).collect() == []
+    assert merge_pieces(empty).collect() == [] and round_trip(empty).collect() == []
 
 
 def test_stream_pads_its_last_sequence_only():
@@ -138,6 +140,31 @@ def test_counts_agree_with_the_encoder(table, odd_rows):
     assert counts == pieces
 
 
+def test_last_tokens_of_all_prefixes():
+    from scangraph.llm.piece_bpe import piece_bpe
+
+    model, rng = piece_bpe(), random.Random(4)
+    letters = ["th", "e", "in", "g", "▁", "x", "日", "😀", "re", "ation", "S", ".", "1"]
+    words = {"▁" + "".join(rng.choice(letters) for _ in range(rng.randint(0, 7))) for _ in range(400)}
+    words |= {"▁" + "".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 12))) for _ in range(400)}
+    for word, sizes, n, score in model.walk(words):
+        assert model.ids(word, sizes) == model.library.encode(word) and n == len(model.library.encode(word))
+        assert score == sum(model.scores[i] for i in model.library.encode(word))
+        for end in range(1, len(word) + 1):  # one token ends at each place, that of the prefix's encoding
+            assert model.ids(word[:end], sizes[: end + 1]) == model.library.encode(word[:end])
+
+
+def test_a_giant_text_without_blanks(table):
+    from scangraph.llm.piece_bpe import piece_bpe
+
+    rng = random.Random(8)
+    body = "".join(rng.choice(["th", "e", "ing", "s", "at", "ion", "r", "日"]) for _ in range(120_000))
+    (row,) = merge_pieces(table([(1, body)]), chunk=1 << 13, fan_in=4).collect()
+    assert len(body) > 200_000
+    assert np.frombuffer(row.ids, "<u4").tolist() == piece_bpe().library.encode("▁" + body)
+    assert row.decoded_sha256 == hashlib.sha256(body.encode()).hexdigest()
+
+
 def test_trie_shares_prefixes():
     model = Unigram(tokenizer_path("piece_bpe_32k.model"))
     words = {"▁th", "▁the", "▁then", "▁thing", "▁x", "▁日本", "▁"}
@@ -152,8 +179,14 @@ def test_pieces_are_those_of_the_library(table, odd_rows):
     rows = odd_rows + list(enumerate(more, 50))
     expected = [(doc_id, library.encode(text or "")) for doc_id, text in rows]
     docs = table(rows)
-    for chunk in (5, 1 << 14):
-        found = merge_pieces(docs, chunk=chunk).collect()
+    for chunk, fan_in in ((5, 2), (40, 3), (1 << 14, 32)):
+        if chunk == 5:
+            few = [(d, t) for d, t in rows if len(t or "") < 300] + [(90, "ab" * 60 + "thing"), (91, "日本x" * 20)]
+            found = merge_pieces(table(few, "few"), chunk=chunk, fan_in=fan_in).collect()
+            ids = Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in found)
+            assert ids == Counter((d, tuple(library.encode(t or ""))) for d, t in few)
+            continue
+        found = merge_pieces(docs, chunk=chunk, fan_in=fan_in).collect()
         ids = Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.score) for r in found)
         assert ids == Counter((d, tuple(i), float(sum(map(library.get_score, i)))) for d, i in expected)
     crcs = Counter((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in expected)
