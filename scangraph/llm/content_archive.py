@@ -9,6 +9,7 @@ grouping and is split by the adaptive skew join on the way back.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,9 @@ from scangraph.llm.common import scratch
 REVISIT_BYTES = 1000
 
 CRLF = "\r\n"
+END = b"\r\n\r\n"
+#: Records of a WARC file at most, and bytes of records that a reader hands on together.
+FILE_RECORDS, BATCH_BYTES = 50_000, 1 << 24
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -96,7 +100,11 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.when(F.col("top").isNull() | (F.col("top.row_id") == F.col("row_id")), "response").otherwise("revisit"),
     )
     typed.select(_header(date).alias("header"), "digest").write.mode("overwrite").parquet(f"{path}/headers")
-    once = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
+    # A second digest tells whether payloads that share the first one are the same.
+    other = F.sha2("payload", 512)
+    once = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(other).alias("low"), F.max(other).alias("high"))
+    clash = F.raise_error(F.concat(F.lit("different payloads with digest "), "digest")).cast("binary")
+    once = once.select("digest", F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(clash).alias("payload"))
     once.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
     return open_archive(spark, path)
 
@@ -126,7 +134,8 @@ def records(archive: Archive) -> DataFrame:
 def read_pages(archive: Archive) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` from the reconstructed records.
 
-    Digest and length are those of the payload bytes; the other columns are read from the header.
+    Digest and length are those of the payload bytes; the other columns are read from the header. Odd rows are as in
+    ``write_archive``.
     """
     # The header is text before the first empty line; the payload behind it may be any bytes.
     head = F.substring_index(F.col("record").cast("string"), CRLF * 2, 1)
@@ -145,33 +154,93 @@ def read_pages(archive: Archive) -> DataFrame:
 
 
 def export_warc(archive: Archive, path: str, compression: str = "none") -> None:
-    """Write the records as plain WARC files (``gzip`` compresses each file as a whole)."""
+    """Write the records as WARC files (``gzip`` compresses each file as a whole)."""
     # Spark's text writer ends each value with the line feed that a record ends with.
     value = F.col("record").substr(F.lit(1), F.length("record") - 1).cast("string")
     text = records(archive).select(value.alias("value"))
-    text.write.mode("overwrite").option("compression", compression).text(path)
+    writer = text.write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("compression", compression).text(path)
 
 
 def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["record_type", "record_id", "refers_to", "payload_digest", "record", "payload"]
     for files in batches:
         for content in files.content:
-            found, at = [], 0
+            content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
+            found, at, held = [], 0, 0
             while at < len(content):
-                end = content.index(b"\r\n\r\n", at)
-                fields = content[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-                named = {k.lower(): v.strip() for k, _, v in (f.partition(":") for f in fields)}
+                end = content.index(END, at)
+                named = _fields(content[at:end])
                 size = int(named["content-length"])
-                found.append((named["warc-type"], named["warc-record-id"], content[at : end + size + 8]))
-                at = end + size + 8
-            yield pd.DataFrame(found, columns=["record_type", "record_id", "record"])
+                if len(content) < end + size + 8 or content[end + size + 4 : end + size + 8] != END:
+                    raise ValueError(f"record {named.get('warc-record-id')} is not {size} bytes long")
+                record = content[at : end + size + 8]
+                payload = None
+                if named["warc-type"] == "response":
+                    # The block is an HTTP header and as many bytes as that says.
+                    begin = content.index(END, end + 4) + 4
+                    payload = content[begin : end + size + 4]
+                    if int(_fields(content[end + 4 : begin - 4])["content-length"]) != len(payload):
+                        raise ValueError(f"the payload of {named.get('warc-record-id')} is cut off")
+                names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-payload-digest")
+                found.append((*(named.get(n) for n in names), record, payload))
+                at, held = end + size + 8, held + size
+                if held > BATCH_BYTES:
+                    yield pd.DataFrame(found, columns=columns)
+                    found, held = [], 0
+            if found:
+                yield pd.DataFrame(found, columns=columns)
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode("utf-8", "replace").split(CRLF)[1:]
+    return {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``record_type, record_id, record`` of uncompressed WARC files (each a Spark row of up to 2 GB)."""
+    """``record_type, record_id, refers_to, payload_digest, record, payload`` of WARC files, plain or compressed whole.
+
+    Records are cut by their Content-Length; one that is cut off, or whose payload is, is an error. The payload of a
+    revisit is null. A file is one Spark row of up to 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_split_files, "record_type string, record_id string, record binary")
+    kinds = "record_type string, record_id string, refers_to string, payload_digest string, record binary, payload binary"
+    return files.mapInPandas(_split_files, kinds)
+
+
+def read_warc_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``read_pages`` from WARC files alone.
+
+    Length and digest are those of the payload bytes read; a revisit has those of the response that its
+    WARC-Refers-To names, which must be there. A payload that does not have the digest of its record is an error.
+    """
+    page = F.regexp_extract("record_id", r"^<urn:page:(-?\d*):", 1).try_cast("long")
+    told = F.concat(F.lit("sha1:"), F.sha1("payload"))
+    wrong = F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")).cast("string")
+    checked = F.when(F.col("payload").isNull() | (F.col("payload_digest") == told), F.sha1("payload")).otherwise(wrong)
+    read = read_warc(spark, path).select(
+        "record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), checked.alias("payload_digest")
+    )
+    # Written once: records without their payloads, so that files are read and cut once.
+    read = scratch(spark).write(read, "read")
+    responses = read.where("record_type = 'response'")
+    plain = responses.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    about = responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    revisits = read.where("record_type <> 'response'").select(page.alias("page_id"), "refers_to").join(about, "refers_to", "left")
+    lost = F.raise_error(F.concat(F.lit("no response "), "refers_to")).cast("string")
+    target = F.regexp_extract("refers_to", r"^<urn:page:(-?\d*):", 1).try_cast("long").alias("refers_to")
+    digest = F.coalesce("payload_digest", lost).alias("payload_digest")
+    return plain.unionByName(revisits.select("page_id", "payload_bytes", digest, F.lit("revisit").alias("record_type"), target))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to a scratch archive and read its records back."""
-    return read_pages(write_archive(pages, scratch(pages.sparkSession).path("archive")))
+    """Write ``pages`` to a scratch archive, its records as WARC files, and read the files back.
+
+    Null and empty html are empty payloads, null urls have no target field, repeated rows and rows without page_id
+    have a record each, and an empty table gives an empty result; ties between equal payloads are as in
+    ``write_archive``. Other columns are left behind.
+    """
+    spark = pages.sparkSession
+    work = scratch(spark)
+    export_warc(write_archive(pages, work.path("archive")), work.path("warc"), "gzip")
+    return read_warc_pages(spark, work.path("warc"))

@@ -5,7 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from scangraph.llm.bloom_lookup import fingerprints
-from scangraph.llm.content_archive import export_warc, read_pages, read_warc, records, write_archive
+from scangraph.llm.content_archive import (
+    archive_pages,
+    export_warc,
+    read_pages,
+    read_warc,
+    read_warc_pages,
+    records,
+    write_archive,
+)
 
 
 @pytest.fixture
@@ -49,6 +57,32 @@ def test_archive_round_trip(spark, pages, tmp_path):
         bytes(r.record) for r in records(archive).collect()
     )
     assert again.where("record_type = 'revisit'").count() == 3
+    rows_of = lambda df: Counter(map(tuple, df.select(read_pages(archive).columns).collect()))
+    assert rows_of(read_warc_pages(spark, str(tmp_path / "warc"))) == rows_of(read_pages(archive)) == rows_of(archive_pages(table))
+    assert archive_pages(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("damage", "message"), [("cut", "bytes long|cut off|not found"), ("change", "damaged payload"), ("lose", "no response")])
+def test_damaged_files_are_found(spark, pages, tmp_path, damage, message):
+    export_warc(write_archive(pages[1], str(tmp_path / "archive")), str(tmp_path / "warc"))
+    files = sorted((tmp_path / "warc").glob("part*"))
+    texts = [f.read_bytes() for f in files]
+    place = next(i for i, t in enumerate(texts) if b"http://a/8" in t) if damage != "lose" else next(
+        i for i, t in enumerate(texts) if "ü".encode() in t)
+    if damage == "cut":
+        texts[place] = texts[place].replace(b"z" * 1000, b"z" * 999)
+    elif damage == "change":
+        texts[place] = texts[place].replace(b"z" * 1000, b"y" * 1000)
+    else:  # the response goes, its revisits stay
+        first = texts[place]
+        begin = first.rindex(b"WARC/1.1", 0, first.index("ü".encode()))
+        end = first.index("ü".encode()) + 1200 + 4
+        texts[place] = first[:begin] + first[end:]
+    (tmp_path / "damaged").mkdir()
+    for f, t in zip(files, texts, strict=True):
+        (tmp_path / "damaged" / f.name).write_bytes(t)
+    with pytest.raises(Exception, match=message):
+        read_warc_pages(spark, str(tmp_path / "damaged")).collect()
 
 
 def test_damaged_payload_is_found(spark, pages, tmp_path):
