@@ -56,7 +56,8 @@ def raw_domain_names(
     sans: DataFrame, hosts: DataFrame, dns: DataFrame, http: DataFrame, rules: SuffixRules
 ) -> DataFrame:
     """Every name seen in a scan, once."""
-    targets = with_location_host(http.select("location"), "location", rules, "target")
+    # Few URLs stand in many rows; each is parsed and looked up once.
+    targets = with_location_host(http.select("location").distinct(), "location", rules, "target")
     names = union_all(
         [
             sans.select("domain_name"),

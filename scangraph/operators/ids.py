@@ -15,8 +15,10 @@ def dense_ids(keys: DataFrame, key: str, work: Workspace, name: str = "keys") ->
     """Number distinct ``keys`` by rank: 0-based, gap-free and the same in every run.
 
     The keys are range-partitioned and sorted in parallel and written with their position inside the
-    partition. Only the partition sizes, one row each, are summed up to offsets.
+    partition. Only the partition sizes, one row each, are summed up to offsets. Ranges are found by a sample, which
+    reads its input once more, so the keys are written before.
     """
+    keys = work.write(keys.select(key), f"{name}_unordered")
     ordered = keys.select(key).repartitionByRange(key).sortWithinPartitions(key)
     chunk = F.spark_partition_id()
     position = F.monotonically_increasing_id() - F.shiftleft(chunk.cast("long"), _ROW_BITS)

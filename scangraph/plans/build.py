@@ -162,7 +162,7 @@ def build_graph(
     details = {"redirects": work.write(relations.attach_ids(urls, ids), "locations")}
     cert_vertices = work.write(certs, "certs")
     if not work.resume:
-        for name in ("names", "hierarchy", "keys", "redirects"):
+        for name in ("names", "hierarchy", "keys", "keys_unordered", "redirects"):
             work.delete(name)
     return Graph(
         vertices={"cert": cert_vertices, "domain": valued("d", "domain_name"), "ip": valued("ip", "ip")},

@@ -51,7 +51,32 @@ def header_field(column: str) -> str:
 
 
 def _to_text(df: DataFrame, column: str) -> Column:
-    return F.concat_ws(";", column).alias(column) if header_field(column).endswith("[]") else F.col(column)
+    return join_list(F.col(column)).alias(column) if header_field(column).endswith("[]") else F.col(column)
+
+
+def join_list(values: Column) -> Column:
+    """A list as one cell, its values separated by ``;``.
+
+    Importers split at every ``;``, so one inside a value is written ``\\s``, a ``\\`` is written ``\\b``, and
+    an empty value ``\\e``. URLs and dates have none of these and stay as they are; nulls are left out.
+    """
+
+    def written(value: Column) -> Column:
+        marked = F.replace(F.replace(value, F.lit("\\"), F.lit("\\b")), F.lit(";"), F.lit("\\s"))
+        return F.when(value == "", "\\e").otherwise(marked)
+
+    return F.concat_ws(";", F.transform(values.cast("array<string>"), written))
+
+
+def split_list(cell: Column) -> Column:
+    """The values of a cell of ``join_list``; an empty cell has none."""
+
+    def read(value: Column) -> Column:
+        plain = F.replace(F.replace(value, F.lit("\\s"), F.lit(";")), F.lit("\\b"), F.lit("\\"))
+        return F.when(value == "\\e", "").otherwise(plain)
+
+    present = F.coalesce(cell, F.lit("")) != ""
+    return F.when(present, F.transform(F.split(cell, ";"), read)).otherwise(F.array().cast("array<string>"))
 
 
 def write_graph_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -79,9 +104,9 @@ def _typed(field: str) -> Column:
         return raw.try_cast("long").alias(_KEYS[field])
     name, _, kind = field.partition(":")
     if kind == "date[]":
-        return _split(raw).cast("array<date>").alias("scan_dates" if name == "scan_date" else name)
+        return split_list(raw).cast("array<date>").alias("scan_dates" if name == "scan_date" else name)
     if kind == "string[]":
-        return _split(raw).alias(name)
+        return split_list(raw).alias(name)
     if kind in ("date", "boolean"):
         return raw.try_cast(kind).alias(name)
     if kind == "int":
@@ -89,11 +114,6 @@ def _typed(field: str) -> Column:
     return raw.alias(name)
 
 
-def _split(raw: Column) -> Column:
-    present = F.coalesce(raw, F.lit("")) != ""
-    return F.when(present, F.split(raw, ";")).otherwise(F.array().cast("array<string>"))
-
-
 def read_graph_csv(spark: SparkSession, path: str, multi_line: bool = False, header: str | None = None) -> DataFrame:
     """Read one table in the header dialect: a file with header line, or a part directory with a header file
     (``header``, or the one beside it).

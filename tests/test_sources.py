@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scangraph.sources.blocklists import Blocklist, list_members, listed_vertices
 from scangraph.sources.csv_records import quoted_lines
-from scangraph.sources.graph_files import Graph, graph_state, header_field, read_graph, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
+from scangraph.sources.graph_files import Graph, graph_state, header_field, join_list, read_graph, split_list, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import (
     CERTS_PARSED_SCHEMA,
@@ -298,6 +298,15 @@ def test_csv_with_header_line(spark, tmp_path):
     assert set(read_graph(spark, str(tmp_path)).relations) == {"resolves"}
 
 
+def test_list_cells_are_reversible(spark):
+    lists = [[], [""], ["", ""], ["a;b", "\\"], ["\\s", "\\b;", "\\\\s;;"], ["\\e"], ["plain", "http://a/?b=%3B"], [";"], None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i long, v array<string>")
+    rows = df.select("i", join_list(F.col("v")).alias("cell")).select("i", "cell", split_list(F.col("cell")).alias("v"))
+    found = {r.i: (r.cell, r.v) for r in rows.collect()}
+    assert [found[i][1] for i in range(len(lists))] == [v or [] for v in lists]
+    assert found[6][0] == "plain;http://a/?b=%3B" and all((c or "").count(";") == max(0, len(v) - 1) for c, v in found.values())
+
+
 def test_header_dialect(spark, tmp_path):
     columns = ["id", "src", "dst", "scan_date", "scan_dates", "locations", "isCa", "inDegree", "subject"]
     assert [header_field(c) for c in columns] == [

@@ -37,7 +37,7 @@ from scangraph.sources import blocklists
 from scangraph.sources.blocklists import Blocklist
 from scangraph.sources.certificates import pem_to_der, with_fingerprints
 from scangraph.sources.experiment import Experiment, read_scores
-from scangraph.sources.graph_files import Graph, read_graph, write_graph
+from scangraph.sources.graph_files import Graph, read_graph, read_graph_csv, write_graph, write_graph_csv
 from scangraph.sources.resolver import flatten_answers
 from scangraph.sources.scans import HOSTS_COLUMNS, HOSTS_SCHEMA, load_csv
 from scangraph.storage import Workspace, list_names
@@ -474,6 +474,17 @@ def stored_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.typed_union(read_graph(spark, folder).relations)
 
 
+@query
+def graph_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose scan sources are free text, with the separator and the escape sign in it, through graph CSV."""
+    odd = views.odd_sources(graph(spark, sf_dir)["resolves"])
+    path = Workspace.fresh(spark).path("resolves.relation")
+    write_graph_csv(odd, path)
+    found = read_graph_csv(spark, path)
+    rows = found.select("src", "dst", "valid", F.posexplode_outer("scan_src").alias("place", "scan_src"))
+    return rows
+
+
 @query
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of lists that changed between two runs, written as CSV and read back."""

@@ -432,6 +432,12 @@ ALL: dict[str, str] = {
     "graph_ips": _FULL
     + "select id, substring(guid, 4) as ip, inDegree, outDegree from indexed where starts_with(guid, 'ip_')",
     "graph_degrees": _FULL + "select * from degree",
+    "graph_csv_round_trip": _FULL
+    + r"""select src, dst, valid, place, case when place is not null then odd[place + 1] end as scan_src from (
+        select src, dst, valid, odd, unnest(case when len(odd) = 0 then [null] else range(0, len(odd)) end)::integer as place
+        from (select src, dst, valid, case when (src + dst) % 5 = 0 then []::varchar[] when (src + dst) % 11 = 0 then ['']
+            else [concat('list; of ', (src + dst) % 7, '\s'), case when (src + dst) % 3 = 0 then '' else '\b\' end, scan_src] end as odd
+            from rels where type = 'resolves'))""",
     "distinct_degrees": _FULL
     + f"""select id, {_DEGREES_BY_SET} from (select src as id, dst as other, type, 0 as i from rels
         union all select dst, src, type, 1 from rels) group by id""",

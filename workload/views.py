@@ -216,6 +216,18 @@ def write_hosts_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
     rows.write.options(**options).csv(path, header=True)
 
 
+def odd_sources(resolves: DataFrame) -> DataFrame:
+    """Edges with sources that hold separators, escape signs and nothing, or none at all."""
+    number = F.col("src") + F.col("dst")
+    odd = F.array(
+        F.concat(F.lit("list; of "), _text(number % 7), F.lit("\\s")),
+        F.when(number % 3 == 0, "").otherwise("\\b\\"),
+        F.concat_ws(";", "scan_src"),
+    )
+    none = F.array().cast("array<string>")
+    return resolves.withColumn("scan_src", F.when(number % 5 == 0, none).when(number % 11 == 0, F.array(F.lit(""))).otherwise(odd))
+
+
 def resolver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line per page: a name, two aliases in a row, both address kinds, and a cycle."""
     p = F.col("page_id")
