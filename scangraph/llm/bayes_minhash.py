@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scangraph.llm.common import ROW_NUMBER, scratch, stored, texts
+from scangraph.llm.common import row_column, scratch, stored, texts
 from scangraph.llm.components import components
 
 BANDS, BAND_ROWS = 48, 6
@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     true for one row of each component, that with the smallest doc_id (null last), then the first.
     """
     work = scratch(docs.sparkSession)
-    docs = docs if ROW_NUMBER in docs.columns else stored(docs.select("doc_id", "text"), work)
+    docs = docs if row_column(docs) else stored(docs.select("doc_id", "text"), work)
     sets = work.write(texts(docs).mapInPandas(_sign(shingle_words), _SET), "sets")
     heads = sets.select("row_id", "words_digest").where("words_digest is not null")
     classes = work.write(heads.groupBy("words_digest").agg(F.min("row_id").alias("node")), "classes")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scangraph.llm.common import ROW_NUMBER, scratch, stored
+from scangraph.llm.common import row_column, scratch, stored
 
 #: Cells of each of the three subtables, and expected digests of a section when a sketch is retried.
 WIDTH, SECTION = 11, 10
@@ -220,9 +220,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     work = scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = stored(docs.select("doc_id", "text"), work)
-    bodies = docs.select(F.col(ROW_NUMBER).alias("row_id"), text.alias("text"))
+    number = row_column(docs)
+    bodies = docs.select(F.col(number).alias("row_id"), text.alias("text"))
     rows = docs.select(
-        F.col(ROW_NUMBER).alias("row_id"),
+        F.col(number).alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.sha2(text, 256).alias("digest"),
         F.char_length(text).cast("long").alias("n_chars"),

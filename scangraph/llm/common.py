@@ -13,8 +13,8 @@ from scangraph.storage import Workspace
 #: A-Z only; every other character keeps its case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Column of a row's number in tables that ``stored`` has written.
-ROW_NUMBER = "_scangraph_row"
+#: Tells the column of a row's number in tables that ``stored`` has written, whatever the column is called.
+_ROW_MARK = "scangraph_row_number"
 
 #: Called with each new workspace, so that a pipeline can delete it once its stage is written.
 _listeners: list[Callable[[Workspace], None]] = []
@@ -41,6 +41,11 @@ def on_scratch(listener: Callable[[Workspace], None]) -> Callable[[], None]:
     return lambda: _listeners.remove(listener)
 
 
+def row_column(docs: DataFrame) -> str | None:
+    """The column with the row numbers of ``stored``. A caller's own column of the same name is not one."""
+    return next((f.name for f in docs.schema.fields if f.metadata.get(_ROW_MARK)), None)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row_id, doc_id, text`` of every row: null text is empty, text is UTF-8 bytes.
 
@@ -48,7 +53,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     tells repeated rows apart. Another scan may number rows otherwise, as splits follow the cores there are:
     numbers that are joined on must come from a table that ``stored`` has written.
     """
-    number = F.col(ROW_NUMBER) if ROW_NUMBER in docs.columns else F.monotonically_increasing_id()
+    name = row_column(docs)
+    number = F.monotonically_increasing_id() if name is None else F.col(f"`{name}`")
     return docs.select(
         number.alias("row_id"),
         F.col(id_col).cast("long").alias("doc_id"),
@@ -58,27 +64,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def stored(docs: DataFrame, work: Scratch) -> DataFrame:
     """``docs`` with row numbers, written once, so that every later scan reads the same ones."""
-    return docs if ROW_NUMBER in docs.columns else work.write(numbered(docs, ROW_NUMBER), "numbered")
-
-
-def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
-    """``docs`` with the row number of ``texts``."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    if row_column(docs) is not None:
+        return docs
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:  # never an own column of the documents
+        name += "_"
+    number = F.monotonically_increasing_id().alias(name, metadata={_ROW_MARK: True})
+    return work.write(docs.select("*", number), "numbered")
 
 
 def keep_rows(docs: DataFrame, row_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``row_ids`` (one column), with all their columns.
+    """The rows of ``docs``, which ``stored`` gave, whose number is in ``row_ids`` (one column), without the number.
 
-    The row numbers of ``stored`` are read and left out; without them, they are made as ``texts`` makes them.
+    Rows with nulls, equal rows and columns of any name are kept as they are; numbers that no row has, and repeated
+    ones, change nothing, and an empty table gives an empty result.
     """
-    if ROW_NUMBER in docs.columns:
-        kept = docs.join(row_ids.toDF(ROW_NUMBER), ROW_NUMBER, "left_semi")
-        return kept.select(*(F.col(f"`{c}`") for c in docs.columns if c != ROW_NUMBER))
-    name = "row_id"
-    while name in docs.columns:  # never an own column of the documents
-        name += "_"
-    wanted = row_ids.toDF(name)
-    return numbered(docs, name).join(wanted, name, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = row_column(docs)
+    if name is None:
+        raise ValueError("rows are told by the numbers that stored() writes")
+    kept = docs.join(row_ids.toDF(name), name, "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns if c != name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

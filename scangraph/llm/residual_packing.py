@@ -170,7 +170,9 @@ def pack_pieces(
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``docs``.
 
-    Null and empty texts are one piece of one token; an empty table has no sequences.
+    Null and empty texts are one piece of one token; an empty table has no sequences. Repeated rows and rows without
+    doc_id are packed each. Of equal pieces any may come first: which sequence one is in is not fixed, that all are
+    placed is. Texts of any length are cut into pieces of ``capacity``.
     """
     packed = pack_pieces(token_pieces(docs, tokenizer, capacity), capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

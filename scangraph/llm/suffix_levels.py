@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scangraph.llm.common import ROW_NUMBER, scratch, stored, texts
+from scangraph.llm.common import row_column, scratch, stored, texts
 
 LENGTH, ANCHOR = 50, 16
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
@@ -394,8 +394,9 @@ def without_passages(docs: DataFrame) -> DataFrame:
     while name in docs.columns:
         name += "_"
     rows = stored(docs, scratch(docs.sparkSession))
-    spans = repeated_passages(rows).select(F.col("row_id").alias(ROW_NUMBER), F.col("spans").alias(name))
-    joined = rows.join(spans, ROW_NUMBER).select(F.col(name), *(F.col(f"`{c}`") for c in docs.columns))
+    number = row_column(rows)
+    spans = repeated_passages(rows).select(F.col("row_id").alias(number), F.col("spans").alias(name))
+    joined = rows.join(spans, number).select(F.col(name), *(F.col(f"`{c}`") for c in docs.columns))
     columns, schema = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

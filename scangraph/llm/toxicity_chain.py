@@ -231,7 +231,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, chain: list[Link]) -> DataFrame:
-    """The rows of ``docs`` that the chain's last category is not told of, with all their columns."""
+    """The rows of ``docs`` that the chain's last category is not told of, with all their columns.
+
+    Null and empty texts have no words and are judged by that; repeated rows are judged alike, rows without doc_id and
+    texts of any length like others, and an empty table gives an empty result.
+    """
     place, cut = docs.columns.index("text"), chain[-1].cut
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

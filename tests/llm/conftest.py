@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns that operators use inside.
-CLASHING = "row_id name node batch g keep_id bucket text_sha256 row_id_ digest chunk section".split()
+CLASHING = "row_id _row _scangraph_row name node batch g keep_id bucket text_sha256 row_id_ digest chunk section".split()
 
 
 @pytest.fixture

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from scangraph.llm.bayes_minhash import least_matches, near_duplicates, shingle_set, words_of
-from scangraph.llm.common import keep_rows, texts
+from scangraph.llm.common import Scratch, keep_rows, row_column, stored, texts
 from scangraph.llm.components import components
 from scangraph.llm.exact_dedup import exact_duplicates
 from scangraph.llm.suffix_levels import LENGTH, LevelIndex, repeated_passages, window_anchors, without_passages
@@ -175,7 +175,9 @@ def test_equal_windows_have_equal_anchors():
     assert anchors[90] == anchors[90 + LENGTH + 7]
 
 
-def test_keep_rows_keeps_all_columns(table, odd_rows):
-    docs = table(odd_rows)
+def test_keep_rows_keeps_all_columns(spark, table, odd_rows):
+    docs = stored(table(odd_rows), Scratch.fresh(spark))
+    assert row_column(docs) == "_row_"  # the table has a column _row of its own, which is not trusted
     numbers = texts(docs).where("text = cast('one' as binary)").select("row_id")
-    assert [(r.doc_id, r.row_id) for r in keep_rows(docs, numbers).collect()] == [(10, "x")]
+    assert [(r.doc_id, r.row_id, r._row) for r in keep_rows(docs, numbers.union(numbers)).collect()] == [(10, "x", "x")]
+    assert keep_rows(docs, numbers.limit(0)).collect() == []
