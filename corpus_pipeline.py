@@ -26,25 +26,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go. Null and empty texts are not toxic by themselves; every other row stays, with its columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return without_toxic(docs, fit_chain(docs, labels))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the row with the largest doc_id stays (null last, then the last row);
+    null and empty texts are equal.
+    """
     docs = stored(docs, scratch(spark))
     return keep_rows(docs, exact_duplicates(docs).where("kept").select("row_id"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the row with the smallest doc_id stays (null last, then the first row). Texts without
+    words are nobody's copy.
+    """
     docs = stored(docs, scratch(spark))
     return keep_rows(docs, near_duplicates(docs, shingle_words=5).where("first_row").select("row_id"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of texts; every row stays, also one of which nothing is left."""
     return without_passages(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the texts; null and empty ones are one token each."""
     return pack_documents(docs)
 
 

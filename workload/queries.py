@@ -415,6 +415,14 @@ def score_anomalies_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(anomalies(_propagated(spark, sf_dir, "3 rounds")))
 
 
+@query
+def score_anomalies_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores above 1 where stored degrees are too small, as in a graph whose tables don't belong together."""
+    vertices = vertex_union(graph(spark, sf_dir).vertices).select("id", F.lit(1).cast("long").alias("outDegree"))
+    scores = propagate(spark, vertices, _relations(spark, sf_dir), _seeds(spark, sf_dir), **_RUNS["3 rounds"])
+    return _rounded(anomalies(scores))
+
+
 @query
 def affected_3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affected_counts(_propagated(spark, sf_dir, "3 rounds"))

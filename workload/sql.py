@@ -466,6 +466,10 @@ ALL: dict[str, str] = {
         from state3 where not fixed group by all""",
     "score_anomalies_3_rounds": _SCORED
     + "select experiment, id, round(score, 8) as score, fixed from state3 where score > 1.0",
+    "score_anomalies_planted": _with(
+        _VIEWS, _GRAPH, _SEEDS, _rounds(3, "select distinct src, dst from rels", "select id, 1 as outDegree from indexed")
+    )
+    + "select experiment, id, round(score, 8) as score, fixed from state3 where score > 1.0",
     "scores_converged": _CONVERGED
     + f"""select experiment, guid as name, round(score, 8) as score, fixed
         from state{CONVERGED} join indexed using (id)""",
