@@ -1,6 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of their paragraphs, in SQL functions only.
 
-A paragraph is a non-empty line; its digest goes into one cell of each of three subtables. A cell holds a
+A paragraph is a non-empty line or a part of a long one: lines are cut behind words that a hash chooses, about one in
+``CUT_WORDS``, so that a text of few lines has paragraphs, too, and cuts stay where they are when words are put in
+elsewhere. Its digest goes into one cell of each of three subtables. A cell holds a
 count and the exclusive or of digests and of their check values. The difference of two sketches is the
 sketch of the paragraphs that only one text has, and peeling cells that hold a single digest recovers them.
 Where that fails, because the texts differ in more than a sketch can hold, the digests are dealt to as many
@@ -16,14 +18,33 @@ from scangraph.llm.common import row_column, scratch, stored
 
 #: Cells of each of the three subtables, and expected digests of a section when a sketch is retried.
 WIDTH, SECTION = 11, 10
+#: One in so many words ends a paragraph, and one at every so many words of a line does in any case.
+CUT_WORDS, MOST_WORDS = 16, 32
 _CHECK_SEED, _TABLES = 7919, 3
 _EMPTY = "named_struct('n', 0L, 'key', 0L, 'mark', 0L)"
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, in order."""
+
+    def cut(line: Column) -> Column:
+        ended = F.transform(
+            F.split(line, " "),
+            lambda word, i: F.when(
+                (F.pmod(F.xxhash64(word), F.lit(CUT_WORDS)) == 0) | (i % MOST_WORDS == MOST_WORDS - 1),
+                F.concat(word, F.lit("\n")),
+            ).otherwise(F.concat(word, F.lit(" "))),
+        )
+        return F.array_join(ended, "")
+
+    # Only lines of several words are cut: a short one is a paragraph.
+    lines = F.transform(F.split(text, "\n"), lambda line: F.when(F.length(line) > 80, cut(line)).otherwise(line))
+    return F.filter(F.split(F.array_join(lines, "\n"), "\n"), lambda piece: piece != "")
+
+
 def paragraph_digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the non-empty lines."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line != "")
-    return F.array_distinct(F.transform(lines, lambda line: F.xxhash64(line)))
+    """Distinct 64-bit digests of the paragraphs."""
+    return F.array_distinct(F.transform(paragraphs(text), lambda piece: F.xxhash64(piece)))
 
 
 def _mark(key: Column) -> Column:
@@ -41,20 +62,26 @@ def _cell(n: Column, key: Column, mark: Column) -> Column:
 def sketch(digests: Column, seed: Column) -> Column:
     """``3 * WIDTH`` cells (n, key, mark), subtable after subtable."""
 
-    def cell(table: int, place: Column) -> Column:
-        own = F.filter(digests, lambda k: _place(k, table, seed) == place)
-        return F.aggregate(
-            own,
-            F.expr(_EMPTY),
-            lambda c, k: _cell(c["n"] + 1, c["key"].bitwiseXOR(k), c["mark"].bitwiseXOR(_mark(k))),
-        )
+    def placed(k: Column) -> Column:
+        places = [_place(k, table, seed).alias(f"p{table}") for table in range(_TABLES)]
+        return F.struct(k.alias("key"), _mark(k).alias("mark"), *places)
+
+    def cells(known: Column) -> Column:
+        def cell(table: int, place: Column) -> Column:
+            return F.aggregate(
+                F.filter(known, lambda d: d[f"p{table}"] == place),
+                F.expr(_EMPTY),
+                lambda c, d: _cell(c["n"] + 1, c["key"].bitwiseXOR(d["key"]), c["mark"].bitwiseXOR(d["mark"])),
+            )
 
-    places = F.sequence(F.lit(0), F.lit(WIDTH - 1))
+        def subtable(table: int) -> Column:
+            places = F.sequence(F.lit(0), F.lit(WIDTH - 1))
+            return F.transform(places, lambda place: cell(table, place))
 
-    def subtable(table: int) -> Column:
-        return F.transform(places, lambda place: cell(table, place))
+        return F.concat(*map(subtable, range(_TABLES)))
 
-    return F.concat(*map(subtable, range(_TABLES)))
+    # Each digest is placed once: the variable of a lambda is not worked out again where it is used.
+    return F.transform(F.array(F.transform(digests, placed)), cells)[0]
 
 
 def difference(left: Column, right: Column) -> Column:
