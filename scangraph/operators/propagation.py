@@ -234,6 +234,66 @@ def next_state(state: DataFrame, oneway: DataFrame, mutual: DataFrame) -> DataFr
     )
 
 
+def changed_senders(state: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``senders`` whose score is not the one that their neighbours have; ``score`` is what it changed by."""
+    new = F.coalesce("known", F.lit(False))
+    moved = state.where(F.col("score").isNotNull() & (~new | (F.col("score") != F.col("old_score"))))
+    change = moved.withColumn("score", F.col("score") - F.col("old_score")).withColumn("first", ~new)
+    spread = change.join(F.broadcast(hubs), "id", "left")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1)
+    return spread.select("experiment", F.col("id").alias("dst"), F.explode(salts).alias("salt"), "score", "first")
+
+
+def mutual_changes(
+    changed: DataFrame, fixed: DataFrame, topology: Topology, previous: DataFrame | None
+) -> DataFrame:
+    """What messages along edges in both directions change by, where they do.
+
+    A message is a score less the echo, so its change is the score's less the echo's share of the change of the
+    message before. ``fixed`` are the senders that owe nothing. The first message along an edge counts even if it is 0.
+    """
+    columns = ["experiment", "src", "back", "dst", "src_degree"]
+    changes = changed.join(topology.mutual, _KEY).select(*columns, F.col("score").alias("message"), "first")
+    if previous is not None:
+        echo = previous.where(F.col("src_degree") > 0).select(
+            F.col("src").alias("dst"),
+            F.col("back").alias("salt"),
+            F.col("dst").alias("src"),
+            "experiment",
+            (-F.col("message") / F.col("src_degree")).alias("message"),
+        )
+        owed = echo.join(fixed.select("experiment", *_KEY), ["experiment", *_KEY], "left_anti")
+        owed = owed.join(topology.mutual, [*_KEY, "src"]).select(*columns, "message", F.lit(False).alias("first"))
+        changes = changes.unionByName(owed)
+    summed = changes.groupBy(*columns).agg(F.sum("message").alias("message"), F.max("first").alias("first"))
+    return summed.where(F.col("first") | (F.col("message") != 0))
+
+
+def next_state_of_changes(state: DataFrame, oneway: DataFrame, mutual: DataFrame) -> DataFrame:
+    """``next_state`` from sums of messages that are kept, and what messages changed by."""
+    none = {"old_score": "double", "fixed": "boolean", "known": "boolean"}
+    received = [
+        m.select(
+            "experiment",
+            F.col("src").alias("id"),
+            "message",
+            *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()],
+            F.col("src_degree").alias("out_degree"),
+        )
+        for m in (oneway, mutual)
+    ]
+    known = F.col("score").isNotNull().alias("known")
+    kept = state.select(
+        "experiment", "id", F.col("total").alias("message"), F.col("score").alias("old_score"), "fixed", known, "out_degree"
+    )
+    most = [F.max(c).alias(c) for c in ("old_score", "fixed", "known", "out_degree")]
+    merged = union_all([*received, kept]).groupBy("experiment", "id").agg(F.sum("message").alias("total"), *most)
+    mean = F.when(F.col("out_degree") > 0, F.col("total") / F.col("out_degree"))
+    score = F.when(F.coalesce(F.col("fixed"), F.lit(False)), F.lit(1.0)).otherwise(mean)
+    old = F.coalesce("old_score", F.lit(0.0)).alias("old_score")
+    return merged.select("experiment", "id", score.alias("score"), old, "fixed", "out_degree", "total", "known")
+
+
 def _moved(epsilon: float) -> Column:
     return F.abs(F.col("score") - F.col("old_score")) >= epsilon
 
@@ -293,6 +353,7 @@ def _run_rounds(
     work: Workspace,
     log: RoundLog,
     on_round: Callable[[int], None] | None,
+    only_changes: bool = False,
 ) -> tuple[list[DataFrame], list[tuple[int, int, int]]]:
     """Final states, each experiment in exactly one of them, and (experiment, round, changed) of all rounds."""
     messages = None
@@ -309,13 +370,21 @@ def _run_rounds(
             finished = [*finished, (at.state, done)]
             active = state.where(~F.col("experiment").isin(done))
 
-        sent = senders(active, topology.hubs)
-        mutual = store_messages(mutual_messages(sent, topology, messages), topology, work, f"messages-{step}")
+        if only_changes:
+            sent = changed_senders(active, topology.hubs)
+            fixed = senders(active.where("fixed"), topology.hubs)
+            # Experiments that stopped in the round before have messages in it, too.
+            own = None if messages is None else messages.where(F.col("experiment").isin(moving))
+            made, following_state = mutual_changes(sent, fixed, topology, own), next_state_of_changes
+        else:
+            sent = senders(active, topology.hubs)
+            made, following_state = mutual_messages(sent, topology, messages), next_state
+        mutual = store_messages(made, topology, work, f"messages-{step}")
         oneway = sent.join(topology.oneway, _KEY)
         oneway = oneway.select("experiment", "src", "src_degree", F.col("score").alias("message"))
         following = f"state-{step + 1}"
         work.delete(following)  # left by a run that was stopped
-        _, changed = write_counted(next_state(active, oneway, mutual), moving, epsilon, work, following)
+        _, changed = write_counted(following_state(active, oneway, mutual), moving, epsilon, work, following)
         history = [*at.history, *((code, step + 1, n) for code, n in changed.items())]
         before, at = at, _Rounds(step + 1, following, changed, finished, history)
         at.log(log, topology.buckets)
@@ -329,7 +398,7 @@ def _run_rounds(
         if on_round:
             on_round(step + 1)
     finished = [work.read(name).where(F.col("experiment").isin(codes)) for name, codes in at.finished]
-    return [*finished, work.read(at.state)], at.history
+    return [df.select("experiment", "id", "score", "fixed") for df in (*finished, work.read(at.state))], at.history
 
 
 def propagate(
@@ -341,6 +410,7 @@ def propagate(
     max_iter: int = 100,
     bidirectional: bool = False,
     degree: str = "parallel",
+    only_changes: bool = False,
     work: Workspace | None = None,
     edges_per_split: int = EDGES_PER_SPLIT,
     buckets: int | None = None,
@@ -358,6 +428,10 @@ def propagate(
     the latter for directed edges too, in place of ``outDegree``, which counts parallel edges: the shares that a
     vertex takes then add up to 1.
 
+    With ``only_changes`` a round sends what messages changed by, and only where they did: sums of messages are kept with
+    the scores. Rounds get cheaper as scores settle; sums may differ in the last digits, so a score that should be 0
+    may be next to it.
+
     ``report`` is filled with (experiment, round, number of vertices that moved by ``epsilon`` or more). An
     experiment whose last number is not 0 had not converged by ``max_iter``.
 
@@ -372,7 +446,7 @@ def propagate(
     if work.resume:
         inputs = ((vertices, ["id", "outDegree"]), (edges, ["src", "dst"]), (seeds, ["experiment", "id"]))
         contents = [content_fingerprint(df.select(*columns), *columns) for df, columns in inputs]
-        run = fingerprint(*contents, epsilon, max_iter, bidirectional, degree, edges_per_split, buckets)
+        run = fingerprint(*contents, epsilon, max_iter, bidirectional, degree, only_changes, edges_per_split, buckets)
     log = RoundLog(work, run)
     entry = log.last()
     if entry and entry.get("complete"):
@@ -395,14 +469,17 @@ def propagate(
             coded, codes = number_experiments(work.write(seeds.select("experiment", "id").distinct(), "seeds"))
             topology = prepare_topology(vertices, edges, work, edges_per_split, buckets)
             every = [row.code for row in codes.collect()]
-            _, changed = write_counted(initial_state(coded, vertices), every, epsilon, work, "state-0")
+            start = initial_state(coded, vertices)
+            if only_changes:
+                start = start.withColumns({"total": F.lit(None).cast("double"), "known": F.lit(False)})
+            _, changed = write_counted(start, every, epsilon, work, "state-0")
             at = _Rounds(0, "state-0", changed, [], [(code, 0, n) for code, n in changed.items()])
             at.log(log, topology.buckets)
         else:
             _, codes = number_experiments(work.read("seeds"))
             topology, at = _stored_topology(work, entry["buckets"]), _Rounds.of(entry)
         with buckets_trusted(spark):
-            finished, history = _run_rounds(topology, at, epsilon, max_iter, work, log, on_round)
+            finished, history = _run_rounds(topology, at, epsilon, max_iter, work, log, on_round, only_changes)
         names = {row.code: row.experiment for row in codes.collect()}
         named = [(names[code], step, changed) for code, step, changed in history]
         if report is not None:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from scangraph.operators import propagation
 from scangraph.operators.degrees import kind_masks, mask_degrees
 from scangraph.operators.propagation import (
     bucket_count,
@@ -123,6 +124,47 @@ def test_random_graph_matches_definition(spark, edges_per_split, epsilon, max_it
         assert_close(got[name], by_definition(edges, degrees, ids, epsilon, max_iter))
 
 
+@pytest.mark.parametrize("edges_per_split,epsilon,max_iter", [(1_000_000, 0.0, 4), (7, 0.02, 100)])
+def test_changes_give_the_same_scores(spark, edges_per_split, epsilon, max_iter):
+    edges, degrees, seeds = random_graph(5)
+    rows = [(name, s) for name, ids in seeds.items() for s in ids]
+    settings = {"epsilon": epsilon, "max_iter": max_iter, "edges_per_split": edges_per_split, "buckets": 3}
+    got = scores(propagate(spark, *frames(spark, edges, degrees, rows), **settings, only_changes=True))
+    for name, ids in seeds.items():
+        assert_close(got[name], by_definition(edges, degrees, ids, epsilon, max_iter))
+
+
+def test_changes_of_experiments_that_stop_at_different_rounds(spark):
+    chain = [(i, i + 1) for i in range(9)] + [(i + 1, i) for i in range(9)] + [(20, 21), (21, 20)]
+    degrees = {v: sum(u == v for u, _ in chain) for v in {v for e in chain for v in e}}
+    inputs = frames(spark, chain, degrees, [("long", 0), ("short", 20)])
+    got = propagate(spark, *inputs, epsilon=0.001, only_changes=True)
+    assert got.count() == got.select("experiment", "id").distinct().count()
+    for name, seed in (("long", 0), ("short", 20)):
+        assert_close(scores(got)[name], by_definition(chain, degrees, {seed}, 0.001, 100))
+
+
+def test_changes_sent_follow_the_frontier(spark, monkeypatch):
+    # A chain in both directions, and many vertices that point at its end and settle at once.
+    chain = [(i, i + 1) for i in range(12)] + [(i + 1, i) for i in range(12)]
+    edges = chain + [(100 + i, 12) for i in range(300)]
+    degrees = {v: sum(u == v for u, _ in edges) for v in {v for e in edges for v in e}}
+    sent = {True: [], False: []}
+    for only in (True, False):
+        name = "next_state_of_changes" if only else "next_state"
+        plain = getattr(propagation, name)
+
+        def counted(state, oneway, mutual, plain=plain, own=sent[only]):
+            own.append(oneway.count() + mutual.count())
+            return plain(state, oneway, mutual)
+
+        monkeypatch.setattr(propagation, name, counted)
+        inputs = frames(spark, edges, degrees, [("a", 12)])
+        got = scores(propagate(spark, *inputs, epsilon=0.0, max_iter=7, only_changes=only, buckets=2))
+        assert_close(got["a"], by_definition(edges, degrees, {12}, 0.0, 7))
+    assert min(sent[False]) > 300 and max(sent[True][1:]) < 30 < sent[True][0]
+
+
 def test_bidirectional_uses_distinct_neighbours(spark):
     edges = [(0, 1), (1, 0), (1, 2), (1, 2), (3, 1)]
     mirrored = {(u, v) for a, b in edges for u, v in ((a, b), (b, a))}

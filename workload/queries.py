@@ -108,6 +108,7 @@ _RUNS = {
     "3 rounds, both ways": {"epsilon": 0.0, "max_iter": 3, "bidirectional": True},
     "3 rounds, distinct neighbours": {"epsilon": 0.0, "max_iter": 3, "degree": "distinct"},
     "converged": {"epsilon": 0.01, "max_iter": 100},
+    "converged, by changes": {"epsilon": 0.01, "max_iter": 100, "only_changes": True},
 }
 
 
@@ -128,7 +129,7 @@ def _propagated(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 8))
+    return df.withColumn("score", F.round("score", 8) + F.lit(0.0))  # no negative zero
 
 
 # Scalar functions
@@ -451,6 +452,14 @@ def scores_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(named.select("experiment", "name", "score", "fixed"))
 
 
+@query
+def scores_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The converging run in which a round sends only what has changed."""
+    scores = _propagated(spark, sf_dir, "converged, by changes")
+    named = scores.join(_natural_keys(graph(spark, sf_dir)), "id")
+    return _rounded(named.select("experiment", "name", "score", "fixed"))
+
+
 class _StoppedError(Exception):
     pass
 

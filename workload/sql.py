@@ -487,5 +487,5 @@ ALL: dict[str, str] = {
 }
 
 # What is stopped and resumed, or written and read back, must be what it is without that.
-ALL["scores_resumed"] = ALL["stored_scores"] = ALL["scores_converged"]
+ALL["scores_by_changes"] = ALL["scores_resumed"] = ALL["stored_scores"] = ALL["scores_converged"]
 ALL["stored_graph_edges"] = ALL["typed_edges"]
