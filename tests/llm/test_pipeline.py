@@ -80,3 +80,34 @@ def test_rows_keep_their_numbers_when_splits_change(spark, table, monkeypatch):
             for key in one_split:
                 spark.conf.unset(key)
         assert len(expected) in (len(rows), len(rows) - 39), name
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, table, odd_rows, tmp_path, empty):
+    """Nulls in every column, empty and long texts, repeated rows and clashing columns, or no rows at all."""
+    rows = [] if empty else odd_rows
+    docs = table(rows, "documents.parquet")
+    labels = [] if empty else [(1, 1, 0), (2, 1, 0), (None, 1, 1), (3, None, 0), (4, 0, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs.collect()
+        if name != "best_fit_packing":
+            assert docs.columns == columns and all(r.row_id == r._row == "x" for r in seen[name])
+    kept = {name: [(r.doc_id, r.text) for r in own] for name, own in seen.items() if name != "best_fit_packing"}
+    assert sorted(kept["toxicity"], key=repr) == sorted(rows, key=repr)
+    last = {}
+    for doc_id, text in rows:
+        last[folded(text)] = max((i for i in (doc_id, last.get(folded(text))) if i is not None), default=None)
+    assert sorted(map(repr, (i for i, _ in kept["exact_dedup"]))) == sorted(map(repr, last.values()))
+    assert len(kept["minhash_near_dedup"]) == (0 if empty else links(kept["exact_dedup"], 5)[1])
+    assert len(kept["suffix_array_dedup"]) == len(kept["minhash_near_dedup"])
+    packed = seen["best_fit_packing"]
+    assert {r.doc_id for r in packed} == {i for i, _ in kept["suffix_array_dedup"]}
+    fills = {}
+    for r in packed:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert all(n <= 2048 for n in fills.values())
