@@ -297,9 +297,8 @@ def _merged(path: str | None, size: int, keep_ids: bool):
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = piece_bpe(path)
         for rows in batches:
-            bodies = [bytes(text) for text in rows.text]
-            escaped = [model.escape(b.decode("utf-8", "replace")) if len(b) >= size else "" for b in bodies]
-            short = [b if len(e) <= size else b"" for b, e in zip(bodies, escaped, strict=True)]
+            escaped = [model.escape(bytes(b).decode("utf-8", "replace")) if len(b) >= size else "" for b in rows.text]
+            short = (b if len(e) <= size else b"" for b, e in zip(rows.text, escaped, strict=True))
             out = []
             about = zip(rows.row_id, rows.doc_id, escaped, model.encode(short), strict=True)
             for row_id, doc_id, text, (_, n, score, ids) in about:

@@ -17,12 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from scangraph.llm.common import tokenizer_path
 from scangraph.llm.unigram import BLANK, MODEL, Unigram
 
-#: Answers on neighbours, and parts, that a worker keeps; beyond that it starts afresh.
-KEPT_PAIRS, KEPT_PARTS = 400_000, 300_000
+#: Answers on neighbours that a worker keeps, and parts that it has asked for last (at most twice as many are kept).
+KEPT_PAIRS, KEPT_PARTS = 250_000, 150_000
+#: Bytes of text whose parts are looked up together.
+TOGETHER = 4 << 20
 
 
 class PieceBpe:
@@ -48,6 +51,7 @@ class PieceBpe:
         self.surfaces = [values.get(i, n.replace(BLANK, " ").encode()) for i, n in enumerate(model.names)]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._known: dict[str, tuple[int, float, bytes]] = {}
+        self._older: dict[str, tuple[int, float, bytes]] = {}
         self._with_ids = False
 
     @staticmethod
@@ -137,39 +141,73 @@ class PieceBpe:
             end = start
         return [i for token in reversed(tokens) for i in token]
 
-    def known(self, parts: list[str], with_ids: bool) -> list[tuple[int, float, bytes]]:
+    def known(self, parts: Iterable[str], with_ids: bool) -> list[tuple[int, float, bytes]]:
         """Number, score and, if wanted, ids (32 bits each) of every part; new ones are walked together."""
         if with_ids and not self._with_ids:  # what is known from counting has no ids
-            self._known.clear()
+            self._known, self._older = {}, {}
         self._with_ids = self._with_ids or with_ids
-        new = {part for part in parts if part not in self._known}
-        if len(self._known) + len(new) > KEPT_PARTS:
-            self._known.clear()
-            self._with_ids, new = with_ids, set(parts)
-        for part, sizes, n, score in self.walk(new):
+        parts, known, older = list(parts), self._known, self._older
+        new = []
+        for part in parts:
+            if part not in known:
+                found = older.get(part)
+                if found is None:
+                    new.append(part)
+                else:
+                    known[part] = found
+        for part, sizes, n, score in self.walk(set(new)):
             ids = np.array(self.ids(part, sizes), "<u4").tobytes() if self._with_ids else b""
-            self._known[part] = n, score, ids
-        return [self._known[part] for part in parts]
+            known[part] = n, score, ids
+        found = [known[part] for part in parts]
+        if len(known) > KEPT_PARTS:
+            self._known, self._older = {}, known if len(known) <= 2 * KEPT_PARTS else {}
+        return found
 
-    def encode(self, bodies: list[bytes]) -> Iterator[tuple[int, int, float, bytes]]:
+    def encode(self, bodies: Iterable[bytes]) -> Iterator[tuple[int, int, float, bytes]]:
         """Number of parts and of pieces, total score, and ids of each of the texts."""
-        yield from self._each(bodies, True)
+        return self._each(bodies, True)
 
-    def count(self, bodies: list[bytes]) -> Iterator[tuple[int, int, float, bytes]]:
+    def count(self, bodies: Iterable[bytes]) -> Iterator[tuple[int, int, float, bytes]]:
         """As ``encode``, without ids."""
-        yield from self._each(bodies, False)
-
-    def _each(self, bodies: list[bytes], with_ids: bool) -> Iterator[tuple[int, int, float, bytes]]:
-        split = [self.segments(self.escape(bytes(body).decode("utf-8", "replace"))) for body in bodies]
-        lengths = [len(parts) for parts in split]
-        coded = pa.array([part for parts in split for part in parts], pa.large_string()).dictionary_encode()
-        found = self.known(coded.dictionary.to_pylist(), with_ids)
-        places, at = coded.indices.to_numpy(), 0
-        for n in lengths:
-            own = [found[i] for i in places[at : at + n].tolist()]
-            at += n
-            pieces, score = sum([f[0] for f in own]), sum([f[1] for f in own], 0.0)
-            yield n, pieces, score, b"".join([f[2] for f in own]) if with_ids else b""
+        return self._each(bodies, False)
+
+    def _each(self, bodies: Iterable[bytes], with_ids: bool) -> Iterator[tuple[int, int, float, bytes]]:
+        held, size = [], 0
+        for body in bodies:
+            held.append(bytes(body).decode("utf-8", "replace"))
+            size += len(body)
+            if size >= TOGETHER:
+                yield from self._together(held, with_ids)
+                held, size = [], 0
+        if held:
+            yield from self._together(held, with_ids)
+
+    def _together(self, bodies: list[str], with_ids: bool) -> Iterator[tuple[int, int, float, bytes]]:
+        mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in body for body in bodies))
+        marked = [
+            mark.join(self.segments(self.escape(body)))
+            if "  " in body or BLANK in body
+            else self.escape(body).replace(BLANK, mark + BLANK)[1:]
+            for body in bodies
+        ]
+        listed = pc.split_pattern(pa.array(marked, pa.large_string()), mark)
+        coded = listed.flatten().dictionary_encode()
+        found = self.known(coded.dictionary.to_numpy(zero_copy_only=False), with_ids)
+        place, offsets = coded.indices.to_numpy(), listed.offsets.to_numpy()
+        counts = np.array([f[0] for f in found], np.int64)
+        own = counts[place]
+        pieces = np.add.reduceat(own, offsets[:-1])
+        scores = np.add.reduceat(np.array([f[1] for f in found])[place], offsets[:-1])
+        words = np.diff(offsets) - np.array([not body for body in bodies])
+        blobs = [b""] * len(bodies)
+        if with_ids:
+            ids, starts = np.frombuffer(b"".join([f[2] for f in found]), "<u4"), np.cumsum(counts) - counts
+            ends = np.cumsum(own)
+            at = np.repeat(starts[place] - (ends - own), own)
+            at += np.arange(len(at))
+            flat, bounds = ids[at], np.concatenate([[0], np.cumsum(pieces)])
+            blobs = [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield from zip(words.tolist(), pieces.tolist(), scores.tolist(), blobs, strict=True)
 
     def decode(self, ids: bytes, first: bool = True) -> bytes:
         """The text of ids; in front of a text stands one blank that it does not have."""
