@@ -184,11 +184,10 @@ class PieceBpe:
 
     def _together(self, bodies: list[str], with_ids: bool) -> Iterator[tuple[int, int, float, bytes]]:
         mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in body for body in bodies))
+        escaped = [self.escape(body) for body in bodies]
         marked = [
-            mark.join(self.segments(self.escape(body)))
-            if "  " in body or BLANK in body
-            else self.escape(body).replace(BLANK, mark + BLANK)[1:]
-            for body in bodies
+            mark.join(self.segments(text)) if BLANK + BLANK in text else text.replace(BLANK, mark + BLANK)[1:]
+            for text in escaped
         ]
         listed = pc.split_pattern(pa.array(marked, pa.large_string()), mark)
         coded = listed.flatten().dictionary_encode()
