@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scangraph.sources.blocklists import Blocklist, list_members, listed_vertices
-from scangraph.sources.csv_records import quoted_lines
+from scangraph.sources.csv_records import csv_records, quoted_lines
 from scangraph.sources.graph_files import Graph, graph_state, header_field, join_list, read_graph, split_list, read_graph_csv, write_graph, write_graph_csv, write_typed_edges
 from scangraph.sources.resolver import flatten_answers, read_resolver_lines
 from scangraph.sources.scans import (
@@ -82,6 +82,17 @@ def test_values_with_line_breaks_are_read_by_many_tasks(spark, tmp_path, ending)
         load_csv(spark, f"{tmp_path}/t", "id STRING, a STRING, c STRING")
 
 
+def test_lines_of_csv_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,a\n1,"x\ny"\n')
+    found = csv_records(spark, f"{tmp_path}/x.csv")
+    assert sorted((r.number, r.record) for r in found.collect()) == [(1, "id,a"), (2, '1,"x\ny"')]
+    nodes = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    ).split("\n\n")
+    shuffles = [n for n in nodes if "Exchange" in n.split("\n")[0] and "Input" in n]
+    assert shuffles and not any("value#" in n for n in shuffles)
+
+
 def test_file_variants(spark, tmp_path):
     (tmp_path / "a.csv.zst").write_text("")
     (tmp_path / "b.csv.xz").write_text("")
