@@ -43,6 +43,15 @@ def test_views_use_whole_tables(spark):
     assert s.hosts.count() == s.http.count() == events and s.certs.count() == pages and s.dns.count() == 2 * pages
 
 
+def test_stored_scans_are_read_without_being_derived_again(spark, work):
+    stored, derived = views.stored_scans(spark, SF_DIR, work), views.scans(spark, SF_DIR)
+    for name in ("hosts", "http", "certs", "dns"):
+        assert getattr(stored, name).schema == getattr(derived, name).schema
+        assert getattr(stored, name).exceptAll(getattr(derived, name)).isEmpty()
+        assert getattr(stored, name).count() == getattr(derived, name).count()
+        assert "Join" not in getattr(stored, name)._jdf.queryExecution().toString()
+
+
 def test_lists_hold_all_events(spark, con):
     assert views.list_rows(spark, SF_DIR).count() == views.table(spark, SF_DIR, "events").count()
     listed = views.blocklists(spark, SF_DIR)
