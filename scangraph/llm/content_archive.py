@@ -4,12 +4,15 @@ An archive is two tables: ``headers`` has the exact bytes of each record up to i
 header) and the digest of the payload; ``payloads`` has each distinct payload once. Joining them on the
 digest gives the original records back, and the digest is recomputed from the stored bytes on the way.
 All of it is Spark expressions; a payload shared by very many records is one row per map task in the
-grouping and is split by the adaptive skew join on the way back.
+grouping. Payloads are stored in buckets of their digest, so that long ones are not shuffled again for the WARC files: each
+has one response to meet there, and revisits need none. Short ones have any number of responses; they are shuffled, and
+split by the adaptive skew join.
 """
 
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scangraph.functions.suffixes import union_all
 from scangraph.llm.common import scratch
+from scangraph.storage import Workspace, list_names
 
 #: Payloads of at least so many bytes are stored in one record and referred to by the others.
 REVISIT_BYTES = 1000
@@ -90,7 +95,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha1("payload").alias("payload_digest"),
     )
-    described.write.mode("overwrite").parquet(f"{path}/described")
+    described.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/described")
     described = spark.read.schema(described.schema).parquet(f"{path}/described")
     shared = described.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest")
     shared.agg(F.max(F.struct("page_id", "row_id")).alias("top")).write.mode("overwrite").parquet(f"{path}/tops")
@@ -99,35 +104,54 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         "record_type",
         F.when(F.col("top").isNull() | (F.col("top.row_id") == F.col("row_id")), "response").otherwise("revisit"),
     )
-    typed.select(_header(date).alias("header"), "digest").write.mode("overwrite").parquet(f"{path}/headers")
+    headers = typed.select(_header(date).alias("header"), "digest")
+    headers.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
     # A second digest tells whether payloads that share the first one are the same.
     other = F.sha2("payload", 512)
     once = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(other).alias("low"), F.max(other).alias("high"))
     clash = F.raise_error(F.concat(F.lit("different payloads with digest "), "digest")).cast("binary")
     once = once.select("digest", F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(clash).alias("payload"))
-    once.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    # The grouping has placed rows by digest already: with as many buckets as it has partitions, a bucket is one file.
+    table = f"scangraph_{uuid.uuid4().hex}"
+    writer = once.write.mode("overwrite").bucketBy(_buckets(spark), "digest").option("compression", "zstd")
+    try:
+        writer.option("path", f"{path}/payloads").saveAsTable(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay
     return open_archive(spark, path)
 
 
+def _buckets(spark: SparkSession) -> int:
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), most)
+
+
 def open_archive(spark: SparkSession, path: str) -> Archive:
     headers = spark.read.schema("header binary, digest string").parquet(f"{path}/headers")
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     return Archive(headers, payloads)
 
 
+def _verified(payloads: DataFrame) -> DataFrame:
+    payload = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
+        F.raise_error(F.concat(F.lit("damaged payload "), "digest")).cast("binary")
+    )
+    return payloads.withColumn("payload", payload)
+
+
+def _is_response() -> Column:
+    return F.regexp_extract(F.col("header").cast("string"), r"\r\nWARC-Type: (\w+)", 1) == "response"
+
+
 def records(archive: Archive) -> DataFrame:
     """``record, payload`` of every record: its exact bytes, and the full payload also of revisits.
 
     Fails on a payload that no longer has its digest.
     """
-    payload = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("damaged payload "), "digest")).cast("binary")
-    )
-    whole = archive.headers.join(archive.payloads.withColumn("payload", payload), "digest")
+    whole = archive.headers.join(_verified(archive.payloads), "digest")
     # A response's header is followed by its payload.
-    is_response = F.regexp_extract(F.col("header").cast("string"), r"\r\nWARC-Type: (\w+)", 1) == "response"
     end = F.lit((CRLF * 2).encode())
-    record = F.concat("header", F.when(is_response, F.col("payload")).otherwise(F.lit(b"")), end)
+    record = F.concat("header", F.when(_is_response(), F.col("payload")).otherwise(F.lit(b"")), end)
     return whole.select(record.alias("record"), "payload")
 
 
@@ -155,9 +179,17 @@ def read_pages(archive: Archive) -> DataFrame:
 
 def export_warc(archive: Archive, path: str, compression: str = "none") -> None:
     """Write the records as WARC files (``gzip`` compresses each file as a whole)."""
+    size = F.substring_index(F.col("header").cast("string"), "Content-Length: ", -1)
+    long = F.trim(F.replace(size, F.lit(CRLF))).cast("long") >= REVISIT_BYTES
+    end = F.lit((CRLF * 2).encode())
+    responses, payloads = archive.headers.where(_is_response()), _verified(archive.payloads)
+    parts = [archive.headers.where(~_is_response()).select(F.concat("header", end).alias("record"))]
+    for own, stored in ((long, F.length("payload") >= REVISIT_BYTES), (~long, F.length("payload") < REVISIT_BYTES)):
+        met = responses.where(own).join(payloads.where(stored), "digest")
+        parts.append(met.select(F.concat("header", "payload", end).alias("record")))
     # Spark's text writer ends each value with the line feed that a record ends with.
     value = F.col("record").substr(F.lit(1), F.length("record") - 1).cast("string")
-    text = records(archive).select(value.alias("value"))
+    text = union_all(parts).select(value.alias("value"))
     writer = text.write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS)
     writer.option("compression", compression).text(path)
 
@@ -242,5 +274,13 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     work = scratch(spark)
-    export_warc(write_archive(pages, work.path("archive")), work.path("warc"), "gzip")
+    archive = write_archive(pages, work.path("archive"))
+    tables = Workspace(spark, work.path("archive"))
+    try:
+        if list_names(spark, tables.path("payloads")):  # an empty table has no files in its buckets
+            payloads = tables.read_bucketed("payloads", _buckets(spark), ["digest"], ordered=False)
+            archive = Archive(archive.headers, payloads)
+        export_warc(archive, work.path("warc"), "gzip")
+    finally:
+        tables.forget_tables()
     return read_warc_pages(spark, work.path("warc"))

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from scangraph.llm import content_archive
 from scangraph.llm.bloom_lookup import fingerprints
 from scangraph.llm.content_archive import (
     archive_pages,
@@ -65,6 +66,14 @@ def test_archive_round_trip(spark, pages, tmp_path):
     assert archive_pages(table.limit(0)).collect() == []
 
 
+def test_long_payloads_are_not_shuffled_again(spark, pages, tmp_path, monkeypatch):
+    exported = []
+    monkeypatch.setattr(content_archive, "export_warc", lambda archive, *more: exported.append(archive) or export_warc(archive, *more))
+    archive_pages(pages[1])
+    plan = exported[0].payloads.groupBy("digest").count()._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning(digest" not in plan
+
+
 @pytest.mark.parametrize(("damage", "message"), [("cut", "bytes long|cut off|not found"), ("change", "damaged payload"), ("lose", "no response")])
 def test_damaged_files_are_found(spark, pages, tmp_path, damage, message):
     export_warc(write_archive(pages[1], str(tmp_path / "archive")), str(tmp_path / "warc"))
