@@ -25,9 +25,10 @@ from scangraph.llm.common import tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 
 #: Parts that a worker has asked for last, at least; at most twice as many are kept (about 200 bytes each).
-KEPT_WORDS = 400_000
+#: A worker stays for the steps behind and holds them beside theirs.
+KEPT_WORDS = 200_000
 #: Bytes of text whose parts are looked up together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 #: Three blanks in a row are not cut alike wherever they stand, nor are two at the end; a part's end is marked by NUL.
 _WHOLE = re.compile(r"\s\s\s|\s\s\Z|\x00")

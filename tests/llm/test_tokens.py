@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from scangraph.llm.arrow_tokens import SEQUENCE, open_sequences, pack_stream, read_tokens, sequence, write_tokens
-from scangraph.llm.byte_bpe import TOKENIZER, byte_bpe
+from scangraph.llm.byte_bpe import TOKENIZER, ByteBpe, byte_bpe
 from scangraph.llm.common import texts, tokenizer_path
 from scangraph.llm.maxplus_pieces import decode_pieces, encode_pieces, merge_pieces, round_trip
 from scangraph.llm.residual_packing import best_fit, pack_pieces, packed_sequences, token_pieces
@@ -40,6 +41,16 @@ def test_texts_together_have_the_ids_of_the_library(library):
     assert list(byte_bpe().ids_of([])) == []
 
 
+def test_a_worker_keeps_few_parts():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 450_000)]
+    model = ByteBpe(tokenizer_path(TOKENIZER))
+    for at in range(0, len(words), 10_000):
+        list(model.ids_of([" ".join(words[at : at + 10_000]).encode()]))
+    # They stay in memory beside what later steps of a pipeline take.
+    assert len(model._parts) + len(model._parts.older) <= 400_000
+
+
 def test_arrow_tokens(spark, table, odd_rows, library, tmp_path):
     docs = table(odd_rows)
     write_tokens(docs, str(tmp_path / "tokens"), length=64, file_tokens=1000)
