@@ -387,8 +387,10 @@ def _merge_trace(path: str | None):
         model = piece_bpe(path)
         states = States(model.longest)
         for rows in batches:
-            ends = zip(_merge_chunks(rows, model), rows.enter, rows.leave, strict=True)
-            found = [chunk.ids(states.state(int(enter)), states.state(int(leave))) for chunk, enter, leave in ends]
+            chunks = list(_merge_chunks(rows, model))
+            parts = (ids for _, _, _, ids in model.encode_escaped([chunk.middle() for chunk in chunks]))
+            ends = zip(chunks, rows.enter, rows.leave, parts, strict=True)
+            found = [chunk.ids(states.state(int(a)), states.state(int(b)), known) for chunk, a, b, known in ends]
             yield rows[["row_id", "doc_id", "chunk"]].assign(doc_id=rows.doc_id.astype("Int64"), ids=found)
 
     return trace
@@ -400,6 +402,7 @@ def _merge_digest(path: str | None, keep_ids: bool):
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, own = piece_bpe(path), None
+        scores = np.array(model.scores)
 
         def told() -> tuple:
             row_id, doc_id, n, score, crc, sha, held = own
@@ -414,7 +417,7 @@ def _merge_digest(path: str | None, keep_ids: bool):
                     own = [row_id, None if pd.isna(doc_id) else int(doc_id), 0, 0.0, 0, hashlib.sha256(), []]
                 ids = bytes(ids)
                 own[2] += len(ids) // 4
-                own[3] += sum([model.scores[i] for i in np.frombuffer(ids, "<u4").tolist()])
+                own[3] += float(scores[np.frombuffer(ids, "<u4")].sum())
                 own[4] = zlib.crc32(ids, own[4])
                 own[5].update(model.decode(ids, first=chunk == 0))
                 if keep_ids:

@@ -9,9 +9,14 @@ path of states leads through all chunks.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from scangraph.llm.piece_bpe import PieceBpe
+from scangraph.llm.unigram import BLANK
+
+_CUT = re.compile(f"[^{BLANK}]{BLANK}")
 
 State = tuple[int, int]  # how far behind the boundary the token ends, and its length; (0, 0) in front of the text
 
@@ -39,7 +44,11 @@ class States:
 
 def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Max-plus product of matrices of 0 and minus infinity, as truth values."""
-    return left.astype(np.float32) @ right.astype(np.float32) > 0
+    # Few states can be reached, so most rows and columns are empty.
+    rows, between = np.flatnonzero(left.any(axis=1)), np.flatnonzero(left.any(axis=0) & right.any(axis=1))
+    out = np.zeros((len(left), right.shape[1]), bool)
+    out[rows] = left[np.ix_(rows, between)].astype(np.float32) @ right[between].astype(np.float32) > 0
+    return out
 
 
 class MergeChunk:
@@ -52,13 +61,23 @@ class MergeChunk:
         self.model, self.text, self.at, self.size, self.first, self.last = model, text, at, size, first, last
         self.end = at + size
         self.stop = self.end if last else min(len(text), self.end + model.longest - 1)
-        # Places that no token spans, as parts stand for themselves.
-        cuts, place = [], at
-        for part in model.segments(text[at : self.end]):
-            if at < place:
-                cuts.append(place)
-            place += len(part)
-        self.inner = (cuts[0], cuts[-1]) if cuts else None
+        # The outermost places that no token spans, as parts stand for themselves.
+        self.inner = self._cuts() if model.parted else None
+
+    def _cuts(self) -> tuple[int, int] | None:
+        """First and last place inside the chunk where a run of blanks begins behind another character."""
+        first = _CUT.search(self.text, self.at, self.end)
+        if first is None:
+            return None
+        place = self.text.rfind(BLANK, self.at, self.end)
+        while self.text[place - 1] == BLANK:
+            place -= 1
+        # Blanks at the chunk's very begin are no cut, but then the first one is behind them.
+        return first.start() + 1, place
+
+    def middle(self) -> str:
+        """Whole parts that stand for themselves, wherever tokens end at the chunk's ends."""
+        return self.text[slice(*self.inner)] if self.inner else ""
 
     def _is_token(self, token: str) -> bool:
         return token in self.model.pieces or len(token) == 1
@@ -145,8 +164,8 @@ class MergeChunk:
                 size = fitting[0]
         return [i for token in reversed(tokens) for i in token]
 
-    def ids(self, enter: State, leave: State) -> bytes:
-        """Ids of the tokens that begin in the chunk, between two states."""
+    def ids(self, enter: State, leave: State, parts: bytes | None = None) -> bytes:
+        """Ids of the tokens that begin in the chunk, between two states; ``parts`` are those of ``middle``, if known."""
         begin = self.at + enter[0]
         if begin >= self.end:
             return b""
@@ -156,7 +175,7 @@ class MergeChunk:
         low, high = self.inner
         head = self._spread(self._begin([enter]), low)
         found = self._back(head, low, next(iter(head[low])), begin) if low > begin else []
-        middle = self.model.segments(self.text[low:high])
-        parts = b"".join([ids for _, _, ids in self.model.known(middle, True)])
+        if parts is None:
+            parts = b"".join([ids for _, _, _, ids in self.model.encode_escaped([self.middle()])])
         tail = self._back(self._spread({high: {0: 1}}, self.end), self.end + leave[0], leave[1], high)
         return np.array(found, "<u4").tobytes() + parts + np.array(tail, "<u4").tobytes()

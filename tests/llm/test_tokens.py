@@ -12,6 +12,8 @@ from scangraph.llm.arrow_tokens import SEQUENCE, open_sequences, pack_stream, re
 from scangraph.llm.byte_bpe import TOKENIZER, ByteBpe, byte_bpe
 from scangraph.llm.common import texts, tokenizer_path
 from scangraph.llm.maxplus_pieces import decode_pieces, encode_pieces, merge_pieces, round_trip
+from scangraph.llm.merge_chunks import MergeChunk, product
+from scangraph.llm.piece_bpe import piece_bpe
 from scangraph.llm.residual_packing import best_fit, pack_pieces, packed_sequences, token_pieces
 from scangraph.llm.trie_counts import token_counts, trie_counts
 from scangraph.llm.unigram import Unigram, unigram
@@ -204,3 +206,36 @@ def test_pieces_are_those_of_the_library(table, odd_rows):
     assert Counter((r.doc_id, r.n_pieces, r.ids_crc32) for r in round_trip(docs).collect()) == crcs
     counts = Counter((r.doc_id, r.n_tokens) for r in token_counts(docs).collect())
     assert counts == Counter((d, len(i)) for d, i in expected)
+
+
+def test_pieces_that_end_at_a_place_come_from_one_step_per_character():
+    model, rng = piece_bpe(), random.Random(5)
+    names = list(model.pieces)
+    for _ in range(200):
+        text, state = "".join(rng.choice(names) for _ in range(6)) + "\U0001f600" + rng.choice(names), 0
+        for end in range(1, len(text) + 1):
+            state = model._step(state, text[end - 1])
+            fitting = [text[start:end] for start in range(max(0, end - model.longest), end) if text[start:end] in model.pieces]
+            assert list(model._ends[state]) == [(len(p), model.pieces[p]) for p in fitting]
+
+
+def test_middles_of_chunks_are_encoded_together():
+    model, rng = piece_bpe(), random.Random(6)
+    chunks = []
+    for _ in range(200):
+        text = model.escape("".join(rng.choice("ab  é\n") for _ in range(rng.randint(1, 60))))
+        at = rng.randint(0, min(model.longest, len(text) - 1))
+        size = rng.randint(1, len(text) - at)
+        chunk = MergeChunk(model, text, at, size, at == 0, at + size == len(text))
+        places = np.cumsum([at, *map(len, model.segments(text[at : at + size]))])[1:-1].tolist()
+        assert chunk.inner == ((places[0], places[-1]) if places else None)
+        chunks.append(chunk)
+    found = [np.frombuffer(ids, "<u4").tolist() for _, _, _, ids in model.encode_escaped([c.middle() for c in chunks])]
+    assert found == [model.library.encode(c.middle()) for c in chunks]
+
+
+def test_products_of_states_are_those_of_all_paths():
+    rng = np.random.default_rng(7)
+    for share in (0.0, 0.01, 0.2):
+        left, right = (rng.random((37, 37)) < share for _ in range(2))
+        assert (product(left, right) == (left[:, :, None] & right[None]).any(axis=1)).all()
