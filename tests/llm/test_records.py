@@ -1,14 +1,16 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scangraph.llm import content_archive
+from scangraph.llm import bloom_lookup, content_archive
 from scangraph.llm.bloom_lookup import fingerprints
+from scangraph.llm.common import on_scratch
 from scangraph.llm.content_archive import (
     archive_pages,
     export_warc,
@@ -165,6 +167,33 @@ def test_a_text_of_one_line_keeps_its_first_half(table):
     assert max(r.near_next for r in found) == 0
 
 
+def test_fingerprints_shuffle_texts_once_and_store_little(spark, table):
+    """Digests are recovered in the rows of their texts, and scratch tables hold neither texts nor all digests."""
+    rng = random.Random(8)
+    rows = [(i, "\n".join(f"{rng.getrandbits(200):050x}" for _ in range(60))) for i in range(200)]
+    spaces, docs = [], table(rows)
+    stop = on_scratch(spaces.append)
+    try:
+        found = fingerprints(docs)
+    finally:
+        stop()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    stored = sum(f.stat().st_size for f in Path(spaces[0].root.removeprefix("file:")).rglob("*.parquet"))
+    assert stored < sum(len(t) for _, t in rows)
+    assert all(r.near_next == 0 and 0.3 < r.near_edited < 0.36 for r in found.collect())
+
+
+def test_fingerprints_of_one_row_and_of_many_ranges(table, monkeypatch):
+    monkeypatch.setattr(bloom_lookup, "RANGE_BYTES", 10)
+    for n in (1, 2, 40):
+        rows = [(i, f"a{i}\nb{i}") for i in range(n)]
+        found = {r.doc_id: r.edited_sha256 for r in fingerprints(table(rows, f"docs{n}")).collect()}
+        for i, text in rows:
+            following, half = rows[(i - 1) % n][1], len(text) // 2
+            assert found[i] == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+
+
 def test_fingerprint_plan_has_no_python(table, odd_rows):
     plan = fingerprints(table(odd_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
